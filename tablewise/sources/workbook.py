@@ -201,7 +201,7 @@ def parse_workbooks(files: DataFrame, sheet: str | None = None) -> Dataset:
     rows = cells.filter("_row > 0")
     texts = rows.select(
         *([col("_file"), col("_sheet")] if many else []),
-        *[F.col("cells").getItem(F.lit(n)).alias(n) for n in names],
+        *[F.col("cells")[n].alias(n) for n in names],
     )
     texts = texts.select(*[F.when(~col(n).isin(NULL_TOKENS), col(n)).alias(n) for n in texts.columns])
     notes = []
