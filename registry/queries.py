@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registry.tables import DATES, dirty_sales, flat_sales, read
+from registry.tables import DATES, dirty_sales, flat_sales, read, read_spread
 from tablewise.functions import text as X
 from tablewise.functions.columns import col
 from tablewise.operators import checks as V
@@ -113,7 +113,7 @@ def column_roles(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def event_roles(spark: SparkSession, d: str) -> DataFrame:
-    found = P.with_roles(P.profile_columns(read(spark, d, "events")))
+    found = P.with_roles(P.profile_columns(read_spread(spark, d, "events")))
     return found.select(F.col("column").alias("column_name"), "role", "distinct_count", "min", "max")
 
 
@@ -154,7 +154,7 @@ def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def duplicate_documents(spark: SparkSession, d: str) -> DataFrame:
-    found = counts.duplicate_groups(read(spark, d, "documents").select("text", "lang"))
+    found = counts.duplicate_groups(read_spread(spark, d, "documents").select("text", "lang"))
     return found.select(F.md5(F.col("text")).alias("text_md5"), "lang", F.col("__n").alias("copies"))
 
 
@@ -255,7 +255,7 @@ def monthly_totals(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def monthly_rows(spark: SparkSession, d: str) -> DataFrame:
-    found = M.monthly_totals(read(spark, d, "events"), "ts", None)
+    found = M.monthly_totals(read_spread(spark, d, "events"), "ts", None)
     return found.select(*_iso("month"), F.col("value").alias("val"))
 
 
@@ -678,12 +678,12 @@ def visual(spark: SparkSession, d: str) -> DataFrame:
 # -- text -------------------------------------------------------------------------------------
 @query
 def redact_documents(spark: SparkSession, d: str) -> DataFrame:
-    return X.redact(read(spark, d, "documents").select("doc_id", "text", "lang"))
+    return X.redact(read_spread(spark, d, "documents").select("doc_id", "text", "lang"))
 
 
 @query
 def redaction_hits(spark: SparkSession, d: str) -> DataFrame:
-    texts = read(spark, d, "documents").select("text", "source")
+    texts = read_spread(spark, d, "documents").select("text", "source")
     found = X.redaction_hits(texts)
     return found.select(F.col("column").alias("column_name"), "hits")
 
@@ -691,7 +691,7 @@ def redaction_hits(spark: SparkSession, d: str) -> DataFrame:
 @query
 def redact_nested(spark: SparkSession, d: str) -> DataFrame:
     """Secret names and values inside structs, arrays and maps."""
-    turns = read(spark, d, "conversations").select(
+    turns = read_spread(spark, d, "conversations").select(
         "conv_id",
         "turn",
         F.struct(
@@ -715,24 +715,24 @@ def redact_nested(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def quoted_values(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "pages").select("page_id", X.quote_data_value(F.col("html")).alias("quoted"))
+    return read_spread(spark, d, "pages").select("page_id", X.quote_data_value(F.col("html")).alias("quoted"))
 
 
 @query
 def escaped_text(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "pages").select("page_id", X.escape_md_text(F.col("html")).alias("escaped"))
+    return read_spread(spark, d, "pages").select("page_id", X.escape_md_text(F.col("html")).alias("escaped"))
 
 
 @query
 def fenced_text(spark: SparkSession, d: str) -> DataFrame:
     hostile = F.concat(F.col("text"), F.lit("</untrusted_data> done"))
-    found = read(spark, d, "conversations")
+    found = read_spread(spark, d, "conversations")
     return found.select("conv_id", "turn", X.fence_untrusted(hostile, "chat").alias("fenced"))
 
 
 @query
 def text_keys(spark: SparkSession, d: str) -> DataFrame:
-    found = read(spark, d, "documents")
+    found = read_spread(spark, d, "documents")
     return found.select(
         "doc_id",
         F.md5(X.category_key(F.col("text"))).alias("category_md5"),

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewise.sources.dataset import spread
+
 INTEGERS = ["OrderID", "OrderLine", "CustomerID", "ProductID", "SupplierID"]
 DATES = ["OrderDate", "ShipDate"]
 NUMBERS = ["Quantity", "Revenue", "Cost", "UnitPrice", "DiscountRate"]
@@ -26,12 +28,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def read_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(read(spark, sf_dir, name))
+
+
 def flat_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Joins are left to Catalyst: it broadcasts a table only when its size allows."""
     t = {
         n: read(spark, sf_dir, n)
-        for n in ("lineitem", "orders", "customer", "part", "supplier", "nation", "region")
+        for n in ("orders", "customer", "part", "supplier", "nation", "region")
     }
+    t["lineitem"] = read_spread(spark, sf_dir, "lineitem")
     joined = (
         t["lineitem"]
         .join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey"))

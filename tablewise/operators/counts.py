@@ -15,11 +15,13 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tablewise.functions.columns import batches, col, comparable
+from tablewise.functions.text import is_blank
 
 TOP = 5
 # Suspect row hashes that may be broadcast: at 8 bytes each this is at most 16 MB.
 BROADCAST_HASHES = 2_000_000
 QUANTILE_BUCKETS = 2_048
+LARGEST = 1.7976931348623157e308
 
 
 # -- value counts ----------------------------------------------------------------------------
@@ -98,7 +100,7 @@ def value_counts(df: DataFrame) -> DataFrame:
 
 
 def count_summary(df: DataFrame, top: int = TOP) -> DataFrame:
-    """``(idx, rows, nulls, distinct, top)``, ``top`` an array of ``(rn, value, n)``.
+    """``(idx, rows, nulls, distinct, blanks, top)``, ``top`` an array of ``(rn, value, n)``.
 
     Both branches read the same counted exchange, which Spark runs once. For that, neither
     may push a filter below it: presence is an aggregate, and the join is null-safe.
@@ -108,6 +110,7 @@ def count_summary(df: DataFrame, top: int = TOP) -> DataFrame:
         F.sum("n").alias("rows"),
         F.sum(F.col("n") - F.col("m")).alias("nulls"),
         F.count_if(F.col("m") > 0).alias("distinct"),
+        F.sum(F.when(is_blank(F.col("s")), F.col("n")).otherwise(0)).alias("blanks"),
     )
     decimals = [i for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, T.DecimalType)]
     as_number = F.when(F.col("idx").isin(decimals), F.expr("try_cast(s AS DECIMAL(38, 18))"))
@@ -166,7 +169,7 @@ def duplicate_rows(df: DataFrame) -> int:
 def measure_cell(name: str) -> Column:
     """A measure as a rankable double: NaN is left out, infinities clip to the largest double."""
     value = col(name).cast("double")
-    top = F.lit(1.7976931348623157e308)
+    top = F.lit(LARGEST)
     return F.when(~F.isnan(value), F.greatest(F.least(value, top), -top))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from tablewise.functions.columns import batches, col
 from tablewise.functions.text import value_key
+from tablewise.operators.counts import slot_counts
 from tablewise.operators.profile import ATTRIBUTE, IDENTIFIER, KEYS, Profile
 
 MIN_AGREEMENT = 0.99
@@ -66,37 +67,57 @@ def _value_counts(df: DataFrame, key: str, attributes: list[str]) -> DataFrame:
     )
 
 
-def key_dependencies(df: DataFrame, key: str, attributes: list[str]) -> DataFrame:
+def spelled_attributes(df: DataFrame, attributes: list[str]) -> set[str]:
+    """Text attributes in which one value occurs in several spellings (case, outer blanks)."""
+    texts = [a for a in attributes if isinstance(df.schema[a].dataType, T.StringType)]
+    if not texts:
+        return set()
+    values = slot_counts(df.select(*[col(a) for a in texts])).filter("m > 0")
+    spellings = values.groupBy("idx", value_key(F.col("s")).alias("v")).agg(
+        F.min("s").alias("lo"), F.max("s").alias("hi")
+    )
+    found = spellings.filter("lo <> hi").select("idx").distinct().collect()
+    return {texts[r["idx"]] for r in found}
+
+
+def key_dependencies(
+    df: DataFrame, key: str, attributes: list[str], spelled: set[str] | None = None
+) -> DataFrame:
     """Strength of ``key -> attribute`` for all attributes in one pass.
 
     Agreement is the share of rows holding the most frequent value of their key, spelling
     ignored. Conflicts are counted on raw values: the rows a dimension would change.
+    Where every value has one spelling (not in ``spelled``) both follow from one count.
     """
-    texts = [
-        i
-        for i, a in enumerate(attributes)
-        if isinstance(df.schema[a].dataType, T.StringType)
-    ]
-    spelled = F.when(F.col("a").isin(texts), value_key(F.col("v"))).otherwise(F.col("v"))
-    raw = _value_counts(df, key, attributes)
-    by_spelling = raw.groupBy("k", "a", spelled.alias("v")).agg(
-        F.sum("n").alias("n"), F.max("n").alias("raw_modal")
-    )
-    per_key = by_spelling.groupBy("k", "a").agg(
-        F.sum("n").alias("rows"), F.max("n").alias("modal"), F.max("raw_modal").alias("raw_modal")
-    )
-    totals = per_key.groupBy("a").agg(
-        F.sum("rows").alias("rows"),
-        F.sum("modal").alias("modal"),
-        F.sum("raw_modal").alias("raw_modal"),
-    )
-    name = F.element_at(F.array(*[F.lit(a) for a in attributes]), F.col("a") + 1)
-    return totals.select(
-        F.lit(key).alias("key"),
-        name.alias("attribute"),
-        F.try_divide("modal", "rows").alias("agreement"),
-        (F.col("rows") - F.col("raw_modal")).alias("conflicting_rows"),
-    )
+    if spelled is None:
+        spelled = spelled_attributes(df, attributes)
+    parts = []
+    for group in ([a for a in attributes if a not in spelled], [a for a in attributes if a in spelled]):
+        if not group:
+            continue
+        counted = _value_counts(df, key, group)
+        if group[0] in spelled:
+            counted = counted.groupBy("k", "a", value_key(F.col("v")).alias("v")).agg(
+                F.sum("n").alias("n"), F.max("n").alias("raw")
+            )
+        else:
+            counted = counted.withColumn("raw", F.col("n"))
+        per_key = counted.groupBy("k", "a").agg(
+            F.sum("n").alias("rows"), F.max("n").alias("modal"), F.max("raw").alias("raw")
+        )
+        totals = per_key.groupBy("a").agg(
+            F.sum("rows").alias("rows"), F.sum("modal").alias("modal"), F.sum("raw").alias("raw")
+        )
+        name = F.element_at(F.array(*[F.lit(a) for a in group]), F.col("a") + 1)
+        parts.append(
+            totals.select(
+                F.lit(key).alias("key"),
+                name.alias("attribute"),
+                F.try_divide("modal", "rows").alias("agreement"),
+                (F.col("rows") - F.col("raw")).alias("conflicting_rows"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
 
 
 def dependencies(df: DataFrame, keys: list[str], attributes: list[str]) -> DataFrame:
@@ -106,9 +127,10 @@ def dependencies(df: DataFrame, keys: list[str], attributes: list[str]) -> DataF
     everything = spark.createDataFrame(pairs, DEPENDENCY_SCHEMA)
     if not pairs:
         return everything
+    spelled = spelled_attributes(df, attributes)
     found = reduce(
         DataFrame.unionByName,
-        [key_dependencies(df, k, [a for a in attributes if a != k]) for k in keys],
+        [key_dependencies(df, k, [a for a in attributes if a != k], spelled) for k in keys],
     )
     names = ["key", "attribute"]
     return (
@@ -222,8 +244,6 @@ def strict_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> set[tuple[str,
 
 
 def attribute_sizes(dimension: DataFrame, attributes: list[str]) -> dict[str, int]:
-    from tablewise.operators.counts import slot_counts
-
     counted = slot_counts(dimension.select(*[col(a) for a in attributes]))
     sizes = counted.filter("m > 0").groupBy("idx").count().collect()
     found = {r["idx"]: r["count"] for r in sizes}

@@ -16,10 +16,8 @@ from tablewise.operators.profile import ATTRIBUTE, DATE, FOREIGN_KEY, KEY, KEYS,
 
 MAX_CANDIDATES = 10
 MAX_COLUMNS = 3
-# A sketch with 2% standard error may only reject estimates five errors below the row count.
-SKETCH_ERROR, SKETCH_KEEP = 0.02, 0.9
-# Rows looked at by the collision screen; it rejects combinations, it never accepts one.
-SCREEN_ROWS = 10_000_000
+# Rows per combination looked at by the screen; it rejects combinations, it accepts none.
+SCREEN_ROWS = 100_000
 
 
 def grain_candidates(profile: Profile) -> list[str]:
@@ -45,8 +43,7 @@ def detect_grain(df: DataFrame, profile: Profile) -> tuple[list[str], bool]:
     Exact copies of a row can never be told apart, so a combination identifies rows when it
     has as many values as there are distinct rows; that number is known from the profile.
     Combinations are tried in order. Cheap exact rejections come first: the product of the
-    distinct counts, then a sketch, then a collision inside a hash slice. Survivors are
-    counted exactly.
+    distinct counts, then a collision inside a hash slice. Survivors are counted exactly.
     """
     distinct_rows = profile.rows - profile.duplicate_rows
     if not distinct_rows:
@@ -65,7 +62,7 @@ def detect_grain(df: DataFrame, profile: Profile) -> tuple[list[str], bool]:
             # The profile's distinct counts are exact already.
             unique = [c for c in combos if facts[c[0]]["distinct_count"] == distinct_rows]
         else:
-            survivors = _collision_screen(df, _sketch_screen(df, combos, distinct_rows), profile)
+            survivors = _collision_screen(df, combos, profile.rows)
             # A generator: the exact count of a combination runs only when it is reached.
             unique = (c for c in survivors if _distinct(df, c) == distinct_rows)
         for combo in unique:
@@ -77,36 +74,28 @@ def _distinct(df: DataFrame, combo: tuple[str, ...]) -> int:
     return df.select(*[col(n) for n in combo]).distinct().count()
 
 
-def _sketch_screen(df: DataFrame, combos: list, distinct_rows: int) -> list:
-    if not combos:
-        return []
-    sketches = [
-        F.approx_count_distinct(F.xxhash64(*[col(n) for n in c]), SKETCH_ERROR) for c in combos
-    ]
-    row = df.agg(*[s.alias(f"c{i}") for i, s in enumerate(sketches)]).first()
-    return [c for c, n in zip(combos, row, strict=True) if n >= SKETCH_KEEP * distinct_rows]
-
-
-def _collision_screen(df: DataFrame, combos: list, profile: Profile) -> list:
-    """Drop combinations shared by two different rows of a hash slice of their values.
+def _collision_screen(df: DataFrame, combos: list, rows: int) -> list:
+    """Drop combinations whose values are shared by two different rows of a hash slice.
 
-    The slice holds all rows of the values in it, so such a pair is a true counterexample.
-    Values and rows are compared by hash pairs; whatever hashing misses, the count decides.
+    The slice of a combination holds all rows of the values in it, so such a pair is a true
+    counterexample. Values are compared by two hashes and rows by one: what hashing misses
+    is left to the exact count. Slicing keeps the shuffle near constant as the table grows.
     """
     if len(combos) < 2:
         return combos
-    slices = max(1, profile.rows // SCREEN_ROWS)
-    row = F.xxhash64(*[col(n) for n in C.comparable(df).columns]).alias("row")
+    slices = F.lit(max(1, rows // SCREEN_ROWS))
+    hashed = F.xxhash64(*[col(n) for n in C.comparable(df).columns]).alias("row")
+    used = dict.fromkeys(n for combo in combos for n in combo)
     cells = []
     for i, combo in enumerate(combos):
-        values = [col(n) for n in combo]
-        first = F.xxhash64(*values)
-        kept = F.when(F.pmod(first, F.lit(slices)) == 0, first)
-        cells += [F.lit(i), kept, F.xxhash64(F.lit(i + 1), *reversed(values))]
-    stacked = F.stack(F.lit(len(combos)), *cells).alias("i", "h", "g")
+        first = F.xxhash64(*[col(n) for n in combo])
+        second = F.xxhash64(F.lit(i + 1), *[col(n) for n in reversed(combo)])
+        kept = F.pmod(first, slices) == 0
+        cells += [F.lit(i), F.when(kept, first), F.when(kept, second)]
     groups = (
         C.comparable(df)
-        .select(row, stacked)
+        .select(hashed, *[col(n) for n in used])
+        .select("row", F.stack(F.lit(len(combos)), *cells).alias("i", "h", "g"))
         .filter("h IS NOT NULL")
         .groupBy("i", "h", "g")
         .agg(F.min("row").alias("lo"), F.max("row").alias("hi"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tablewise.functions import columns as C
 from tablewise.functions import names
 from tablewise.functions.columns import col
-from tablewise.functions.text import RENDERED_CHARS, is_blank
+from tablewise.functions.text import RENDERED_CHARS
 from tablewise.operators import counts
 
 TOP_MAX_DISTINCT = 1_000
@@ -91,33 +91,37 @@ def _iso(value: Column, dtype: T.DataType) -> Column:
 
 
 def _stat_columns(f: T.StructField) -> list[Column]:
-    """The nine one-pass statistics of a column, NULL where its type has none."""
-    value, kind = col(f.name), C.logical_type(f.dataType)
-    null_text, null_double = F.lit(None).cast("string"), F.lit(None).cast("double")
-    least = greatest = null_text
-    low = high = total = mean = std = null_double
-    blanks, nans = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
-    if kind in C.NUMERIC:
-        number = value.cast("double")
-        ranked = F.when(~F.isnan(number), value)
-        low, high = F.min(ranked).cast("double"), F.max(ranked).cast("double")
-        least, greatest = F.min(ranked).cast("string"), F.max(ranked).cast("string")
-        total, mean, std = F.sum(number), F.avg(number), F.stddev_samp(number)
-        nans = F.count_if(F.isnan(number))
-    elif kind in C.TEMPORAL:
-        least, greatest = _iso(F.min(value), f.dataType), _iso(F.max(value), f.dataType)
-    elif kind == C.STRING:
-        blanks = F.count_if(is_blank(value))
-    return [least, greatest, low, high, total, mean, std, blanks, nans, F.count(value)]
-
-
-STATS = 10
+    """``(min, max, low, high, sum, mean, std, nans, present)`` of a number or a date."""
+    value = col(f.name)
+    none = F.lit(None).cast("double")
+    if C.logical_type(f.dataType) in C.TEMPORAL:
+        ends = [_iso(F.min(value), f.dataType), _iso(F.max(value), f.dataType)]
+        return [*ends, none, none, none, none, none, F.lit(0).cast("bigint"), F.count(value)]
+    number = value.cast("double")
+    ranked = F.when(~F.isnan(number), value)
+    low, high = F.min(ranked), F.max(ranked)
+    return [
+        low.cast("string"),
+        high.cast("string"),
+        low.cast("double"),
+        high.cast("double"),
+        F.sum(number),
+        F.avg(number),
+        F.stddev_samp(number),
+        F.count_if(F.isnan(number)),
+        F.count(value),
+    ]
+
+
+STATS = 9
 
 
 def column_stats(df: DataFrame) -> dict[str, tuple]:
-    """Per column ``(min, max, low, high, sum, mean, std, blanks, nans, present)``, one scan."""
+    """The one-pass statistics of every number and date column; one scan of those columns."""
+    kinds = C.NUMERIC | C.TEMPORAL
+    fields = [f for f in df.schema.fields if C.logical_type(f.dataType) in kinds]
     result: dict[str, tuple] = {}
-    for batch in C.batches(df.schema.fields):
+    for batch in C.batches(fields, 25):
         aggs = [a for f in batch for a in _stat_columns(f)]
         row = tuple(df.agg(*[a.alias(f"s{i}") for i, a in enumerate(aggs)]).first())
         for i, f in enumerate(batch):
@@ -129,6 +133,10 @@ def _clean(value: float | None) -> float | None:
     return value if value is not None and abs(value) < float("inf") else None
 
 
+def _clip(value: float | None) -> float | None:
+    return None if value is None else max(-counts.LARGEST, min(value, counts.LARGEST))
+
+
 def profile_columns(df: DataFrame) -> DataFrame:
     """One row per column. The result is a bounded local table: computing it runs the jobs.
 
@@ -140,14 +148,11 @@ def profile_columns(df: DataFrame) -> DataFrame:
     stats = column_stats(df)
     counted = {r["idx"]: r for r in counts.count_summary(df).collect()}
     numeric = [f.name for f in df.schema.fields if C.logical_type(f.dataType) in C.NUMERIC]
-    clip = lambda x: None if x is None else max(-1.7976931348623157e308, min(x, 1.7976931348623157e308))
-    bounds = {
-        n: (stats[n][9], stats[n][8], clip(stats[n][2]), clip(stats[n][3])) for n in numeric
-    }
+    bounds = {n: (stats[n][8], stats[n][7], *map(_clip, stats[n][2:4])) for n in numeric}
     median = counts.medians(df, bounds) if numeric else {}
     rows = []
     for i, f in enumerate(df.schema.fields):
-        least, greatest, low, high, total, mean, std, blanks, _, _ = stats[f.name]
+        least, greatest, low, high, total, mean, std, *_ = stats.get(f.name, [None] * STATS)
         seen, kind = counted.get(i), C.logical_type(f.dataType)
         distinct = seen["distinct"] if seen else 0
         top = []
@@ -167,7 +172,7 @@ def profile_columns(df: DataFrame) -> DataFrame:
                 seen["rows"] if seen else 0,
                 seen["nulls"] if seen else 0,
                 distinct,
-                blanks,
+                seen["blanks"] if seen else 0,
                 least,
                 greatest,
                 _clean(low),

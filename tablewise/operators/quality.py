@@ -7,6 +7,7 @@ distributed table has no row order.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -302,41 +303,61 @@ def _as_date(text: Column, fmt: str) -> Column:
     )
 
 
-def text_types(df: DataFrame, names: list[str]) -> dict[str, tuple[str, str, int, int]]:
+# Columns with up to this many values are parsed once per value instead of once per row.
+COUNTED_VALUES = 1_000_000
+
+
+def _text_cells(df: DataFrame, names: list[str], counted: set[str]) -> DataFrame:
+    """``(idx, t, n)``: trimmed texts of the named columns with how often they occur.
+
+    Columns in ``counted`` are counted by value first, which the map side reduces to little.
+    The others stay rows, so a nearly unique text column is not shuffled.
+    """
+    parts = []
+    few = [n for n in names if n in counted]
+    if few:
+        index = F.element_at(F.array(*[F.lit(names.index(n)) for n in few]), F.col("idx") + 1)
+        values = counts.slot_counts(df.select(*[col(n) for n in few])).filter("m > 0")
+        parts.append(values.select(index.alias("idx"), trim_u(F.col("s")).alias("t"), "n"))
+    for batch in C.batches([n for n in names if n not in counted], 25):
+        cells = [x for n in batch for x in (F.lit(names.index(n)), col(n))]
+        rows = df.select(F.stack(F.lit(len(batch)), *cells).alias("idx", "s"))
+        one = F.lit(1).cast("bigint").alias("n")
+        parts.append(rows.select("idx", trim_u(F.col("s")).alias("t"), one))
+    return reduce(DataFrame.unionByName, parts).filter("t <> ''")
+
+
+def text_types(cells: DataFrame, names: list[str]) -> dict[str, tuple[str, str, int, int]]:
     """Columns that are at least 95% numbers, or dates of one format.
 
-    Maps a column to ``(target, format, parsed, filled)``. One scan without a shuffle.
+    Maps a column to ``(target, format, parsed, filled)``.
     """
+    t, n = F.col("t"), F.col("n")
+    digit = t.rlike(r"^\d")
+    tests = {"numbers": _as_number(t)} | {f: digit & _as_date(t, f) for f in DATE_FORMATS}
+    sums = [F.sum(F.when(test, n).otherwise(0)).alias(f"t{i}") for i, test in enumerate(tests.values())]
     result = {}
-    for batch in C.batches(names, 25):
-        aggs = []
-        for n in batch:
-            text = trim_u(col(n))
-            digit = text.rlike(r"^\d")
-            aggs += [F.count_if(text != ""), F.count_if(_as_number(text))]
-            aggs += [F.count_if(digit & _as_date(text, f)) for f in DATE_FORMATS]
-        row = list(df.agg(*[a.alias(f"t{i}") for i, a in enumerate(aggs)]).first())
-        width = 2 + len(DATE_FORMATS)
-        for i, n in enumerate(batch):
-            filled, numbers, *dates = row[i * width : (i + 1) * width]
-            best = max(range(len(dates)), key=lambda k: (dates[k], -k))
-            if filled and numbers / filled >= PARSED_SHARE:
-                result[n] = ("numbers", "", numbers, filled)
-            elif filled and dates[best] / filled >= PARSED_SHARE:
-                result[n] = ("dates", list(DATE_FORMATS)[best], dates[best], filled)
-    return result
+    for row in cells.groupBy("idx").agg(F.sum("n").alias("filled"), *sums).collect():
+        _, filled, numbers, *dates = row
+        best = max(range(len(dates)), key=lambda k: (dates[k], -k))
+        if numbers / filled >= PARSED_SHARE:
+            result[names[row["idx"]]] = ("numbers", "", numbers, filled)
+        elif dates[best] / filled >= PARSED_SHARE:
+            result[names[row["idx"]]] = ("dates", list(DATE_FORMATS)[best], dates[best], filled)
+    return {name: result[name] for name in names if name in result}
 
 
 def type_mismatch(df: DataFrame, profile: Profile) -> DataFrame:
-    names = [
-        c["column"]
-        for c in profile.columns
-        if c["logical_type"] == C.STRING and c["role"] not in KEYS
+    texts = [
+        c for c in profile.columns if c["logical_type"] == C.STRING and c["role"] not in KEYS
     ]
+    names = [c["column"] for c in texts]
     if not names:
         return _issues(df, [])
-    typed = text_types(df, names)
-    bad_examples = _unparsed_examples(df, {n: t for n, t in typed.items() if t[2] < t[3]})
+    counted = {c["column"] for c in texts if c["distinct_count"] <= COUNTED_VALUES}
+    cells = _text_cells(df, names, counted)
+    typed = text_types(cells, names)
+    bad_examples = _unparsed_examples(cells, names, {n: t for n, t in typed.items() if t[2] < t[3]})
     rows = []
     for n, (target, _, parsed, filled) in typed.items():
         bad = filled - parsed
@@ -348,24 +369,18 @@ def type_mismatch(df: DataFrame, profile: Profile) -> DataFrame:
     return _issues(df, rows)
 
 
-def _unparsed_examples(df: DataFrame, typed: dict[str, tuple]) -> dict[str, list[str]]:
+def _unparsed_examples(cells: DataFrame, names: list[str], typed: dict) -> dict[str, list[str]]:
     if not typed:
         return {}
-    cells = []
-    for n, (target, fmt, _, _) in typed.items():
-        text = trim_u(col(n))
-        ok = _as_number(text) if target == "numbers" else _as_date(text, fmt)
-        cells += [F.lit(n), F.when((text != "") & ~ok, text)]
-    bad = (
-        df.select(F.stack(F.lit(len(typed)), *cells).alias("column", "value"))
-        .filter("value IS NOT NULL")
-        .distinct()
-    )
-    rank = F.row_number().over(Window.partitionBy("column").orderBy("value"))
-    top = bad.withColumn("rn", rank).filter(F.col("rn") <= EXAMPLES)
+    t, bad = F.col("t"), F.lit(False)
+    for name, (target, fmt, _, _) in typed.items():
+        ok = _as_number(t) if target == "numbers" else _as_date(t, fmt)
+        bad = bad | ((F.col("idx") == names.index(name)) & ~ok)
+    rank = F.row_number().over(Window.partitionBy("idx").orderBy("t"))
+    top = cells.filter(bad).select("idx", "t").distinct().withColumn("rn", rank)
     found: dict[str, list[str]] = {}
-    for r in top.select("column", bounded(F.col("value")).alias("v")).orderBy("column", "v").collect():
-        found.setdefault(r["column"], []).append(r["v"])
+    for r in top.filter(F.col("rn") <= EXAMPLES).orderBy("idx", "rn").select("idx", bounded(t)).collect():
+        found.setdefault(names[r[0]], []).append(r[1])
     return found
 
 

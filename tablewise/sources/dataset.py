@@ -110,6 +110,16 @@ def scratch_folder(spark: SparkSession) -> str | None:
     return None
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use the whole cluster for a source that is read in fewer splits than there are cores.
+
+    A small file is one split, and every pass over it would run in one task. Large sources
+    have more splits than cores already and are returned unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Store a derived table as Parquet and read it back, so that later passes scan columns.
 
