@@ -22,6 +22,8 @@ from tablewise.operators.profile import ATTRIBUTE, IDENTIFIER, KEYS, Profile
 MIN_AGREEMENT = 0.99
 NEAR_MISS = 0.9
 ROW_IDENTIFIER_SHARE = 0.9
+# A key with more rows than either is never gathered in one task.
+HOT_ROWS, HOT_SHARE = 1_000_000, 1e-5
 
 DEPENDENCY_SCHEMA = T.StructType(
     [
@@ -80,22 +82,32 @@ def spelled_attributes(df: DataFrame, attributes: list[str]) -> set[str]:
     return {texts[r["idx"]] for r in found}
 
 
-def key_dependencies(
-    df: DataFrame, key: str, attributes: list[str], spelled: set[str] | None = None
-) -> DataFrame:
-    """Strength of ``key -> attribute`` for all attributes in one pass.
+def hot_keys(df: DataFrame, keys: list[str], rows: int) -> dict[str, DataFrame]:
+    """Keys too frequent to be handled in one task, as ``__k`` per key column that has any.
 
-    Agreement is the share of rows holding the most frequent value of their key, spelling
-    ignored. Conflicts are counted on raw values: the rows a dimension would change.
-    Where every value has one spelling (not in ``spelled``) both follow from one count.
+    The threshold is a share of the rows, so there are at most ``1 / HOT_SHARE`` of them.
     """
-    if spelled is None:
-        spelled = spelled_attributes(df, attributes)
+    limit = max(HOT_ROWS, int(rows * HOT_SHARE))
+    if rows <= limit:
+        return {}
+    counted = slot_counts(df.select(*[col(k) for k in keys]))
+    found = counted.filter((F.col("m") > 0) & (F.col("n") > limit)).select("idx").distinct()
+    result = {}
+    for r in found.collect():
+        name = keys[r["idx"]]
+        values = df.groupBy(col(name).alias("__k")).agg(F.count("*").alias("__n"))
+        hot = (F.col("__n") > limit) & F.col("__k").isNotNull()
+        result[name] = values.filter(hot).select("__k")
+    return result
+
+
+def _strength(rows: DataFrame, key: str, attributes: list[str], spelled: set[str]) -> DataFrame:
+    """``(attribute, rows, modal, raw)``: rows, and rows with the modal value of their key."""
     parts = []
     for group in ([a for a in attributes if a not in spelled], [a for a in attributes if a in spelled]):
         if not group:
             continue
-        counted = _value_counts(df, key, group)
+        counted = _value_counts(rows, key, group)
         if group[0] in spelled:
             counted = counted.groupBy("k", "a", value_key(F.col("v")).alias("v")).agg(
                 F.sum("n").alias("n"), F.max("n").alias("raw")
@@ -109,17 +121,50 @@ def key_dependencies(
             F.sum("rows").alias("rows"), F.sum("modal").alias("modal"), F.sum("raw").alias("raw")
         )
         name = F.element_at(F.array(*[F.lit(a) for a in group]), F.col("a") + 1)
-        parts.append(
-            totals.select(
-                F.lit(key).alias("key"),
-                name.alias("attribute"),
-                F.try_divide("modal", "rows").alias("agreement"),
-                (F.col("rows") - F.col("raw")).alias("conflicting_rows"),
-            )
-        )
+        parts.append(totals.select(name.alias("attribute"), "rows", "modal", "raw"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def key_dependencies(
+    df: DataFrame,
+    key: str,
+    attributes: list[str],
+    spelled: set[str] | None = None,
+    hot: DataFrame | None = None,
+) -> DataFrame:
+    """Strength of ``key -> attribute`` for all attributes in one pass.
+
+    Agreement is the share of rows holding the most frequent value of their key, spelling
+    ignored. Conflicts are counted on raw values: the rows a dimension would change.
+    Where every value has one spelling (not in ``spelled``) both follow from one count.
+
+    Rows are brought together by key once, narrow and not yet unpivoted; all the counting
+    behind that stays inside the partition. Rows of ``hot`` keys stay where they are and are
+    counted by value with map-side combining instead.
+    """
+    if spelled is None:
+        spelled = spelled_attributes(df, attributes)
+    keyed = df.select(*[col(c) for c in dict.fromkeys([key, *attributes])])
+    keyed = keyed.filter(col(key).isNotNull())
+    parts = []
+    if hot is not None:
+        # At most 1 / HOT_SHARE keys, so they can be broadcast.
+        few = F.broadcast(hot)
+        match = col(key) == F.col("__k")
+        parts.append(_strength(keyed.join(few, match, "left_semi"), key, attributes, spelled))
+        keyed = keyed.join(few, match, "left_anti")
+    parts.append(_strength(keyed.repartition(col(key)), key, attributes, spelled))
+    totals = reduce(DataFrame.unionByName, parts).groupBy("attribute").agg(
+        F.sum("rows").alias("rows"), F.sum("modal").alias("modal"), F.sum("raw").alias("raw")
+    )
+    return totals.select(
+        F.lit(key).alias("key"),
+        "attribute",
+        F.try_divide("modal", "rows").alias("agreement"),
+        (F.col("rows") - F.col("raw")).alias("conflicting_rows"),
+    )
+
+
 def dependencies(df: DataFrame, keys: list[str], attributes: list[str]) -> DataFrame:
     """``(key, attribute, agreement, conflicting_rows)`` for every pair; 0 and 0 when empty."""
     spark = df.sparkSession
@@ -127,10 +172,13 @@ def dependencies(df: DataFrame, keys: list[str], attributes: list[str]) -> DataF
     everything = spark.createDataFrame(pairs, DEPENDENCY_SCHEMA)
     if not pairs:
         return everything
-    spelled = spelled_attributes(df, attributes)
+    spelled, hot = spelled_attributes(df, attributes), hot_keys(df, keys, df.count())
     found = reduce(
         DataFrame.unionByName,
-        [key_dependencies(df, k, [a for a in attributes if a != k], spelled) for k in keys],
+        [
+            key_dependencies(df, k, [a for a in attributes if a != k], spelled, hot.get(k))
+            for k in keys
+        ],
     )
     names = ["key", "attribute"]
     return (
@@ -208,11 +256,11 @@ def conflicting_rows(df: DataFrame, dimension: DataFrame, key: str, attribute: s
     The rows are first reduced to the distinct (key, value) pairs in conflict, so a hot key
     does not skew the join; AQE broadcasts the pairs when they are few.
     """
-    kept = dimension.select(col(key).alias("k"), col(attribute).alias("kept"))
-    pairs = df.select(col(key).alias("k"), col(attribute).alias("v")).dropna().distinct()
-    wrong = pairs.join(kept, "k").filter(F.col("v") != F.col("kept")).select("k", "v", "kept")
-    match = (col(key) == F.col("k")) & (col(attribute) == F.col("v"))
-    return df.join(wrong, match).drop("k", "v")
+    kept = dimension.select(col(key).alias("__k"), col(attribute).alias("kept"))
+    pairs = df.select(col(key).alias("__k"), col(attribute).alias("__v")).dropna().distinct()
+    wrong = pairs.join(kept, "__k").filter(F.col("__v") != F.col("kept"))
+    match = (col(key) == F.col("__k")) & (col(attribute) == F.col("__v"))
+    return df.join(wrong, match).drop("__k", "__v")
 
 
 # -- hierarchies ------------------------------------------------------------------------------

@@ -69,7 +69,7 @@ def load_csv(
     )
     try:
         raw = reader.csv(path)
-    except (PySparkException, Exception) as exc:  # an unknown charset surfaces as a JVM error
+    except Exception as exc:  # an unknown charset surfaces as a JVM error
         raise LoadError(f"cannot parse {name} as CSV: {type(exc).__name__}") from None
     if not raw.columns:
         raise LoadError(f"cannot parse {name} as CSV: no columns")
