@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from tablewise.functions.columns import batches, col, comparable
 from tablewise.functions.text import is_blank
+from tablewise.sources.dataset import materialise
 
 TOP = 5
 # Suspect row hashes that may be broadcast: at 8 bytes each this is at most 16 MB.
@@ -142,9 +143,10 @@ def duplicate_groups(df: DataFrame) -> DataFrame:
     """
     df = comparable(df)
     hashes = df.select(_row_hash(df).alias("__h")).groupBy("__h").count()
-    repeated = hashes.filter("count > 1").select("__h")
-    # One more than the bound is enough to know that the bound is exceeded.
-    suspects = repeated.limit(BROADCAST_HASHES + 1).count()
+    # One more than the bound is enough to know that the bound is exceeded; stored, so that
+    # the counting above runs once.
+    repeated = materialise(hashes.filter("count > 1").select("__h").limit(BROADCAST_HASHES + 1))
+    suspects = repeated.count()
     rows = df
     if suspects == 0:
         rows = df.filter(F.lit(False))

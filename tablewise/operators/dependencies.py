@@ -53,20 +53,18 @@ def attribute_candidates(profile: Profile) -> list[str]:
 
 
 def _attribute_cells(df: DataFrame, key: str, attributes: list[str]) -> DataFrame:
-    """``(k, a, v)``: one row per keyed row and filled attribute, the value as text."""
+    """``(k, a, v)``: one row per keyed row and attribute, the value as text."""
     keyed = df.filter(col(key).isNotNull())
     parts = []
     for batch in batches(list(enumerate(attributes))):
         cells = [x for i, a in batch for x in (F.lit(i), col(a).cast("string"))]
         stacked = F.stack(F.lit(len(batch)), *cells).alias("a", "v")
-        parts.append(keyed.select(col(key).alias("k"), stacked).filter("v IS NOT NULL"))
+        parts.append(keyed.select(col(key).alias("k"), stacked))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _value_counts(df: DataFrame, key: str, attributes: list[str]) -> DataFrame:
-    return _attribute_cells(df, key, attributes).groupBy("k", "a", "v").agg(
-        F.count("*").alias("n")
-    )
+def _value_counts(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("k", "a", "v").agg(F.count("*").alias("n"))
 
 
 def spelled_attributes(df: DataFrame, attributes: list[str]) -> set[str]:
@@ -107,7 +105,7 @@ def _strength(rows: DataFrame, key: str, attributes: list[str], spelled: set[str
     for group in ([a for a in attributes if a not in spelled], [a for a in attributes if a in spelled]):
         if not group:
             continue
-        counted = _value_counts(rows, key, group)
+        counted = _value_counts(_attribute_cells(rows, key, group).filter("v IS NOT NULL"))
         if group[0] in spelled:
             counted = counted.groupBy("k", "a", value_key(F.col("v")).alias("v")).agg(
                 F.sum("n").alias("n"), F.max("n").alias("raw")
@@ -237,17 +235,15 @@ def build_dimension(df: DataFrame, key: str, attributes: list[str]) -> DataFrame
     ``mode`` would hold every distinct value of a key in one buffer. Counting by value first
     leaves one small comparable struct per key and attribute to reduce.
     """
-    counted = _value_counts(df, key, attributes)
-    # Keys without any attribute value must still get their row.
-    bare = df.filter(col(key).isNotNull()).select(col(key).alias("k")).distinct()
-    none = [F.lit(None).cast(t).alias(n) for n, t in (("a", "int"), ("v", "string"), ("n", "bigint"))]
-    everything = counted.unionByName(bare.select("k", *none))
+    counted = _value_counts(_attribute_cells(df, key, attributes))
     best = []
     for i, a in enumerate(attributes):
         typed = F.col("v").try_cast(df.schema[a].dataType)
-        rank = F.when(F.col("a") == i, F.struct((-F.col("n")).alias("m"), typed.alias("v")))
+        filled = (F.col("a") == i) & F.col("v").isNotNull()
+        rank = F.when(filled, F.struct((-F.col("n")).alias("m"), typed.alias("v")))
         best.append(F.min(rank)["v"].alias(a))
-    return everything.groupBy(F.col("k").alias(key)).agg(*best)
+    # Missing values are counted as well, so a key without any value keeps its row.
+    return counted.groupBy(F.col("k").alias(key)).agg(*best)
 
 
 def conflicting_rows(df: DataFrame, dimension: DataFrame, key: str, attribute: str) -> DataFrame:
