@@ -35,9 +35,9 @@ def _stored(spark: SparkSession, d: str) -> DataFrame:
     return materialise(dirty_sales(spark, d))
 
 
-def _profiled(spark: SparkSession, d: str) -> tuple[DataFrame, P.Profile]:
+def _profiled(spark: SparkSession, d: str, medians: bool = False) -> tuple[DataFrame, P.Profile]:
     df = _stored(spark, d)
-    return df, P.profile_table(df, "sales")
+    return df, P.profile_table(df, "sales", medians)
 
 
 def _designed(spark: SparkSession, d: str) -> tuple[DataFrame, P.Profile, StarDesign]:
@@ -105,7 +105,7 @@ def top_values(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def column_roles(spark: SparkSession, d: str) -> DataFrame:
-    found = P.with_roles(P.profile_columns(_stored(spark, d)))
+    found = P.with_roles(P.profile_columns(_stored(spark, d), medians=False))
     return found.select(
         F.col("column").alias("column_name"), "logical_type", "role", "reason", "additive", "nullable"
     )
@@ -113,7 +113,7 @@ def column_roles(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def event_roles(spark: SparkSession, d: str) -> DataFrame:
-    found = P.with_roles(P.profile_columns(read_spread(spark, d, "events")))
+    found = P.with_roles(P.profile_columns(read_spread(spark, d, "events"), medians=False))
     return found.select(F.col("column").alias("column_name"), "role", "distinct_count", "min", "max")
 
 
@@ -227,7 +227,7 @@ def kpis(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def measure_stats(spark: SparkSession, d: str) -> DataFrame:
-    _, profile = _profiled(spark, d)
+    _, profile = _profiled(spark, d, medians=True)
     return M.measure_stats(profile).select(
         F.col("column").alias("column_name"),
         F.round("sum", 2).alias("total"),

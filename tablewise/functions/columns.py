@@ -74,12 +74,6 @@ def comparable(df: DataFrame) -> DataFrame:
     )
 
 
-def finite(value: Column) -> Column:
-    """NaN and the infinities as NULL: reports never carry them."""
-    bad = F.isnan(value) | value.isin(float("inf"), float("-inf"))
-    return F.when(~bad, value)
-
-
 def batches(items: list, size: int = 100) -> list[list]:
     """Very wide tables are handled in several narrower passes to keep generated code small."""
     return [items[i : i + size] for i in range(0, len(items), size)]

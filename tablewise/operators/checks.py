@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -340,8 +340,5 @@ def table_change(old: DataFrame, new: DataFrame, key: str | None) -> DataFrame:
             F.count_if(here & there & changed).alias("rows_changed"),
         )
     listed = [F.array(*[F.lit(c) for c in v]).cast("array<string>").alias(k) for k, v in names.items()]
-    return counts.select(*listed, *[c.alias(n) for n, c in _counts()])
+    return counts.select(*listed, "rows_added", "rows_removed", "rows_changed")
 
-
-def _counts() -> list[tuple[str, Column]]:
-    return [(n, F.col(n)) for n in ("rows_added", "rows_removed", "rows_changed")]

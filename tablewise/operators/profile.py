@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,11 +138,12 @@ def _clip(value: float | None) -> float | None:
     return None if value is None else max(-counts.LARGEST, min(value, counts.LARGEST))
 
 
-def profile_columns(df: DataFrame) -> DataFrame:
+def profile_columns(df: DataFrame, medians: bool = True) -> DataFrame:
     """One row per column. The result is a bounded local table: computing it runs the jobs.
 
     Three kinds of pass: one aggregate for all statistics, one counted shuffle for distinct
-    and most frequent values, and the narrow counting passes of the exact medians.
+    and most frequent values, and the narrow counting passes of the exact medians, which a
+    caller that needs roles and counts only can leave out.
     """
     spark = df.sparkSession
     C.check_names(df)
@@ -149,7 +151,7 @@ def profile_columns(df: DataFrame) -> DataFrame:
     counted = {r["idx"]: r for r in counts.count_summary(df).collect()}
     numeric = [f.name for f in df.schema.fields if C.logical_type(f.dataType) in C.NUMERIC]
     bounds = {n: (stats[n][8], stats[n][7], *map(_clip, stats[n][2:4])) for n in numeric}
-    median = counts.medians(df, bounds) if numeric else {}
+    median = counts.medians(df, bounds) if numeric and medians else {}
     rows = []
     for i, f in enumerate(df.schema.fields):
         least, greatest, low, high, total, mean, std, *_ = stats.get(f.name, [None] * STATS)
@@ -241,11 +243,16 @@ class Profile:
     """Bounded facts about a table: its totals and one row per column."""
 
     name: str
+    source: DataFrame
     rows: int
-    duplicate_rows: int
     frame: DataFrame
     columns: list = field(default_factory=list)
 
+    @cached_property
+    def duplicate_rows(self) -> int:
+        """Rows that repeat an earlier row; counted when first asked for."""
+        return counts.duplicate_rows(self.source) if self.rows else 0
+
     def by_role(self, *roles: str) -> list:
         return [c for c in self.columns if c["role"] in roles]
 
@@ -272,12 +279,12 @@ class Profile:
         return [c["column"] for c in self.by_role(MEASURE) if not c["additive"]]
 
 
-def profile_table(df: DataFrame, name: str = "table") -> Profile:
+def profile_table(df: DataFrame, name: str = "table", medians: bool = True) -> Profile:
     """Profile with roles; only one row per column is collected."""
-    columns = with_roles(profile_columns(df)).orderBy("ordinal").collect()
+    columns = with_roles(profile_columns(df, medians)).orderBy("ordinal").collect()
     rows = columns[0]["rows"] if columns else df.count()
     frame = df.sparkSession.createDataFrame(columns, with_roles_schema())
-    return Profile(name, rows, counts.duplicate_rows(df) if rows else 0, frame, columns)
+    return Profile(name, df, rows, frame, columns)
 
 
 def with_roles_schema() -> T.StructType:
