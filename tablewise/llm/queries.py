@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewise.llm.common import table
+from tablewise.llm.oracles import ORACLES  # noqa: F401  (registered with the queries)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn: Query) -> Query:
@@ -30,3 +30,17 @@ def op1_token_store(spark: SparkSession, d: str) -> DataFrame:
     from tablewise.llm.token_store import token_store
 
     return token_store(table(spark, d, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
+
+
+@query
+def op3_decontaminate(spark: SparkSession, d: str) -> DataFrame:
+    from tablewise.llm.decontaminate import contamination
+
+    return contamination(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("text_key")
+
+
+@query
+def op5_syncmers(spark: SparkSession, d: str) -> DataFrame:
+    from tablewise.llm.syncmers import fingerprints
+
+    return fingerprints(table(spark, d, "documents"))
