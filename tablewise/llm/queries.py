@@ -44,3 +44,10 @@ def op5_syncmers(spark: SparkSession, d: str) -> DataFrame:
     from tablewise.llm.syncmers import fingerprints
 
     return fingerprints(table(spark, d, "documents"))
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    from tablewise.llm.substrings import without_repeats
+
+    return without_repeats(table(spark, d, "documents"))
