@@ -51,3 +51,10 @@ def op8_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     from tablewise.llm.substrings import without_repeats
 
     return without_repeats(table(spark, d, "documents"))
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    from tablewise.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, d, "documents"))
