@@ -58,3 +58,10 @@ def op9_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     from tablewise.llm.jaccard_join import jaccard_components
 
     return jaccard_components(table(spark, d, "documents"))
+
+
+@query
+def op10_personal_data(spark: SparkSession, d: str) -> DataFrame:
+    from tablewise.llm.personal import personal_data
+
+    return personal_data(table(spark, d, "documents"))
