@@ -65,3 +65,11 @@ def op10_personal_data(spark: SparkSession, d: str) -> DataFrame:
     from tablewise.llm.personal import personal_data
 
     return personal_data(table(spark, d, "documents"))
+
+
+@query
+def op6_importance_resampling(spark: SparkSession, d: str) -> DataFrame:
+    from tablewise.llm.resampling import resampled
+
+    out = resampled(table(spark, d, "documents"), table(spark, d, "labels"))
+    return out.select("doc_id", "source", "log_weight", "gumbel", "key")
