@@ -8,16 +8,19 @@ in every region in which a partner may live; three kinds of pivot are used, coar
    Partners share all but a tenth of their shingles, so a set is replicated to the regions of a
    tenth of its shingles (plus one), the rarest by a corpus-wide sketch: every linked pair
    meets in one of these regions.
-2. *Documents as pivots*, inside regions of more than 256 sets, where distances differ. Whoever
-   is within the threshold of a pivot is linked to it, and pairs that are linked already, even by
-   way of others, need no test. The rest are joined within Voronoi cells: a set belongs to the
-   cell of its nearest pivot, and to another cell if its distance to that pivot is larger by
-   at most twice the threshold. By the triangle inequality a linked pair shares a cell.
-3. *One set as pivot*, inside a task: sets whose distances to it differ by more than the threshold
-   are not compared.
-
-Cells that are still large are joined tile by tile, so that no task holds more than 512 sets.
-Equal sets are one set from the start. Only links that join two components are returned.
+2. *Sets as pivots*, inside regions of more than 256 sets. Whoever is linked to a pivot is done, and
+   pairs that are linked already, even by way of others, need no test. The rest are joined within
+   Voronoi cells: a set belongs to the cell of its nearest pivot, and to another one too if it is
+   farther from that pivot by at most twice the radius. By the triangle inequality a linked
+   pair shares a cell. Cells that are still large are joined tile by tile.
+3. *Parts of the universe as pivots*, for pairs of a region: a set's counts of shingles in n/8
+   hash buckets are its distances to the buckets, and the sum of two sets' differences is at
+   most the size of their symmetric difference. Pairs beyond the radius are out; this is also
+   the distance that 2. uses, as it needs a hundredth of a set's bytes.
+
+What is left are nearly links alone. They are verified on the texts, first a forest that would
+join each region's sets, then more pairs between sets that are still apart (1, 8, 64, all), so
+that a group of copies costs about one test a member. Equal sets are one set from the start.
 """
 
 from __future__ import annotations
@@ -64,16 +67,28 @@ def set_key(s: np.ndarray) -> int:
         return int(np.bitwise_xor.reduce(mixed(s + place * MIX_A)).view(np.int64))
 
 
+def signature(s: np.ndarray) -> bytes:
+    """Counts of a set's shingles in a power of two of buckets, about an eighth of its size."""
+    buckets = 1 << max(3, (len(s) >> 3).bit_length() - 1)
+    counts = np.bincount((mixed(s) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def folded(sig: bytes, buckets: int) -> np.ndarray:
+    """A signature in fewer buckets."""
+    return np.frombuffer(sig, np.uint8).reshape(-1, buckets).sum(axis=0, dtype=np.int32)
+
+
 def _cell(tokens: np.ndarray) -> np.ndarray:
     return (mixed(tokens ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(CELLS - 1)).astype(np.int64)
 
 
 def _scan(docs: DataFrame, size: int) -> DataFrame:
-    """One row per document (doc_id, n, k), and the parts of each task's sketch of shingle counts."""
+    """One row per document (doc_id, n, k, sig), and the parts of each task's sketch of shingle counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(CELLS, np.uint32)
-        names = ["doc_id", "n", "k", "part", "counts"]
+        names = ["doc_id", "n", "k", "sig", "part", "counts"]
         for whole in batches:
             for batch in slices(whole):
                 sets = shingle_sets(texts_of(batch.column("text")), size)
@@ -84,6 +99,7 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
                         batch.column("doc_id"),
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array([set_key(s) for s in sets], pa.int64()),
+                        pa.array([signature(s) for s in sets], pa.binary()),
                         pa.nulls(m, pa.int32()),
                         pa.nulls(m, pa.binary()),
                     ],
@@ -97,13 +113,14 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
                         pa.nulls(1, pa.int64()),
                         pa.nulls(1, pa.int32()),
                         pa.nulls(1, pa.int64()),
+                        pa.nulls(1, pa.binary()),
                         pa.array([i], pa.int32()),
                         pa.array([parts[i].tobytes()], pa.binary()),
                     ],
                     names,
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n int, k long, part int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n int, k long, sig binary, part int, counts binary")
 
 
 def _sketch(scanned: DataFrame) -> np.ndarray:
@@ -156,183 +173,248 @@ def _memberships(docs: DataFrame, sketch: np.ndarray, size: int, percent: int) -
     return docs.select("text").mapInArrow(run, "pivot long, k long, n int")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(k, n, items) of the wanted sets (doc_id, k, n): only documents named there are read again."""
+# ---------------------------------------------------------------- pairs
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole):
-                sets = shingle_sets(texts_of(batch.column("text")), size)
-                keys = batch.column("k").to_pylist()
-                own = [i for i, s in enumerate(sets) if set_key(s) == keys[i]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([keys[i] for i in own], pa.int64()),
-                        pa.array([len(sets[i]) for i in own], pa.int32()),
-                        pa.array([sets[i].tobytes() for i in own], pa.binary()),
-                    ],
-                    ["k", "n", "items"],
-                )
 
-    near = docs.join(wanted.select(F.col("doc_id").alias("d"), "k"), F.col("doc_id").eqNullSafe(F.col("d")))
-    # Rows of one doc_id and set give it twice, which joins of sets tolerate.
-    return near.select("text", "k").mapInArrow(run, "k long, n int, items binary")
+def _within(apart: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a symmetric difference of at least ``apart`` allows a link of sets of that total size."""
+    return (100 + percent) * apart <= (100 - percent) * sizes
 
 
-# ---------------------------------------------------------------- joins of sets
+def candidate_pairs(
+    k: list[int],
+    n: np.ndarray,
+    sigs: list[bytes],
+    label: np.ndarray,
+    failed: list[set[int]],
+    side: np.ndarray | None,
+    percent: int,
+    per_pair: int,
+) -> list[tuple[int, int]]:
+    """Pairs of a group worth a test: near by signature, in different components, not tested before.
 
+    Of each two components up to ``per_pair`` pairs, the nearest first, and only as many component
+    pairs as a forest needs, unless ``per_pair`` is 0, which gives all.
+    """
+    levels = np.array([len(s) for s in sigs])
+    found = []
+    for level in np.unique(levels):
+        rows = np.flatnonzero((levels == level) | (levels == 2 * level))
+        table = np.stack([folded(sigs[i], level) for i in rows])
+        for at, y in enumerate(rows):
+            if levels[y] != level:
+                continue
+            # Pairs of one level once; pairs with the next level from the smaller one.
+            others = np.flatnonzero(((rows > y) | (levels[rows] != level)) & (label[rows] != label[y]))
+            if side is not None:
+                others = others[side[rows[others]] != side[y]]
+            if not len(others):
+                continue
+            x = rows[others]
+            ok = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+            apart = np.abs(table[others[ok]] - table[at]).sum(axis=1)
+            near = _within(apart, n[x[ok]] + n[y], percent)
+            for i, d in zip(x[ok][near].tolist(), apart[near].tolist(), strict=True):
+                if k[i] not in failed[y] and k[y] not in failed[i]:
+                    found.append((d / (n[i] + n[y]), y, i))
+    if not per_pair:
+        return [(k[y], k[x]) for _, y, x in found]
+    found.sort()
+    parent = {int(c): int(c) for c in np.unique(label)}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    out, used = [], {}
+    for _, y, x in found:
+        a, b = int(label[y]), int(label[x])
+        pair = (min(a, b), max(a, b))
+        if pair in used or root(a) != root(b):
+            used[pair] = used.get(pair, 0) + 1
+            if used[pair] <= per_pair:
+                parent[root(a)] = root(b)
+                out.append((k[y], k[x]))
+    return out
 
-def _linked(common: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * common >= percent * (a + b - common)
 
+_PAIR = "a long, b long"
 
-def spanning_links(
-    sets: list[np.ndarray], percent: int, labels: np.ndarray | None = None, left: int | None = None
-) -> list[tuple[int, int]]:
-    """Links between sets that join components (equal labels are one component to begin with).
 
-    ``left`` restricts pairs to one of the first ``left`` sets with one of the others.
-    """
-    n = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets)
-    _, code = np.unique(flat, return_inverse=True)
-    first = np.cumsum(n) - n
-    label = np.arange(len(sets)) if labels is None else np.unique(labels, return_inverse=True)[1]
-    mark = np.zeros(int(code.max()) + 1, bool)
-    links, pivot = [], None
-    for y in range(len(sets) if left is None else left):
-        others = np.arange(y + 1 if left is None else left, len(sets))
-        others = others[label[others] != label[y]]
-        small, large = np.minimum(n[others], n[y]), np.maximum(n[others], n[y])
-        near = 100 * small >= percent * large
-        if pivot is not None:  # triangle inequality, with a margin for rounding
-            near &= np.abs(pivot[others] - pivot[y]) <= 1 - percent / 100 + 1e-9
-        if left is None and y == 0:
-            tested = others
-        else:
-            tested = others[near]
-        if not len(tested):
-            continue
-        mark[code[first[y] : first[y] + n[y]]] = True
-        at = np.repeat(first[tested] - (np.cumsum(n[tested]) - n[tested]), n[tested]) + np.arange(n[tested].sum())
-        common = np.add.reduceat(mark[code[at]].astype(np.int64), np.cumsum(n[tested]) - n[tested])
-        mark[code[first[y] : first[y] + n[y]]] = False
-        if left is None and y == 0 and labels is None:
-            pivot = np.zeros(len(sets))
-            pivot[tested] = 1 - common / (n[tested] + n[y] - common)
-        for x in tested[_linked(common, n[tested], n[y], percent)].tolist():
-            if label[x] != label[y]:
-                label[label == label[x]] = label[y]
-                links.append((y, x))
-    return links
-
-
-_LINK = "a long, b long"
-
-
-def _link_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*pairs, strict=True) if pairs else ((), ())
+def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*((min(p), max(p)) for p in pairs), strict=True) if pairs else ((), ())
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _join_groups(members: DataFrame, group: list[str], percent: int, sided: bool) -> DataFrame:
-    """Links within groups (bounded in size) of ``members`` (group, k, items[, label, side])."""
-    fields = [*group, "k", "items", *(["label", "side"] if sided else [])]
+def _proposed(groups: DataFrame, sets: DataFrame, label: DataFrame, failed: DataFrame, percent: int, per_pair: int) -> DataFrame:
+    """Pairs (a, b) to be tested in groups of a bounded number of sets: (g1, g2, g3, k, side)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = None, []
 
         def finish() -> pa.RecordBatch:
-            own = sorted(rows, key=lambda r: (r[3], r[0]))
-            sets = [np.frombuffer(r[1], np.uint64) for r in own]
-            left = sum(r[3] == 0 for r in own) if sided else None
-            if len(own) < 2 or left == 0 or left == len(own):
-                return _link_batch([])
-            labels = np.array([r[2] for r in own], np.int64) if sided else None
-            return _link_batch([(own[i][0], own[j][0]) for i, j in spanning_links(sets, percent, labels, left)])
+            k, n, sigs, labels, fails, side = zip(*rows, strict=True)
+            sides = np.array(side) if any(s is not None for s in side) else None
+            if len(set(labels)) < 2:
+                return _pair_batch([])
+            return _pair_batch(
+                candidate_pairs(
+                    list(k), np.array(n, np.int64), list(sigs), np.array(labels, np.int64),
+                    [set(f or ()) for f in fails], sides, percent, per_pair,
+                )
+            )
 
         for batch in batches:
-            cols = [batch.column(f).to_pylist() for f in fields]
-            for row in zip(*cols, strict=True):
-                key = row[: len(group)]
-                if key != held:
+            for g1, g2, g3, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (g1, g2, g3) != held:
                     if rows:
                         yield finish()
-                    held, rows = key, []
-                k, items, *rest = row[len(group) :]
-                rows.append((k, items, *(rest or (0, 0))))
+                    held, rows = (g1, g2, g3), []
+                rows.append(row)
         if rows:
             yield finish()
 
-    dealt = members.select(*fields).repartition(*[F.col(g) for g in group]).sortWithinPartitions(*group)
-    return dealt.mapInArrow(run, _LINK)
+    fails = failed.select("a", "b").union(failed.select("b", "a")).toDF("k", "f").groupBy("k").agg(F.collect_set("f").alias("fails"))
+    full = groups.join(sets.select("k", "n", "sig"), "k").join(label.withColumnRenamed("v", "k"), "k", "left")
+    full = full.join(fails, "k", "left").withColumn("label", F.coalesce("label", "k"))
+    full = full.select("g1", "g2", "g3", "k", "n", "sig", "label", "fails", "side")
+    return full.repartition("g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3").mapInArrow(run, _PAIR).distinct()
+
+
+def _tested(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b, linked) from the whole texts of both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "left"):
+                left = shingle_sets(texts_of(batch.column("left")), size)
+                right = shingle_sets(texts_of(batch.column("right")), size)
+                linked = []
+                for x, y in zip(left, right, strict=True):
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    linked.append(100 * common >= percent * (len(x) + len(y) - common))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"]
+                )
+
+    joined = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b")
+    return joined.select("a", "b", "left", "right").mapInArrow(run, "a long, b long, linked boolean")
 
 
-def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(k, p, d, linked) for pairs of a set and a document pivot."""
+def _texts_of(docs: DataFrame, keys: DataFrame, sets: DataFrame, size: int) -> DataFrame:
+    """(k, text) of the wanted sets (k): the texts of the corpus move once, and only these go on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                keys = batch.column("k").to_pylist()
+                same = [set_key(s) == keys[i] for i, s in enumerate(shingle_sets(texts_of(batch.column("text")), size))]
+                yield batch.filter(pa.array(same, pa.bool_()))
+
+    wanted = keys.distinct().join(sets.select("k", "doc_id"), "k")
+    near = docs.join(wanted.select("k", F.col("doc_id").alias("d")), F.col("doc_id").eqNullSafe(F.col("d")))
+    # Rows that share a doc_id and a set give it several times, which tests tolerate.
+    return near.select("k", "text").mapInArrow(run, "k long, text string")
+
+
+class _Links:
+    """Verified pairs, and the components they make, as rounds go on.
+
+    ``texts`` (k, text) holds every set that a pair may name.
+    """
+
+    def __init__(self, texts: DataFrame, sets: DataFrame, size: int, percent: int):
+        spark = texts.sparkSession
+        self.texts, self.sets, self.size, self.percent = texts, sets, size, percent
+        self.tested = spark.createDataFrame([], "a long, b long, linked boolean")
+        self.label = spark.createDataFrame([], "v long, label long")
+
+    def test(self, pairs: DataFrame) -> int:
+        pairs = stored(pairs.join(self.tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        n = pairs.count()
+        if n:
+            found = stored(_tested(pairs, self.texts, self.size, self.percent).distinct(), "tested")
+            self.tested = self.tested.unionByName(found)
+            self.label = components(self.tested.where("linked").select("a", "b"))
+        return n
+
+    def propose(self, groups: DataFrame, per_pair: int) -> DataFrame:
+        failed = self.tested.where("NOT linked")
+        return _proposed(groups, self.sets, self.label, failed, self.percent, per_pair)
+
+    def settle(self, groups: DataFrame, first: DataFrame | None = None) -> None:
+        """Test pairs of ``groups`` until none between different components is left."""
+        for per_pair in (1, 8, 64, 0):
+            pairs = first if first is not None else self.propose(groups, per_pair)
+            first = None
+            if not self.test(pairs):
+                break
+
+
+def _far(members: DataFrame, percent: int) -> DataFrame:
+    """(pivot, k, p, apart, near): distance by signature of a region's sets to its pivots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d, linked = [], []
-            for x, p in zip(batch.column("items").to_pylist(), batch.column("pivot_items").to_pylist(), strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(p, np.uint64)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                d.append(1 - common / (len(a) + len(b) - common))
-                linked.append(bool(_linked(np.int64(common), len(a), len(b), percent)))
+            apart = []
+            for x, y in zip(batch.column("sig").to_pylist(), batch.column("pivot_sig").to_pylist(), strict=True):
+                b = min(len(x), len(y))
+                apart.append(int(np.abs(folded(x, b) - folded(y, b)).sum()))
+            far = np.array(apart, np.int64)
+            near = _within(far, batch.column("n").to_numpy() + batch.column("pivot_n").to_numpy(), percent)
+            # Windows compare distances in one number of buckets: the least any set has.
+            least = [
+                int(np.abs(folded(x, 8) - folded(y, 8)).sum())
+                for x, y in zip(batch.column("sig").to_pylist(), batch.column("pivot_sig").to_pylist(), strict=True)
+            ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("k"), batch.column("p"), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())],
-                ["k", "p", "d", "linked"],
+                [*(batch.column(c) for c in ("pivot", "k", "p")), pa.array(least, pa.int64()), pa.array(near, pa.bool_())],
+                ["pivot", "k", "p", "apart", "near"],
             )
 
-    pivots = sets.select(F.col("k").alias("p"), F.col("items").alias("pivot_items"))
-    joined = pairs.join(sets.select("k", "items"), "k").join(pivots, "p")
-    return joined.select("k", "p", "items", "pivot_items").mapInArrow(run, "k long, p long, d double, linked boolean")
-
+    return members.select("pivot", "k", "p", "n", "sig", "pivot_n", "pivot_sig").mapInArrow(
+        run, "pivot long, k long, p long, apart long, near boolean"
+    )
 
-def _large_regions(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links of regions of more sets than a task joins, by document pivots and Voronoi cells.
 
-    ``members`` (pivot, k) are those regions; ``links`` are known from the small ones.
-    """
-    rank = Window.partitionBy("pivot").orderBy("order")
+def _cells(members: DataFrame, sets: DataFrame, links: _Links, percent: int) -> DataFrame:
+    """Groups (tiles of Voronoi cells) for regions of more sets than one task joins: (pivot, k)."""
     # The first sets by hash; equal regions choose equal pivots, so their pairs are tested once.
-    # Only the few least of each task go to a region's window.
-    chosen = members.select("pivot", F.struct(F.xxhash64("k").alias("h"), "k").alias("order")).withColumn("r", F.row_number().over(rank))
-    chosen = chosen.where(F.col("r") <= PIVOTS).select("pivot", F.col("order.k").alias("p"))
-    pairs = members.join(chosen, "pivot").select("pivot", "k", "p")
-    apart = pairs.where("k != p").select("k", "p").distinct()
-    d = stored(_distances(apart, sets, percent), "distances")
-    stars = d.where("linked").select(F.col("k").alias("a"), F.col("p").alias("b"))
-    label = stored(components(links.union(stars)), "labels")
-    own = members.join(label.withColumnRenamed("v", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
-    # Members of a region's commonest component need no test among themselves: they are one side.
+    # Spark drops all but a task's first few before a region's window.
+    rank = Window.partitionBy("pivot").orderBy("order")
+    chosen = members.select("pivot", F.struct(F.xxhash64("k").alias("h"), "k").alias("order"))
+    chosen = chosen.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= PIVOTS).select("pivot", F.col("order.k").alias("p"))
+    of = sets.select(F.col("k").alias("p"), F.col("n").alias("pivot_n"), F.col("sig").alias("pivot_sig"))
+    pairs = members.join(sets.select("k", "n", "sig"), "k").join(chosen.join(of, "p"), "pivot")
+    far = stored(_far(pairs, percent), "far")
+    stars = far.where("near AND k != p").select(F.least("k", "p").alias("a"), F.greatest("k", "p").alias("b"))
+    links.test(stars.distinct())
+    own = members.join(links.label.withColumnRenamed("v", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
+    # Members of a region's commonest component need no test among themselves: they only answer.
     most = own.groupBy("pivot", "label").agg(F.count(F.lit(1)).alias("c"))
     most = most.groupBy("pivot").agg(F.max(F.struct("c", "label")).alias("m")).select("pivot", F.col("m.label").alias("main"))
-    own = own.join(most, "pivot").withColumn("loose", F.col("label") != F.col("main"))
-    open_regions = own.where("loose").select("pivot").distinct()
-    own = own.join(open_regions, "pivot", "left_semi")
-    zero = F.when(F.col("k") == F.col("p"), F.lit(0.0)).otherwise(F.col("d"))
-    placed = own.join(chosen, "pivot").join(d.select("k", "p", "d"), ["k", "p"], "left").withColumn("d", zero)
-    home = placed.groupBy("pivot", "k").agg(F.min(F.struct("d", "p")).alias("home"))
-    placed = placed.join(home, ["pivot", "k"]).where(F.col("d") <= F.col("home.d") + 2 * (1 - percent / 100) + 1e-9)
-    cells = placed.select(
-        "pivot", "p", "k", "label", (F.col("loose") & (F.col("p") == F.col("home.p"))).alias("asks")
-    )
-    # Tiles: the loose sets of a cell in groups, each against the cell's sets in groups.
+    own = own.join(most, "pivot").select("pivot", "k", (F.col("label") != F.col("main")).alias("loose"))
+    home = far.groupBy("pivot", "k").agg(F.min(F.struct("apart", "p")).alias("home"))
+    radius = F.col("n") * (1 + 100 / percent) * (100 - percent) / (100 + percent)
+    placed = far.join(home, ["pivot", "k"]).join(own, ["pivot", "k"]).join(sets.select("k", "n"), "k")
+    placed = placed.where(F.col("apart") <= F.col("home.apart") + 2 * radius + 1e-6)
+    cells = placed.select("pivot", "p", "k", (F.col("loose") & (F.col("p") == F.col("home.p"))).alias("asks"))
     sizes = cells.groupBy("pivot", "p").agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("asks").cast("long")).alias("asking"))
-    cells = cells.join(sizes.where("asking > 0"), ["pivot", "p"])
-    tiles = cells.withColumn("rows", F.ceil(F.col("asking") / TILE)).withColumn("cols", F.ceil(F.col("all") / TILE))
-    spot = F.xxhash64("k", F.lit(3))
+    tiles = cells.join(sizes.where("asking > 0"), ["pivot", "p"])
+    tiles = tiles.withColumn("rows", F.ceil(F.col("asking") / TILE)).withColumn("cols", F.ceil(F.col("all") / TILE))
+    spot, zero = F.xxhash64("k", F.lit(3)), F.lit(0).cast("long")
     asks = tiles.where("asks").select(
-        "pivot", "p", "k", "label", F.lit(0).alias("side"),
-        F.pmod(spot, F.col("rows")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)).alias("j"),
+        "pivot", "p", "k", F.lit(0).alias("side"),
+        F.pmod(spot, F.col("rows")).alias("i"), F.explode(F.sequence(zero, F.col("cols") - 1)).alias("j"),
     )
     answers = tiles.select(
-        "pivot", "p", "k", "label", F.lit(1).alias("side"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"), F.pmod(spot, F.col("cols")).alias("j"),
+        "pivot", "p", "k", F.lit(1).alias("side"),
+        F.explode(F.sequence(zero, F.col("rows") - 1)).alias("i"), F.pmod(spot, F.col("cols")).alias("j"),
     )
-    both = asks.unionByName(answers).join(sets.select("k", "items"), "k")
-    return stars.union(_join_groups(both, ["pivot", "p", "i", "j"], percent, sided=True))
+    both = asks.unionByName(answers)
+    return both.select(F.col("pivot").alias("g1"), F.col("p").alias("g2"), F.xxhash64("i", "j").alias("g3"), "k", "side")
 
 
 # ---------------------------------------------------------------- components
@@ -380,22 +462,27 @@ def jaccard_components(documents: DataFrame, size: int = SHINGLE, percent: int =
     held = stored(_memberships(docs, _sketch(scanned), size, percent), "regions")
     # Regions of one set are most of them; they leave before anything is joined.
     shared = held.groupBy("pivot").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("pivot")
-    held = held.join(shared, "pivot", "left_semi").distinct()
-    held = stored(held, "shared")
+    held = stored(held.join(shared, "pivot", "left_semi").select("pivot", "k").distinct(), "shared")
     counts = held.groupBy("pivot").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    held = held.join(counts, "pivot")
-    # Regions of the same sets are one region.
-    few = held.where(F.col("c") <= TILE).groupBy("pivot").agg(F.sort_array(F.collect_list("k")).alias("ks"))
-    few = few.select("ks").distinct().select(F.xxhash64("ks").alias("region"), F.hash("ks").alias("r2"), F.explode("ks").alias("k"))
-    many = held.where(F.col("c") > TILE).select("pivot", "k")
-    first = rows.where("n > 0").groupBy("k", "n").agg(F.min("doc_id").alias("doc_id"))
-    wanted = first.join(held.select("k", "n").distinct(), ["k", "n"], "left_semi")
-    sets = stored(_sets_of(docs, wanted, size), "items")
-    links = stored(_join_groups(few.join(sets.select("k", "items"), "k"), ["region", "r2"], percent, sided=False), "links")
+    # Regions of the same sets are one region; those of few sets may be gathered.
+    few = held.join(counts.where(F.col("c") <= TILE), "pivot").groupBy("pivot").agg(F.sort_array(F.collect_list("k")).alias("ks"))
+    few = few.select("ks").distinct().select(
+        F.xxhash64("ks").alias("g1"), F.hash("ks").cast("long").alias("g2"), F.lit(0).cast("long").alias("g3"),
+        F.explode("ks").alias("k"), F.lit(None).cast("int").alias("side"),
+    )
+    many = stored(held.join(counts.where(F.col("c") > TILE), "pivot").select("pivot", "k"), "large")
+    sets = scanned.where("part IS NULL AND n > 0").join(held.select("k").distinct(), "k", "left_semi")
+    sets = stored(sets.groupBy("k", "n", "sig").agg(F.min("doc_id").alias("doc_id")), "signed")
+    groups = stored(few, "groups")
+    links = _Links(docs.limit(0).select(F.lit(0).cast("long").alias("k"), "text"), sets, size, percent)
+    first = stored(links.propose(groups, 1), "pairs")
+    # A forest of a region's near pairs names every set that has one, so later rounds name no other.
+    wanted = first.select(F.explode(F.array("a", "b")).alias("k")).union(many.select("k"))
+    links.texts = stored(_texts_of(docs, wanted, sets, size), "texts")
+    links.settle(groups, first)
     if not many.isEmpty():
-        links = stored(links.union(_large_regions(stored(many, "large"), sets, links, percent)), "links")
-    label = components(links)
-    named = rows.join(label.withColumnRenamed("v", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
+        links.settle(stored(_cells(many, sets, links, percent), "tiles"))
+    named = rows.join(links.label.withColumnRenamed("v", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
     # The empty set (n = 0) has no component; rows of one component share their least id.
     least = named.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     named = named.join(least, "label", "left")
