@@ -73,3 +73,10 @@ def op6_importance_resampling(spark: SparkSession, d: str) -> DataFrame:
 
     out = resampled(table(spark, d, "documents"), table(spark, d, "labels"))
     return out.select("doc_id", "source", "log_weight", "gumbel", "key")
+
+
+@query
+def op7_attention_scores(spark: SparkSession, d: str) -> DataFrame:
+    from tablewise.llm.attention import scores
+
+    return scores(table(spark, d, "documents"), vocabulary("word_bpe_49k.json"))
