@@ -224,6 +224,11 @@ def personal_data(documents: DataFrame) -> DataFrame:
     graph = rows.select("ctx", "inst", "kind").distinct()
     wide = rows.groupBy("ctx").agg(F.count_distinct("inst").alias("n"), F.count(F.lit(1)).alias("followed"))
     wide = stored(wide.where(F.col("n") >= MIN_DISTINCT).select("ctx", "followed"), "contexts")
+    # Everyday contexts are most of the corpus. Counts only grow, so a context that is too common
+    # in a sixteenth of the texts is rejected there already; the others are counted in all.
+    early = _occurrences(documents.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0), wide.select("ctx"))
+    rare = F.col("followed") >= CONFIDENCE * F.coalesce("total", F.lit(0))
+    wide = stored(wide.join(early, "ctx", "left").where(rare).select("ctx", "followed"), "contexts")
     totals = _occurrences(documents, wide.select("ctx"))
     shares = wide.join(totals, "ctx").select("ctx", F.least(F.col("followed") / F.col("total"), F.lit(1.0)).alias("share"))
     patterns = _bootstrapped(graph, stored(shares, "shares"))
