@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import MIX_A, columns_of, mixed, ngram_hashes, slices, split_words, stored, texts_of
+from tablewise.llm.common import MIX_A, columns_of, mixed, ngram_hashes, slices, split_words, stored, texts_of, tidy
 
 SHINGLE, PERCENT = 3, 90
 #: Sets a task joins at once; document pivots of a larger region; counters of the sketch.
@@ -84,11 +84,11 @@ def _cell(tokens: np.ndarray) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, size: int) -> DataFrame:
-    """One row per document (doc_id, n, k, sig), and the parts of each task's sketch of shingle counts."""
+    """One row per document (doc_id, t, n, k, sig), and the parts of each task's sketch of shingle counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(CELLS, np.uint32)
-        names = ["doc_id", "n", "k", "sig", "part", "counts"]
+        names = ["doc_id", "t", "n", "k", "sig", "part", "counts"]
         for whole in batches:
             for batch in slices(whole):
                 sets = shingle_sets(texts_of(batch.column("text")), size)
@@ -97,6 +97,7 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
+                        batch.column("t"),
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array([set_key(s) for s in sets], pa.int64()),
                         pa.array([signature(s) for s in sets], pa.binary()),
@@ -110,6 +111,7 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
             if parts[i].any():
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.nulls(1, pa.int64()),
                         pa.nulls(1, pa.int64()),
                         pa.nulls(1, pa.int32()),
                         pa.nulls(1, pa.int64()),
@@ -120,7 +122,8 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
                     names,
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n int, k long, sig binary, part int, counts binary")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    return keyed.mapInArrow(run, "doc_id long, t long, n int, k long, sig binary, part int, counts binary")
 
 
 def _sketch(scanned: DataFrame) -> np.ndarray:
@@ -446,23 +449,16 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("v"), F.col("v").alias("label")).union(roots).distinct()
 
 
-def jaccard_components(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``documents`` (doc_id, text): doc_id, n_shingles, component_id.
-
-    Documents link when 100 * |A and B| >= percent * |A or B| for their sets of distinct
-    ``size``-word shingles (A-Z lower-cased; a shorter text is one shingle as a whole).
-    ``component_id`` is the least doc_id reachable. Null and blank texts have the empty set and
-    link with nothing. A row without doc_id has the least id of its component, NULL if
-    there is none. Equal sets are linked; repeated rows each give their row. An empty table gives
-    no rows. Other columns are ignored.
-    """
+def _named(documents: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, t, n, k, label) per document row; ``label`` names its component unless n is 0."""
     docs = columns_of(documents, doc_id="long", text="string")
     scanned = stored(_scan(docs, size), "sets")
-    rows = scanned.where("part IS NULL").select("doc_id", "n", "k")
+    rows = scanned.where("part IS NULL").select("doc_id", "t", "n", "k")
     held = stored(_memberships(docs, _sketch(scanned), size, percent), "regions")
     # Regions of one set are most of them; they leave before anything is joined.
     shared = held.groupBy("pivot").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("pivot")
     held = stored(held.join(shared, "pivot", "left_semi").select("pivot", "k").distinct(), "shared")
+    tidy(docs.sparkSession)
     counts = held.groupBy("pivot").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     # Regions of the same sets are one region; those of few sets may be gathered.
     few = held.join(counts.where(F.col("c") <= TILE), "pivot").groupBy("pivot").agg(F.sort_array(F.collect_list("k")).alias("ks"))
@@ -479,12 +475,48 @@ def jaccard_components(documents: DataFrame, size: int = SHINGLE, percent: int =
     # A forest of a region's near pairs names every set that has one, so later rounds name no other.
     wanted = first.select(F.explode(F.array("a", "b")).alias("k")).union(many.select("k"))
     links.texts = stored(_texts_of(docs, wanted, sets, size), "texts")
+    tidy(docs.sparkSession)
     links.settle(groups, first)
     if not many.isEmpty():
         links.settle(stored(_cells(many, sets, links, percent), "tiles"))
-    named = rows.join(links.label.withColumnRenamed("v", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
+    return rows.join(links.label.withColumnRenamed("v", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
+
+def jaccard_components(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``documents`` (doc_id, text): doc_id, n_shingles, component_id.
+
+    Documents link when 100 * |A and B| >= percent * |A or B| for their sets of distinct
+    ``size``-word shingles (A-Z lower-cased; a shorter text is one shingle as a whole).
+    ``component_id`` is the least doc_id reachable. Null and blank texts have the empty set and
+    link with nothing. A row without doc_id has the least id of its component, NULL if
+    there is none. Equal sets are linked; repeated rows each give their row. An empty table gives
+    no rows. Other columns are ignored.
+    """
+    named = _named(documents, size, percent)
     # The empty set (n = 0) has no component; rows of one component share their least id.
     least = named.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     named = named.join(least, "label", "left")
     own = F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
     return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of ``documents``, all columns, of which one stays for each component: that of least doc_id.
+
+    A row without doc_id comes after all others; of rows that share a doc_id the least hash of the text
+    stays, of equal rows one. Texts without words are linked with nothing and all stay. Columns
+    named ``__id``, ``__t``, ``__stays`` or ``__turn`` are dropped.
+    """
+    docs = documents.drop("__id", "__t", "__stays", "__turn")
+    named = _named(docs, size, percent).withColumn("__id", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
+    own = F.struct("__id", "t")
+    first = named.where("n > 0").groupBy("label").agg(F.min(own).alias("first"))
+    flags = named.join(first, "label", "left").select(
+        "__id", F.coalesce("t", F.lit(0)).alias("__t"), F.when(F.col("n") == 0, 2).when(own == F.col("first"), 1).otherwise(0).alias("__stays")
+    ).distinct()
+    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
+    keyed = keyed.withColumn("__t", F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)))
+    out = keyed.join(flags.where("__stays > 0"), ["__id", "__t"])
+    # The join has brought equal rows together.
+    turn = F.row_number().over(Window.partitionBy("__id", "__t").orderBy("__id"))
+    out = out.withColumn("__turn", turn).where((F.col("__stays") == 2) | (F.col("__turn") == 1))
+    return out.select(*docs.columns)

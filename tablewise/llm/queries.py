@@ -80,3 +80,20 @@ def op7_attention_scores(spark: SparkSession, d: str) -> DataFrame:
     from tablewise.llm.attention import scores
 
     return scores(table(spark, d, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query
+def op4_poisson_mixing(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tablewise.llm.mixing import mixed_sources
+
+    out = mixed_sources(table(spark, d, "documents"))
+    return out.withColumn("mix_rate", F.round("mix_rate", 6))
+
+
+@query
+def op2_warc_derivatives(spark: SparkSession, d: str) -> DataFrame:
+    from tablewise.llm.warc import derivatives, responses
+
+    return derivatives(responses(table(spark, d, "pages")))
