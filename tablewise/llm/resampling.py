@@ -48,8 +48,8 @@ class Models(NamedTuple):
     shares: np.ndarray
 
 
-def features(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct feature cells of each text, and where each text's begin."""
+def features(texts: pa.StringArray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct feature cells of each text, only ``wanted`` ones if given, and where each text's begin."""
     words = split_words(texts)
     own = words.hashes()
     starts = pc.utf8_slice_codeunits(words.dictionary, 0, PREFIX).to_pylist()
@@ -62,9 +62,16 @@ def features(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     often = np.bincount(row[again], minlength=len(count))
     # Whether a tenth of the words or more repeat the one before: one cell for all such pairs.
     stutter = mixed(np.uint64(1) + (10 * often > count).astype(np.uint64))
-    cells = np.concatenate([mixed(own), mixed(front[words.codes]) if len(front) else own, pairs[inside], stutter])
-    rows = np.concatenate([row, row, row[:-1][inside] if len(row) else row, np.arange(len(count))]).astype(np.uint64)
-    packed = np.unique((rows << np.uint64(18)) | (cells & np.uint64(CELLS - 1)))
+    kinds = [
+        (mixed(own), row),
+        (mixed(front)[words.codes] if len(front) else own, row),
+        (pairs[inside], row[:-1][inside] if len(row) else row),
+        (stutter, np.arange(len(count))),
+    ]
+    low = np.uint64(CELLS - 1)
+    if wanted is not None:  # a few cells: most features leave before anything is sorted
+        kinds = [(c[keep], r[keep]) for c, r in kinds for keep in (wanted[(c & low).astype(np.int64)],)]
+    packed = np.unique(np.concatenate([(r.astype(np.uint64) << np.uint64(18)) | (c & low) for c, r in kinds]))
     found = (packed >> np.uint64(18)).astype(np.int64)
     return (packed & np.uint64(CELLS - 1)).astype(np.int64), np.searchsorted(found, np.arange(len(count) + 1))
 
@@ -86,7 +93,7 @@ def fit_models(background: np.ndarray, counts: np.ndarray, rows: np.ndarray) ->
 
 def log_weights(texts: pa.StringArray, models: Models) -> np.ndarray:
     """log(p_target / p_raw) of each text; 0 for all if no row of the target was labelled."""
-    cells, bounds = features(texts)
+    cells, bounds = features(texts, models.ratios.any(axis=0))
     n = len(bounds) - 1
     known = models.shares > 0
     if not known[0]:
