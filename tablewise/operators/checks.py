@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewise.functions.columns import col, model_type, quote
+from tablewise.functions.columns import col, comparable, model_type, quote
 
 EXAMPLES = 5
 REL_TOLERANCE, ABS_TOLERANCE = 1e-9, 1e-6
@@ -310,8 +310,11 @@ def union(parts: list[DataFrame]) -> DataFrame:
 def table_change(old: DataFrame, new: DataFrame, key: str | None) -> DataFrame:
     """One row: columns added and removed; rows added, removed and changed, matched by key.
 
-    Without a key, rows are compared whole as bags and a change shows as one of each.
+    Without a key, rows are compared whole as bags and a change shows as one of each. A NULL key
+    matches a NULL key; a key that repeats within a version has no match and is refused. Maps
+    are compared by their entries.
     """
+    old, new = comparable(old), comparable(new)
     added = [c for c in new.columns if c not in old.columns]
     removed = [c for c in old.columns if c not in new.columns]
     shared = [c for c in new.columns if c in old.columns]
@@ -329,9 +332,11 @@ def table_change(old: DataFrame, new: DataFrame, key: str | None) -> DataFrame:
     else:
         values = [c for c in shared if c != key]
         row = lambda d: d.select(col(key).alias("k"), F.struct(*[col(c) for c in values] or [F.lit(1)]).alias("v"))
-        joined = row(old).withColumnRenamed("v", "before").join(
-            row(new).withColumnRenamed("v", "after"), "k", "full"
-        )
+        for version in (old, new):
+            if not version.groupBy(col(key)).count().filter("count > 1").isEmpty():
+                raise ValueError(f"{key!r} repeats, so rows cannot be matched by it")
+        before, after = row(old).toDF("k0", "before"), row(new).toDF("k1", "after")
+        joined = before.join(after, F.col("k0").eqNullSafe(F.col("k1")), "full")
         changed = ~F.col("before").eqNullSafe(F.col("after"))
         here, there = F.col("before").isNotNull(), F.col("after").isNotNull()
         counts = joined.agg(

@@ -265,6 +265,11 @@ def determines(df: DataFrame, child: str, parent: str) -> bool:
     return (child, parent) in strict_pairs(df, [(child, parent)])
 
 
+def _plain(df: DataFrame, name: str) -> Column:
+    """A column whose equal values print alike: the two zeros of floating point are one value."""
+    return col(name) + F.lit(0.0) if df.schema[name].dataType.typeName() in ("float", "double") else col(name)
+
+
 def strict_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> set[tuple[str, str]]:
     """The ``(child, parent)`` pairs in which each child value has one parent value.
 
@@ -278,7 +283,7 @@ def strict_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> set[tuple[str,
         cells = []
         for i, (child, parent) in batch:
             both = col(child).isNotNull() & col(parent).isNotNull()
-            value = [F.when(both, col(x).cast("string")) for x in (child, parent)]
+            value = [F.when(both, _plain(df, x).cast("string")) for x in (child, parent)]
             cells += [F.lit(i), *value]
         parts.append(df.select(F.stack(F.lit(len(batch)), *cells).alias("i", "c", "p")))
     cells = reduce(DataFrame.unionByName, parts).filter("c IS NOT NULL")

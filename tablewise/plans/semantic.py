@@ -104,7 +104,7 @@ def measure_by(
         distinct = fact.select(*[col(g) for g in group], col(m.column).alias("__v")).distinct()
         final = [F.count_distinct("__v").alias(m.name)]
         results.append(_by(star, distinct, joins, fields, filters, final, rollup))
-    labels = [c for _, c in fields]
+    labels = _labels(fields)
     result = results[0]
     for other in results[1:]:
         # Both sides hold one row per output group, joined NULL-safely.
@@ -123,6 +123,12 @@ def measure_by(
     return result.select(*[col(c) for c in (*labels, *tail, *[m.name for m in measures])])
 
 
+def _labels(fields: list[tuple[str, str]]) -> list[str]:
+    """Output names: the column's, or ``Table[Column]`` where two fields share it."""
+    names = [c.lower() for _, c in fields]
+    return [c if names.count(c.lower()) == 1 else f"{t}[{c}]" for t, c in fields]
+
+
 def _aggregate(grouped, aggs: list[Column]) -> DataFrame:  # noqa: ANN001
     return grouped.agg(*aggs) if aggs else grouped.agg(F.count("*").alias("__rows"))
 
@@ -148,7 +154,10 @@ def _by(star, rows, joins, fields, filters, finals, rollup) -> DataFrame:  # noq
         # A filtered dimension also filters the fact; otherwise unmatched rows show as blank.
         how = "inner" if limits else "left"
         rows = rows.join(dim, rows[_q(relation.from_column)] == dim[_q(key)], how)
-    labels = [col(c if t == star.fact else f"{t}.{c}").alias(c) for t, c in fields]
+    names = _labels(fields)
+    labels = [
+        col(c if t == star.fact else f"{t}.{c}").alias(n) for (t, c), n in zip(fields, names, strict=True)
+    ]
     if rollup:
         level = F.grouping_id().cast("bigint").alias("level")
         return rows.rollup(*labels).agg(level, *finals)

@@ -127,7 +127,7 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     folder = scratch_folder(df.sparkSession)
     if folder is None:
-        return df
+        raise LoadError("set spark.checkpoint.dir to a folder that all executors share")
     path = f"{folder.rstrip('/')}/tablewise-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

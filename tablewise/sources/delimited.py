@@ -6,8 +6,9 @@ import csv
 from pathlib import PurePosixPath
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewise.functions.columns import batches, col
 from tablewise.operators.quality import DATE_FORMATS
@@ -40,39 +41,54 @@ def load_csv(
 ) -> Dataset:
     """CSV as a typed table. Types hold for every row, not only for the first ones.
 
-    Passes: a few lines for the delimiter, one text scan for encoding and quoted line breaks,
-    one scan for all column types.
+    Files of a folder are matched by column name; names that a file lacks are NULL there. A line
+    with more values than its header is an error, with fewer it is filled up with NULL. Only
+    files that hold a quoted line break are read whole.
+
+    Passes: one text scan for headers, encoding and quoted line breaks, one for lines that are
+    too long, one for all column types.
     """
     name = PurePosixPath(path).name
     notes: list[str] = []
     try:
         lines = [r["value"] for r in spark.read.text(path).limit(SNIFF_LINES).collect()]
-        utf8, multiline = _text_facts(spark.read.text(path))
+        if delimiter is None:
+            delimiter = sniff_delimiter("\n".join(lines)[:SNIFF_CHARS])
+            if delimiter != ",":
+                notes.append(f"Detected delimiter {delimiter!r}.")
+        layouts, utf8 = _layouts(spark.read.text(path), delimiter)
     except PySparkException as exc:
         raise LoadError(f"cannot read {name}: {exc.getCondition() or type(exc).__name__}") from None
-    if delimiter is None:
-        delimiter = sniff_delimiter("\n".join(lines)[:SNIFF_CHARS])
-        if delimiter != ",":
-            notes.append(f"Detected delimiter {delimiter!r}.")
     given = (encoding or "utf-8").lower()
     legacy = given in ("cp1252", "windows-1252")
     if given in ("utf-8", "utf8", "utf-8-sig") and not utf8:
         legacy = True
         notes.append("File is not valid UTF-8; decoded as cp1252. Verify special characters.")
     charset = "ISO-8859-1" if legacy else ("UTF-8" if "utf" in given and "16" not in given else given)
-    reader = (
-        spark.read.option("header", True)
-        .option("sep", delimiter)
-        .option("encoding", charset)
-        .option("escape", '"')
-        .option("multiLine", multiline)
-    )
+    parts = []
     try:
-        raw = reader.csv(path)
+        for multiline, files in layouts or [(False, [path])]:
+            reader = (
+                spark.read.option("header", True)
+                .option("sep", delimiter)
+                .option("encoding", charset)
+                .option("escape", '"')
+                .option("multiLine", multiline)
+            )
+            part = reader.csv(files)
+            if part.columns:
+                parts.append(_whole_lines(reader, part, files, name))
+    except LoadError:
+        raise
     except Exception as exc:  # an unknown charset surfaces as a JVM error
         raise LoadError(f"cannot parse {name} as CSV: {type(exc).__name__}") from None
-    if not raw.columns:
+    if not parts:
         raise LoadError(f"cannot parse {name} as CSV: no columns")
+    if len({tuple(p.columns) for p in parts}) > 1:
+        notes.append("Files have different headers; columns are matched by name.")
+    raw = parts[0]
+    for part in parts[1:]:
+        raw = raw.unionByName(part, allowMissingColumns=True)
     texts = raw
     if legacy:
         texts = raw.select(*[_as_cp1252(col(n)).alias(_name_cp1252(n)) for n in raw.columns])
@@ -82,14 +98,35 @@ def load_csv(
     return Dataset(typed(texts), PurePosixPath(path).stem, notes)
 
 
-def _text_facts(lines: DataFrame) -> tuple[bool, bool]:
-    """Whether all lines are valid UTF-8, and whether a quoted value spans lines."""
+def _layouts(lines: DataFrame, delimiter: str) -> tuple[list[tuple[bool, list[str]]], bool]:
+    """Files that can be read together, by header and by need to be read whole; and whether all is UTF-8."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    row = lines.agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.bool_or(quotes % 2 == 1).alias("open"),
-    ).first()
-    return row["utf8"] is not False, bool(row["open"])
+    # A quote opens a value only at the line's start or behind a delimiter.
+    opens = F.startswith("value", F.lit('"')) | F.contains("value", F.lit(f'{delimiter}"'))
+    first = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
+    rows = lines.select(
+        F.col("_metadata.file_path").alias("file"),
+        "value",
+        first.alias("at"),
+        (opens & (quotes % 2 == 1)).alias("open"),
+        F.is_valid_utf8("value").alias("utf8"),
+    )
+    files = rows.groupBy("file").agg(
+        F.min_by("value", "at").alias("header"), F.bool_or("open").alias("open"), F.bool_and("utf8").alias("utf8")
+    )
+    found = files.groupBy("header", "open").agg(F.collect_list("file").alias("files"), F.bool_and("utf8").alias("utf8"))
+    found = sorted(found.collect(), key=lambda r: min(r["files"]))
+    return [(bool(r["open"]), sorted(r["files"])) for r in found], all(r["utf8"] is not False for r in found)
+
+
+def _whole_lines(reader: DataFrameReader, part: DataFrame, files: list[str], name: str) -> DataFrame:
+    """Refuse lines that hold more values than the header, rather than lose them."""
+    beyond = "__beyond"
+    schema = T.StructType([*part.schema.fields, T.StructField(beyond, T.StringType())])
+    long = reader.schema(schema).csv(files).filter(col(beyond).isNotNull()).count()
+    if long:
+        raise LoadError(f"{name}: {long} line(s) hold more values than the header")
+    return part
 
 
 # Spark has no cp1252 charset. It differs from Latin-1 in one block of 32 bytes.

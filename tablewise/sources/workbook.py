@@ -10,6 +10,7 @@ import io
 import posixpath
 import zipfile
 from collections.abc import Iterator
+from itertools import count
 from datetime import datetime, timedelta
 from pathlib import PurePosixPath
 from xml.etree import ElementTree
@@ -146,13 +147,36 @@ def _named_rows(content: bytes, sheet: str | None) -> Iterator[tuple[str, list[s
         if chosen not in parts:
             raise ValueError(f"sheet '{chosen}' not found; available: {', '.join(names)}")
         header: dict[int, str] | None = None
+        bare: dict[str, str] = {}
         for number, cells in _rows(book, parts[chosen]):
             if header is None:
-                header = cells
-                ordered = {v: str(i) for i, v in sorted(cells.items())}
-                yield chosen, names, 0, {v: k for v, k in ordered.items()}
-            else:
-                yield chosen, names, number, {header[i]: v for i, v in cells.items() if i in header}
+                header = _unique(cells)
+                yield chosen, names, 0, {v: str(i) for i, v in sorted(header.items())}
+                continue
+            for i in cells:
+                if i not in header:  # cells under no header text keep their column
+                    header[i] = next(n for n in _numbered(f"column_{i + 1}") if n not in header.values())
+                    bare[header[i]] = str(i)
+            yield chosen, names, number, {header[i]: v for i, v in cells.items()}
+        if bare:
+            yield chosen, names, 0, bare
+
+
+def _numbered(name: str) -> Iterator[str]:
+    """The name, then the name with 2, 3, ..."""
+    yield name
+    for n in count(2):
+        yield f"{name}_{n}"
+
+
+def _unique(cells: dict[int, str]) -> dict[int, str]:
+    """Header texts by column, repeated ones numbered so that each keeps its column."""
+    out: dict[int, str] = {}
+    taken: set[str] = set()
+    for i, text in sorted(cells.items()):
+        out[i] = next(n for n in _numbered(text) if n.lower() not in taken)
+        taken.add(out[i].lower())
+    return out
 
 
 def workbook_cells(files: DataFrame, sheet: str | None = None) -> DataFrame:
@@ -197,7 +221,7 @@ def parse_workbooks(files: DataFrame, sheet: str | None = None) -> Dataset:
     if not names:
         raise LoadError("workbooks have no header row")
     facts = heads.groupBy("_sheet", "_sheets").agg(F.count("*").alias("n")).orderBy(F.desc("n")).first()
-    many = heads.limit(2).count() > 1
+    many = heads.select("_file").distinct().limit(2).count() > 1
     rows = cells.filter("_row > 0")
     texts = rows.select(
         *([col("_file"), col("_sheet")] if many else []),
