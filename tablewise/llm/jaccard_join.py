@@ -26,6 +26,7 @@ that a group of copies costs about one test a member. Equal sets are one set fro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -201,6 +202,18 @@ def candidate_pairs(
     """
     levels = np.array([len(s) for s in sigs])
     found = []
+    if len(k) <= 4:  # most groups: two or three sets
+        for y, x in combinations(range(len(k)), 2):
+            total = int(n[x] + n[y])
+            if label[x] == label[y] or (side is not None and side[x] == side[y]):
+                continue
+            if 100 * min(n[x], n[y]) < percent * max(n[x], n[y]) or k[x] in failed[y] or k[y] in failed[x]:
+                continue
+            b = min(levels[x], levels[y])
+            apart = int(np.abs(folded(sigs[x], b) - folded(sigs[y], b)).sum())
+            if _within(apart, total, percent):
+                found.append((apart / total, y, x))
+        levels = levels[:0]
     for level in np.unique(levels):
         rows = np.flatnonzero((levels == level) | (levels == 2 * level))
         table = np.stack([folded(sigs[i], level) for i in rows])
@@ -243,47 +256,45 @@ def candidate_pairs(
     return out
 
 
-_PAIR = "a long, b long"
-
-
-def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*((min(p), max(p)) for p in pairs), strict=True) if pairs else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
 def _proposed(groups: DataFrame, sets: DataFrame, label: DataFrame, failed: DataFrame, percent: int, per_pair: int) -> DataFrame:
-    """Pairs (a, b) to be tested in groups of a bounded number of sets: (g1, g2, g3, k, side)."""
+    """(g1, g2, g3, a, b): pairs to be tested in groups of a bounded number of sets (g1, g2, g3, k, side)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = None, []
+        held, rows, out = None, [], []
 
-        def finish() -> pa.RecordBatch:
+        def finish() -> None:
             k, n, sigs, labels, fails, side = zip(*rows, strict=True)
-            sides = np.array(side) if any(s is not None for s in side) else None
-            if len(set(labels)) < 2:
-                return _pair_batch([])
-            return _pair_batch(
-                candidate_pairs(
+            if len(set(labels)) > 1:
+                sides = np.array(side) if side[0] is not None else None
+                pairs = candidate_pairs(
                     list(k), np.array(n, np.int64), list(sigs), np.array(labels, np.int64),
                     [set(f or ()) for f in fails], sides, percent, per_pair,
-                )
-            )
+                )
+                out.extend((*held, min(p), max(p)) for p in pairs)
+
+        def done() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["g1", "g2", "g3", "a", "b"])
 
         for batch in batches:
             for g1, g2, g3, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (g1, g2, g3) != held:
                     if rows:
-                        yield finish()
+                        finish()
                     held, rows = (g1, g2, g3), []
                 rows.append(row)
+            yield done()
         if rows:
-            yield finish()
+            finish()
+            yield done()
 
     fails = failed.select("a", "b").union(failed.select("b", "a")).toDF("k", "f").groupBy("k").agg(F.collect_set("f").alias("fails"))
     full = groups.join(sets.select("k", "n", "sig"), "k").join(label.withColumnRenamed("v", "k"), "k", "left")
     full = full.join(fails, "k", "left").withColumn("label", F.coalesce("label", "k"))
     full = full.select("g1", "g2", "g3", "k", "n", "sig", "label", "fails", "side")
-    return full.repartition("g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3").mapInArrow(run, _PAIR).distinct()
+    dealt = full.repartition("g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3")
+    return dealt.mapInArrow(run, "g1 long, g2 long, g3 long, a long, b long")
 
 
 def _tested(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -348,12 +359,18 @@ class _Links:
         return _proposed(groups, self.sets, self.label, failed, self.percent, per_pair)
 
     def settle(self, groups: DataFrame, first: DataFrame | None = None) -> None:
-        """Test pairs of ``groups`` until none between different components is left."""
+        """Test pairs of ``groups`` until none between different components is left.
+
+        Where all of a group's pairs are linked, what is near in it is one component: only groups
+        of a failed pair go on.
+        """
         for per_pair in (1, 8, 64, 0):
-            pairs = first if first is not None else self.propose(groups, per_pair)
+            pairs = first if first is not None else stored(self.propose(groups, per_pair), "proposed")
             first = None
-            if not self.test(pairs):
+            if not self.test(pairs.select("a", "b").distinct()):
                 break
+            failed = pairs.join(self.tested.where("NOT linked").select("a", "b"), ["a", "b"], "left_semi")
+            groups = stored(groups.join(failed.select("g1", "g2", "g3").distinct(), ["g1", "g2", "g3"], "left_semi"), "groups")
 
 
 def _far(members: DataFrame, percent: int) -> DataFrame:
