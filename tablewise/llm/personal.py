@@ -141,11 +141,14 @@ def _searched(documents: DataFrame) -> DataFrame:
     return docs.withColumn("unknown", F.filter("words", apart)).select("doc_id", "t1", "t2", *KINDS, "unknown")
 
 
+def _of_kind(kind: str | None, spans: str) -> Column:
+    # Spark takes a lambda's second parameter for the position, so the kind is bound here.
+    return F.transform(spans, lambda s: F.struct(F.lit(kind).cast("string").alias("kind"), s.alias("s")))
+
+
 def _instances(searched: DataFrame) -> DataFrame:
     """One row per instance with a context: kind (NULL if unknown), text, ctx, place."""
-    parts = [
-        F.transform(k, lambda s, k=k: F.struct(F.lit(k).alias("kind"), s.alias("s"))) for k in KINDS
-    ] + [F.transform("unknown", lambda s: F.struct(F.lit(None).cast("string").alias("kind"), s.alias("s")))]
+    parts = [_of_kind(k, k) for k in KINDS] + [_of_kind(None, "unknown")]
     rows = searched.select("doc_id", "t1", "t2", F.explode(F.concat(*parts)).alias("i"))
     pair = F.regexp_extract("i.s.left", rf"([^{SPACE}]++)[{SPACE}]++([^{SPACE}]++)[{SPACE}]++$", 0)
     ctx = F.lower(F.array_join(F.filter(F.split(pair, rf"[{SPACE}]+"), lambda w: w != ""), " "))
@@ -209,6 +212,10 @@ def _places(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
 
+def _new(kind: str) -> Column:
+    return F.filter("new", lambda s: s["kind"] == kind)
+
+
 def personal_data(documents: DataFrame) -> DataFrame:
     """Spans of personal data per row of ``documents`` (doc_id, text).
 
@@ -243,7 +250,7 @@ def personal_data(documents: DataFrame) -> DataFrame:
     )
     base = F.concat(*[_listed(k, _places(F.col(k))) for k in KINDS])
     every = F.concat(
-        *[_listed(k, F.concat(_places(F.col(k)), _places(F.filter("new", lambda s, k=k: s["kind"] == k)))) for k in KINDS]
+        *[_listed(k, F.concat(_places(F.col(k)), _places(_new(k)))) for k in KINDS]
     )
     return all_rows.select(
         "doc_id",
