@@ -351,9 +351,22 @@ class _Links:
         if n:
             found = stored(_tested(pairs, self.texts, self.size, self.percent).distinct(), "tested")
             self.tested = self.tested.unionByName(found)
-            self.label = components(self.tested.where("linked").select("a", "b"))
+            self._merge(found.where("linked").select("a", "b"))
         return n
 
+    def _merge(self, links: DataFrame) -> None:
+        """Join components by new links: the links are followed between components, not between sets."""
+        if links.isEmpty():
+            return
+        old = self.label
+        for end in ("a", "b"):
+            links = links.join(old.select(F.col("v").alias(end), F.col("label").alias("to")), end, "left")
+            links = links.withColumn(end, F.coalesce("to", end)).drop("to")
+        new = stored(components(links.select("a", "b")), "merged")
+        moved = old.join(new.select(F.col("v").alias("label"), F.col("label").alias("to")), "label", "left")
+        moved = moved.select("v", F.coalesce("to", "label").alias("label"))
+        self.label = stored(moved.union(new.join(old, "v", "left_anti").select("v", "label")), "labels")
+
     def propose(self, groups: DataFrame, per_pair: int) -> DataFrame:
         failed = self.tested.where("NOT linked")
         return _proposed(groups, self.sets, self.label, failed, self.percent, per_pair)
@@ -449,7 +462,6 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(
         links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
     )
-    before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
@@ -458,10 +470,11 @@ def components(links: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).where("u != v")
         edges = stored(small.union(down.select("u", F.col("m").alias("v"))).distinct(), "links")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == before:
+        # Done when every end has one link, and to an end that has none itself: stars around the least.
+        out = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+        loose = out.where("n > 1").select("u").union(edges.select(F.col("v").alias("u")).join(out.select("u"), "u", "left_semi"))
+        if loose.isEmpty():
             break
-        before = now
     roots = edges.select("v").distinct().select("v", F.col("v").alias("label"))
     return edges.select(F.col("u").alias("v"), F.col("v").alias("label")).union(roots).distinct()
 
