@@ -132,9 +132,7 @@ def _searched(documents: DataFrame) -> DataFrame:
     docs = docs.withColumn("words", F.transform(words, trimmed))
 
     def apart(w: Column) -> Column:
-        return F.lit(True) & ~F.exists(
-            F.concat(*KINDS), lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])
-        )
+        return ~F.exists(F.concat(*KINDS), lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
 
     unknown = F.filter("words", lambda w: F.length(_digits(w["text"])) >= MIN_DIGITS)
     docs = docs.withColumn("words", unknown)
