@@ -401,8 +401,11 @@ def test_pipeline_stages_take_effect(spark, sf):
     import corpus_pipeline as c
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    first = c.quality(spark, docs, sf)
-    assert first.columns == docs.columns and 0 < first.count() < docs.count()
+    # 200 labels attest next to nothing; a thousand documents are the least that shows an effect.
+    larger = sf.replace("sf0.001", "sf0.01")
+    most = spark.read.parquet(f"{larger}/documents.parquet")
+    first = c.quality(spark, most, larger)
+    assert first.columns == docs.columns and 0 < first.count() < most.count()
     single = c.near_duplicates(spark, docs, sf)
     rows = [(r.doc_id, r.text or "") for r in docs.collect()]
     groups = brute_components(rows, 5, 80)
