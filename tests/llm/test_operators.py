@@ -167,6 +167,30 @@ def test_resampling_finds_what_labels_teach(spark, sf):
     assert sum(i in kept for i in bad) <= 0.1 * len(bad)
 
 
+@pytest.mark.parametrize("size", [3600, 5400])
+def test_resampling_finds_toxic_words_of_small_languages(spark, size):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(size):
+        lang = "es" if i % 10 == 0 else "en"  # a tenth of the rows, in words of their own
+        words = [f"{lang}{min(rng.randrange(90), rng.randrange(90))}" for _ in range(rng.choice([30, 120, 900]))]
+        toxic = i // 10 % 5 == 0
+        if toxic:
+            for _ in range(4):
+                words[rng.randrange(len(words))] = f"{'feo' if lang == 'es' else 'vile'}{rng.randrange(6)}"
+        rows.append((i, " ".join(words), lang))
+        if i % 2 == i // 50 % 2:
+            labels.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in resampling.resampled(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    for lang in ("es", "en"):
+        unseen = [i for i, _, own in rows if own == lang and i % 2 != i // 50 % 2]
+        bad, good = [i for i in unseen if i // 10 % 5 == 0], [i for i in unseen if i // 10 % 5]
+        assert bad and good
+        assert sum(i in kept for i in bad) <= 0.15 * len(bad), (lang, size)
+        assert sum(i in kept for i in good) >= 0.9 * len(good), (lang, size)
+
+
 def test_kth_largest(spark):
     values = [random.Random(5).random() for _ in range(3000)] + [0.5] * 40
     keys = spark.createDataFrame([(v,) for v in values], "key double")
