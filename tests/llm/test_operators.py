@@ -258,6 +258,23 @@ def test_base_scores_and_the_model_learns(spark, sf, texts):
     assert sum(got[i].score for i in held) > 0.7 * sum(held.values()) * math.log10(1 / 49409)
 
 
+def test_attention_learns_from_every_training_text(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(attention, "FIT_IDS", 600, raising=False)  # more tasks than are added at once
+    tokenizer = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    words = [w for w in (tokenizer.id_to_token(i).removesuffix("</w>") for i in range(49_000)) if re.fullmatch("[a-z]{4,9}", w)]
+    rows = list(enumerate(dict.fromkeys(words)))[:9000]  # most of their ids are in one text each
+    assert len(rows) > 8000
+    docs = attention._keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+    coded = attention.stored(attention._encoded(docs, vocabulary("word_bpe_49k.json")), "ids")
+    scorer = attention.fit(coded, vocabulary("word_bpe_49k.json"))
+    seen = {i for n, w in rows if zlib.crc32(str(n).encode()) % 5 != 1 for i in tokenizer.encode(w, add_special_tokens=False).ids}
+    start = attention.Attention(49_408, attention.FREQUENT + attention.SHARED).embedding
+    learnt = np.flatnonzero((scorer.model.embedding[: len(start) - 2] != start[:-2]).any(axis=1))
+    assert len(seen) > 6000 and seen <= set(learnt.tolist())
+
+
 def test_suffix_automaton_gives_first_places():
     rng = random.Random(0)
     passages = [np.array([rng.randrange(3) for _ in range(40)], np.uint64) for _ in range(4)]
