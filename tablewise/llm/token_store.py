@@ -14,6 +14,9 @@ Files of a store (any folder that pyarrow's file systems can open):
 Keys are ``doc_id``. Records of one key lie side by side, so repeated keys and the null key
 are single slots with several records. Tasks write to a name of their own and rename it, and
 what they write depends only on their rows, so a task that runs again gives the same file.
+
+A store may also be written in an order of its own (of a shuffled corpus). Then each record has a slot:
+a key's first record is found by the key, its n-th by key and n, and the first slot holds how many there are.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewise.llm.common import (
@@ -168,11 +171,11 @@ def _get(path: str, name: str) -> bytes:
 
 
 def _key_ranges(docs: DataFrame, shards: int) -> list[int]:
-    """Keys at which shards begin: quantiles of the keys, found without moving texts."""
+    """Values of ``by`` at which shards begin: quantiles of the keys, found without moving texts."""
     if shards < 2:
         return []
     at = [i / shards for i in range(1, shards)]
-    found = docs.select(F.col("doc_id").cast("double").alias("k")).approxQuantile("k", at, 0.1 / shards)
+    found = docs.select(F.col("by").cast("double").alias("k")).approxQuantile("k", at, 0.1 / shards)
     return sorted({int(x) for x in found})
 
 
@@ -183,14 +186,17 @@ def write_store(
     end_id: int | None = None,
     chars_per_shard: int = 32 << 20,
     keys_per_index: int = 250_000,
+    order: str | None = None,
 ) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into a store at ``path``; returns one row per key.
 
     Shards hold ascending ranges of ``doc_id`` (null first; records of one key by their ids).
-    The driver sees one number per shard and per index part, and no key.
+    The driver sees one number per shard and per index part, and no key. With ``order``, the name
+    of a column of whole numbers, shards hold ascending ranges of that instead.
     """
-    spark = docs.sparkSession
-    docs = columns_of(docs, doc_id="long", text="string")
+    docs = columns_of(docs, doc_id="long", text="string", **({order: "long"} if order else {}))
+    by = order or "doc_id"
+    docs = docs.withColumn("by", F.col(by)).select("doc_id", "text", "by")
     rows, chars = docs.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
     shards = max(1, -(-(chars or 0) // chars_per_shard))
     starts = _key_ranges(docs, shards)
@@ -199,9 +205,9 @@ def write_store(
     shard = F.lit(0)
     if starts:
         edges = F.array(*[F.lit(s).cast("long") for s in starts])
-        shard = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(edges, lambda e: e <= F.col("doc_id"))))
-    dealt = encoded(docs.withColumn("shard", shard.cast("int")), tokenizer, end_id)
-    dealt = dealt.repartitionById(len(starts) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
+        shard = F.when(F.col("by").isNull(), 0).otherwise(F.size(F.filter(edges, lambda e: e <= F.col("by"))))
+    dealt = encoded(docs.withColumn("shard", shard.cast("int")), tokenizer, end_id, "shard int, doc_id long, by long")
+    dealt = dealt.repartitionById(len(starts) + 1, F.col("shard")).sortWithinPartitions("shard", "by", "doc_id", "ids")
     width = encoder(tokenizer).dtype.itemsize
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +222,7 @@ def write_store(
             doc = pa.concat_arrays(keys)
             value, null = doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_null().to_numpy(zero_copy_only=False)
             new = np.concatenate([[True], (value[1:] != value[:-1]) | (null[1:] != null[:-1])])
-            first = np.flatnonzero(new)
+            first = np.arange(len(new)) if order else np.flatnonzero(new)
             count = np.diff(np.append(first, len(new)))
             offset = np.cumsum(each) - each
             return pa.RecordBatch.from_arrays(
@@ -255,6 +261,10 @@ def write_store(
 
     fields = "doc_id long, shard int, record long, records long, offset long, n_tokens long"
     entries = stored(dealt.mapInArrow(write, fields), "entries")
+    if order:
+        own = Window.partitionBy("doc_id")
+        entries = entries.withColumn("records", F.count(F.lit(1)).over(own))
+        entries = entries.withColumn("nth", F.row_number().over(own.orderBy("shard", "record")) - 1)
     sizes = dict(entries.groupBy("shard").agg(F.sum("n_tokens")).collect())
     base, total = {}, 0
     for s in sorted(sizes):
@@ -263,10 +273,10 @@ def write_store(
     _put(
         path,
         "store.json",
-        [json.dumps({"shards": {str(s): b for s, b in base.items()}, "parts": parts, "width": width}).encode()],
+        [json.dumps({"shards": {str(s): b for s, b in base.items()}, "parts": parts, "width": width, "scattered": bool(order)}).encode()],
     )
     _write_index(entries, path, parts)
-    return entries
+    return entries.where("nth = 0").drop("nth") if order else entries
 
 
 # ---------------------------------------------------------------- minimal perfect hash
@@ -347,6 +357,8 @@ def find_slots(first: np.ndarray, pilots: np.ndarray, h: np.ndarray) -> np.ndarr
 def _hashed(df: DataFrame, parts: int) -> DataFrame:
     """Key hash, its index part, and a fingerprint from a second hash."""
     h = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit("no key"))).otherwise(F.xxhash64("doc_id"))
+    if "nth" in df.columns:
+        h = F.when(F.col("nth") == 0, h).otherwise(F.xxhash64(h, F.lit("nth"), "nth"))
     df = df.withColumn("h", h).withColumn("fp", F.xxhash64("h", F.lit(7)))
     return df.withColumn("part", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(parts)).cast("int"))
 
@@ -393,8 +405,12 @@ def load_index(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """Slots of ``keys`` (doc_id): shard, offset, first record, records. Unknown keys give no row."""
-    parts = json.loads(_get(path, "store.json"))["parts"]
+    """Slots of ``keys`` (doc_id): shard, offset, first record, records. Unknown keys give no row.
+
+    A key of a store in an order of its own gives a row per record.
+    """
+    meta = json.loads(_get(path, "store.json"))
+    parts = meta["parts"]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, index = None, None
@@ -425,10 +441,21 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
                     ["doc_id", "shard", "offset", "record", "records"],
                 )
 
-    keyed = _hashed(columns_of(keys, doc_id="long"), parts).repartitionById(parts, F.col("part"))
-    return keyed.sortWithinPartitions("part").mapInArrow(
-        probe, "doc_id long, shard int, offset long, record long, records long"
-    )
+    def probed(keyed: DataFrame) -> DataFrame:
+        return (
+            _hashed(keyed, parts)
+            .repartitionById(parts, F.col("part"))
+            .sortWithinPartitions("part")
+            .mapInArrow(probe, "doc_id long, shard int, offset long, record long, records long")
+        )
+
+    first = probed(columns_of(keys, doc_id="long"))
+    if not meta.get("scattered"):
+        return first
+    first = stored(first, "first")
+    nth = F.explode(F.sequence(F.lit(1), F.col("records").cast("int") - 1))
+    more = probed(first.where("records > 1").select("doc_id", nth.alias("nth")))
+    return first.union(more).withColumn("records", F.lit(1).cast("long"))
 
 
 def read_records(spark: SparkSession, path: str, keys: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -473,14 +500,15 @@ def read_records(spark: SparkSession, path: str, keys: DataFrame, with_ids: bool
     return out if with_ids else out.drop("ids")
 
 
-def token_store(docs: DataFrame, tokenizer: str, end_id: int | None = 2) -> DataFrame:
+def token_store(docs: DataFrame, tokenizer: str, end_id: int | None = 2, order: str | None = None) -> DataFrame:
     """Write ``docs`` to a store in the shared folder and read every key back from its files.
 
     Null and empty texts are a record of the end id alone. Rows with equal ``doc_id`` are each
     a record, ordered by their ids, and so are rows without ``doc_id``, which come first. An empty table
-    gives a store without shards and no rows. Other columns are ignored.
+    gives a store without shards and no rows. Other columns are ignored. With ``order``, records lie in
+    the order of that column instead.
     """
     spark = docs.sparkSession
     path = shared_folder(spark, "tokens")
-    entries = write_store(docs, path, tokenizer, end_id)
+    entries = write_store(docs, path, tokenizer, end_id, order=order)
     return read_records(spark, path, entries.select("doc_id"))

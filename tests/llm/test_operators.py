@@ -86,6 +86,27 @@ def test_index_is_minimal_perfect_and_refuses_others(spark, tmp_path):
     assert len({r.shard for r in found}) > 2
 
 
+def test_pipeline_shards_keep_the_shuffled_order(spark, sf):
+    import corpus_pipeline as c
+
+    rows = [((i * 37) % 101 % 40, f"text {i} of words") for i in range(200)]  # five copies of a key, far apart
+    rows += [(None, "no key"), (3, "late")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted(c.tokens(spark, docs, sf).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [i for i, _ in rows]
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
+
+
+def test_scattered_records_are_found_over_shards(spark, tmp_path):
+    rows = [(i % 7, f"text {i}", 1000 - i) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place long")
+    path = f"file://{tmp_path}/store"
+    write_store(docs, path, vocabulary("word_bpe_49k.json"), 2, chars_per_shard=200, keys_per_index=30, order="place")
+    found = lookup(spark, path, spark.range(9).toDF("doc_id")).collect()
+    got = [r.doc_id for r in sorted(found, key=lambda r: (r.shard, r.record))]
+    assert got == [i for i, _, _ in reversed(rows)] and len({r.shard for r in found}) > 2
+
+
 def test_decontamination_of_planted_passages(spark):
     item = " ".join(f"i{n}" for n in range(20))
     rows = [
