@@ -97,3 +97,17 @@ def op2_warc_derivatives(spark: SparkSession, d: str) -> DataFrame:
     from tablewise.llm.warc import derivatives, responses
 
     return derivatives(responses(table(spark, d, "pages")))
+
+
+@query
+def op11_token_alignment(spark: SparkSession, d: str) -> DataFrame:
+    from tablewise.llm.alignment import alignment_report
+
+    return alignment_report(table(spark, d, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
+    from tablewise.llm.conversations import repair_report
+
+    return repair_report(table(spark, d, "conversations"))
