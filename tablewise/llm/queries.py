@@ -106,6 +106,13 @@ def op11_token_alignment(spark: SparkSession, d: str) -> DataFrame:
     return alignment_report(table(spark, d, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
+@query
+def op12_minhash_join(spark: SparkSession, d: str) -> DataFrame:
+    from tablewise.llm.minhash import near_copies
+
+    return near_copies(table(spark, d, "documents"))
+
+
 @query
 def op13_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
     from tablewise.llm.conversations import repair_report
