@@ -2,7 +2,8 @@
 
 Both id lists of a text cut the same bytes. A dictionary maps each cumulative end to its index; the ends
 that both lists share, sorted, slice the lists into groups, and inside a group every pair of ids whose byte
-ranges overlap is a link.
+ranges overlap is a link. Texts of a batch stand one behind the other, so one pair of dictionaries serves
+them all: the end of a text is always shared.
 
 How often two ids are linked is counted over all documents. The pair counts go back to the documents in two
 ways that give the same sums: the commonest pairs, a bounded number of them chosen by a histogram of
@@ -12,7 +13,7 @@ counts, are broadcast, since every task needs them; the rest, which are rare and
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -84,52 +85,66 @@ class Pieces:
         return self.model.encode(texts, num_threads=1)
 
 
-# ---------------------------------------------------------------- one text
+# ---------------------------------------------------------------- one batch
 
 
-def grouped(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
+def grouped(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where groups end in both lists: indexes behind the tokens that end at a shared byte."""
-    at_a = dict(zip(ends_a, range(1, len(ends_a) + 1), strict=True))
-    at_b = dict(zip(ends_b, range(1, len(ends_b) + 1), strict=True))
-    return [(at_a[e], at_b[e]) for e in sorted(at_a.keys() & at_b.keys())]
-
-
-def linked(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int], cuts: list[tuple[int, int]]) -> list[int]:
-    """Every pair of ids whose bytes overlap, as a * SPAN + b."""
-    out = []
-    i = j = 0
-    for x, y in cuts:
-        if x - i == 1 and y - j == 1:
-            out.append(a[i] * SPAN + b[j])
-        elif x - i == 1:
-            first = a[i] * SPAN
-            out.extend([first + t for t in b[j:y]])
-        elif y - j == 1:
-            second = b[j]
-            out.extend([t * SPAN + second for t in a[i:x]])
+    at_a = dict(zip(ends_a.tolist(), range(1, len(ends_a) + 1), strict=True))
+    at_b = dict(zip(ends_b.tolist(), range(1, len(ends_b) + 1), strict=True))
+    shared = sorted(at_a.keys() & at_b.keys())
+    both = (np.fromiter(map(at.__getitem__, shared), np.int64, len(shared)) for at in (at_a, at_b))
+    return tuple(both)
+
+
+def _crossing(i: int, x: int, j: int, y: int, ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int]]:
+    """Overlapping tokens of a group with several on both sides.
+
+    No inner ends are shared, so the token that ends first makes way for the next of its list.
+    """
+    while i < x and j < y:
+        yield i, j
+        if ends_a[i] < ends_b[j]:
+            i += 1
         else:
-            # No inner ends are shared, so the token that ends first makes way for the next of its list.
-            while i < x and j < y:
-                out.append(a[i] * SPAN + b[j])
-                if ends_a[i] < ends_b[j]:
-                    i += 1
-                elif ends_a[i] > ends_b[j]:
-                    j += 1
-                else:
-                    break
-        i, j = x, y
-    return out
-
-
-def shown(a: list[str], b: list[str], cuts: list[tuple[int, int]]) -> str:
-    """Groups as text: ids joined by commas, ``|`` between the lists, ``;`` between groups."""
-    out, i, j = [], 0, 0
-    for x, y in cuts:
-        left = a[i] if x - i == 1 else ",".join(a[i:x])
-        right = b[j] if y - j == 1 else ",".join(b[j:y])
-        out.append(left + "|" + right)
-        i, j = x, y
-    return ";".join(out)
+            j += 1
+
+
+def linked(ends_a: np.ndarray, ends_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of every pair of tokens whose bytes overlap, slice by slice."""
+    from_a, from_b = np.concatenate([[0], cut_a[:-1]]), np.concatenate([[0], cut_b[:-1]])
+    size_a, size_b = cut_a - from_a, cut_b - from_b
+    many = (size_a > 1) & (size_b > 1)
+    plain = np.flatnonzero(~many)
+    # One token on a side covers all of the other side.
+    width = np.maximum(size_a, size_b)[plain]
+    step = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+    i = np.repeat(from_a[plain], width) + np.where(np.repeat(size_a[plain] > 1, width), step, 0)
+    j = np.repeat(from_b[plain], width) + np.where(np.repeat(size_b[plain] > 1, width), step, 0)
+    several = np.flatnonzero(many).tolist()
+    if several:
+        ends = ends_a.tolist(), ends_b.tolist()
+        more = [p for g in several for p in _crossing(int(from_a[g]), int(cut_a[g]), int(from_b[g]), int(cut_b[g]), *ends)]
+        extra = np.array(more, np.int64)
+        i, j = np.concatenate([i, extra[:, 0]]), np.concatenate([j, extra[:, 1]])
+    return i, j
+
+
+def shown(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, names_a: np.ndarray, names_b: np.ndarray) -> list[str]:
+    """Both lists group by group as strings: ids of the first closed by ``,`` or ``|``, of the second by ``,`` or ``;``."""
+    last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    last_a[cut_a - 1] = last_b[cut_b - 1] = 1
+    group_a = np.cumsum(last_a) - last_a
+    group_b = np.cumsum(last_b) - last_b
+    out = np.empty(len(a) + len(b), object)
+    out[np.arange(len(a)) + np.concatenate([[0], cut_b])[group_a]] = names_a[last_a, a]
+    out[np.arange(len(b)) + cut_a[group_b]] = names_b[last_b, b]
+    return out.tolist()
+
+
+def _closed(size: int, inside: str, end: str) -> np.ndarray:
+    """Two rows of all ids as strings, closed by either mark."""
+    return np.array([[f"{i}{mark}" for i in range(size)] for mark in (inside, end)], object)
 
 
 # ---------------------------------------------------------------- tables
@@ -151,42 +166,39 @@ def alignments(documents: DataFrame, first: str, second: str) -> DataFrame:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
         left, right = ByteLevel(first), Pieces(second)
-        sizes_a, sizes_b = [len(t) for t in left.bytes_of], [len(t) for t in right.bytes_of]
-        names_a, names_b = [str(i) for i in range(len(sizes_a))], [str(i) for i in range(len(sizes_b))]
+        size_a, size_b = (np.array([len(t) for t in model.bytes_of], np.int64) for model in (left, right))
+        names_a, names_b = _closed(len(size_a), ",", "|"), _closed(len(size_b), ",", ";")
         for whole in batches:
             for batch in slices(whole, limit=1 << 20):
                 texts = texts_of(batch.column("text")).to_pylist()
-                counts, groups, pairs, times = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                bounds = [0]
+                held_a, held_b = [], []
                 for text, a, b in zip(texts, left.encode(texts), right.encode(texts), strict=True):
                     raw = b" " + text.encode()
-                    if (
-                        not text
-                        or b"".join([left.bytes_of[t] for t in a]) != raw
-                        or b"".join([right.bytes_of[t] for t in b]) != raw
-                    ):
-                        counts.append((0, 0, 0, 0))
-                        groups.append("")
-                        bounds.append(bounds[-1])
-                        continue
-                    ends_a = list(accumulate([sizes_a[t] for t in a]))
-                    ends_b = list(accumulate([sizes_b[t] for t in b]))
-                    cuts = grouped(ends_a, ends_b)
-                    links = np.array(linked(a, b, ends_a, ends_b, cuts), np.int64)
-                    distinct, n = np.unique(links, return_counts=True)
-                    counts.append((len(a), len(b), len(cuts), len(links)))
-                    groups.append(shown([names_a[t] for t in a], [names_b[t] for t in b], cuts))
-                    pairs.append(distinct)
-                    times.append(n)
-                    bounds.append(bounds[-1] + len(distinct))
-                offsets = pa.array(bounds, pa.int32())
+                    same = text and all(b"".join(map(m.bytes_of.__getitem__, ids)) == raw for m, ids in ((left, a), (right, b)))
+                    held_a.append(a if same else [])
+                    held_b.append(b if same else [])
+                n_a, n_b = (np.array([len(x) for x in held], np.int64) for held in (held_a, held_b))
+                a, b = (np.fromiter(chain.from_iterable(held), np.int64, n.sum()) for held, n in ((held_a, n_a), (held_b, n_b)))
+                ends_a, ends_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
+                cut_a, cut_b = grouped(ends_a, ends_b)
+                i, j = linked(ends_a, ends_b, cut_a, cut_b) if len(cut_a) else (a, b)
+                text_of = np.repeat(np.arange(len(texts)), n_a)
+                bounds_a, bounds_b = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
+                words = shown(a, b, cut_a, cut_b, names_a, names_b) if len(cut_a) else []
+                groups = ["".join(words[s:e])[:-1] for s, e in pairwise((bounds_a + bounds_b).tolist())]
+                key = text_of[i] << 40 | a[i] * SPAN + b[j]
+                distinct, times = np.unique(key, return_counts=True)
+                offsets = pa.array(np.searchsorted(distinct, np.arange(len(texts) + 1) << 40).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
-                        *(pa.array(c, pa.int64()) for c in zip(*counts, strict=True)),
+                        pa.array(n_a),
+                        pa.array(n_b),
+                        pa.array(np.bincount(text_of[cut_a - 1], minlength=len(texts))),
+                        pa.array(np.bincount(text_of[i], minlength=len(texts))),
                         pa.array(groups, pa.string()),
-                        pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(pairs))),
-                        pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(times).astype(np.int32))),
+                        pa.ListArray.from_arrays(offsets, pa.array(distinct & ((1 << 40) - 1))),
+                        pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
                     ],
                     ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"],
                 )
