@@ -137,20 +137,21 @@ MISSING = union(
 _is_key = "column_name LIKE '%ID'"
 ORACLES["quality_missing"] = f"""{DIRTY_WITH}, m AS ({MISSING})
 SELECT 'missing_values' AS kind, CASE WHEN {_is_key} THEN 'error' ELSE 'warning' END AS severity,
-  column_name, n AS affected_rows, format('{{:,}} rows ({{:.1f}}%) have no ', n, n / total * 100)
-  || column_name || CASE WHEN {_is_key} THEN '; these rows cannot join to the related dimension.'
-  ELSE '.' END AS description, '' AS examples FROM m WHERE n > 0"""
+  column_name, n AS affected_rows,
+  column_name || format(' is empty in {{:,}} rows, {{:.1f}}%', n, n / total * 100)
+  || CASE WHEN {_is_key} THEN ' of all. As a key it leads these rows nowhere.' ELSE ' of all.' END
+  AS description, '' AS examples FROM m WHERE n > 0"""
 BLANK = union(
     [f"SELECT '{c}' AS column_name, count(*) FILTER ({trim_u(c)} = '') AS n FROM dirty" for c in TEXTS]
 )
 ORACLES["quality_blank"] = f"""{DIRTY_WITH}, b AS ({BLANK})
 SELECT 'blank_strings' AS kind, 'warning' AS severity, column_name, n AS affected_rows,
-  format('{{:,}} values in ', n) || column_name || ' are blank (whitespace only).' AS description,
+  column_name || format(' holds nothing but blanks in {{:,}} rows.', n) AS description,
   '' AS examples FROM b WHERE n > 0"""
 DUPES = "SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS n FROM dirty"
 ORACLES["quality_duplicates"] = f"""{DIRTY_WITH}, d AS ({DUPES})
 SELECT 'duplicate_rows' AS kind, 'warning' AS severity, '-' AS column_name, n AS affected_rows,
-  format('{{:,}} rows are exact duplicates of an earlier row.', n) AS description FROM d WHERE n > 0"""
+  format('{{:,}} rows repeat another one in every column.', n) AS description FROM d WHERE n > 0"""
 ORACLES["duplicate_groups"] = f"""{DIRTY_WITH}
 SELECT OrderID, OrderLine, ProductID, SupplierID, n AS copies FROM
   (SELECT *, count(*) AS n FROM dirty GROUP BY ALL) WHERE n > 1"""
@@ -180,7 +181,8 @@ CATEGORIES = f"""{variants(TEXTS)}, cat AS (SELECT column_name, CAST(sum(n) FILT
   count(DISTINCT norm) AS groups FROM k WHERE size > 1 AND width <= 1000 GROUP BY column_name)"""
 ORACLES["quality_categories"] = f"""{DIRTY_WITH}, {CATEGORIES}
 SELECT 'inconsistent_categories' AS kind, 'warning' AS severity, column_name, n AS affected_rows,
-  format('{{:,}} rows in ', n) || column_name || format(' use a spelling variant (case/whitespace) of another category; {{}} categories affected.', groups)
+  format('{{}} categories of ', groups) || column_name
+  || format(' are spelled in several ways (case, blanks); {{:,}} rows have one of the rarer spellings.', n)
   AS description FROM cat"""
 
 
@@ -208,7 +210,8 @@ def outlier_parts() -> str:
 
 ORACLES["quality_outliers"] = f"""{DIRTY_WITH}, {outlier_parts()}
 SELECT 'outliers' AS kind, 'info' AS severity, column_name, n AS affected_rows,
-  format('{{:,}} values in ', n) || column_name || format(' fall outside [{{:,.2f}}, {{:,.2f}}] (Q1/Q3 +- 3 x IQR). Review them; they were not removed.', lo, hi)
+  format('{{:,}} rows have a ', n) || column_name
+  || format(' beyond {{:,.2f}} to {{:,.2f}}, which is three interquartile ranges out. They are still in the data.', lo, hi)
   AS description, examples FROM outl"""
 NEGATIVE = union(
     [
@@ -220,7 +223,8 @@ NEGATIVE = union(
 )
 ORACLES["quality_negative"] = f"""{DIRTY_WITH}, neg AS ({NEGATIVE})
 SELECT 'negative_values' AS kind, 'info' AS severity, column_name, n AS affected_rows,
-  format('{{:,}} negative values in ', n) || column_name || ': returns/credits, or errors? Confirm the business meaning.'
+  format('{{:,}} rows have a ', n) || column_name
+  || ' below zero. Find out whether they are returns or mistakes.'
   AS description, examples FROM neg"""
 _number = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)$"
 TYPED = union(
@@ -234,7 +238,8 @@ TYPED = union(
 )
 ORACLES["quality_text_types"] = f"""{DIRTY_WITH}, t AS ({TYPED})
 SELECT 'type_mismatch' AS kind, 'warning' AS severity, column_name, filled - ok AS affected_rows,
-  column_name || format(' holds numbers stored as text ({{:.1f}}% parse); {{:,}} values do not parse and are probably invalid.', ok / filled * 100, filled - ok)
+  format('{{:.1f}}% of the texts in ', ok / filled * 100) || column_name
+  || format(' are numbers; the other {{:,}} cannot be read as such.', filled - ok)
   AS description, examples FROM t WHERE filled > 0 AND ok / filled >= 0.95"""
 CONSTANT = union(
     [
@@ -245,7 +250,7 @@ CONSTANT = union(
 )
 ORACLES["quality_constant"] = f"""{DIRTY_WITH}, k AS ({CONSTANT})
 SELECT 'constant_column' AS kind, 'info' AS severity, column_name, CAST(0 AS BIGINT) AS affected_rows,
-  column_name || ' has a single value (''' || v || '''); it adds no detail.' AS description,
+  column_name || ' is ''' || v || ''' wherever it is filled.' AS description,
   '' AS examples FROM k WHERE n = 1"""
 ISSUES = f"""m AS ({MISSING}), b AS ({BLANK}), dd AS ({DUPES}), {CATEGORIES}, {outlier_parts()},
 neg AS ({NEGATIVE}), t AS ({TYPED}), ct AS ({CONSTANT}), issues AS (

@@ -2,11 +2,15 @@
 
 Everything here aggregates on the map side first, so one value, row or key that fills a
 third of the table costs one record per task, and no group is held whole in any task.
+
+The values of a table with their counts are a table of their own (``CountedTable``), counted
+in one scan and stored. Profiles, quantiles and checks read that table, never the source again.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +26,8 @@ TOP = 5
 # Suspect row hashes that may be broadcast: at 8 bytes each this is at most 16 MB.
 BROADCAST_HASHES = 2_000_000
 QUANTILE_BUCKETS = 2_048
+# A sketch's ranks are off by at most one part in so many; brackets take twice that on both sides.
+SKETCH_PARTS = 10_000
 LARGEST = 1.7976931348623157e308
 
 
@@ -68,6 +74,34 @@ def slot_counts(df: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class CountedTable:
+    """The stored value counts of a table: ``(idx, l, d, s, n, m)``, see ``slot_counts``.
+
+    Files are ordered by column, so a filter on ``idx`` skips the pages of the other columns.
+    """
+
+    source: DataFrame
+    cells: DataFrame
+
+    @classmethod
+    def of(cls, df: DataFrame) -> CountedTable:
+        return cls(df, materialise(slot_counts(df).sortWithinPartitions("idx")))
+
+    def index(self, name: str) -> int:
+        return self.source.columns.index(name)
+
+    def present(self, names: list[str]) -> DataFrame:
+        """Counted values of some columns, missing ones left out."""
+        wanted = [self.index(n) for n in names]
+        return self.cells.filter(F.col("idx").isin(wanted) & (F.col("m") > 0))
+
+
+def cell_number() -> Column:
+    """A counted number as a double."""
+    return F.coalesce(F.col("l").cast("double"), F.col("d"), F.col("s").try_cast("double"))
+
+
 def name_of(df: DataFrame, idx: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in df.columns]), idx + 1)
 
@@ -93,20 +127,20 @@ def render(df: DataFrame) -> Column:
     return text
 
 
-def value_counts(df: DataFrame) -> DataFrame:
+def value_counts(df: DataFrame | CountedTable) -> DataFrame:
     """``(column, value, n)`` with values as text; a NULL value counts the missing cells."""
-    return slot_counts(df).select(
-        name_of(df, F.col("idx")).alias("column"), render(df).alias("value"), "n"
-    )
+    counts, df = (df.cells, df.source) if isinstance(df, CountedTable) else (slot_counts(df), df)
+    return counts.select(name_of(df, F.col("idx")).alias("column"), render(df).alias("value"), "n")
 
 
-def count_summary(df: DataFrame, top: int = TOP) -> DataFrame:
+def count_summary(df: DataFrame | CountedTable, top: int = TOP) -> DataFrame:
     """``(idx, rows, nulls, distinct, blanks, top)``, ``top`` an array of ``(rn, value, n)``.
 
-    Both branches read the same counted exchange, which Spark runs once. For that, neither
-    may push a filter below it: presence is an aggregate, and the join is null-safe.
+    Both branches read the same counted exchange, which Spark runs once, or the stored counts.
+    For that, neither may push a filter below it: presence is an aggregate, and the join is
+    null-safe.
     """
-    counts = slot_counts(df)
+    counts, df = (df.cells, df.source) if isinstance(df, CountedTable) else (slot_counts(df), df)
     totals = counts.groupBy("idx").agg(
         F.sum("n").alias("rows"),
         F.sum(F.col("n") - F.col("m")).alias("nulls"),
@@ -168,13 +202,16 @@ def duplicate_rows(df: DataFrame) -> int:
 
 
 # -- exact quantiles -------------------------------------------------------------------------
-def measure_cell(name: str) -> Column:
-    """A measure as a rankable double: NaN is left out, infinities clip to the largest double."""
-    value = col(name).cast("double")
+def _rankable(value: Column) -> Column:
     top = F.lit(LARGEST)
     return F.when(~F.isnan(value), F.greatest(F.least(value, top), -top))
 
 
+def measure_cell(name: str) -> Column:
+    """A measure as a rankable double: NaN is left out, infinities clip to the largest double."""
+    return _rankable(col(name).cast("double"))
+
+
 def measure_bounds(df: DataFrame, names: list[str]) -> dict[str, tuple[int, int, float, float]]:
     """Per measure: values, NaNs among them, least and greatest rankable value."""
     aggs = []
@@ -186,20 +223,45 @@ def measure_bounds(df: DataFrame, names: list[str]) -> dict[str, tuple[int, int,
     return {name: row[4 * i : 4 * i + 4] for i, name in enumerate(names)}
 
 
+def sketched(cell: Column, shares: tuple[float, ...]) -> Column:
+    """Values around each share from a mergeable sketch: ``(low, high)`` after ``(low, high)``."""
+    margin = 2 / SKETCH_PARTS
+    around = [x for p in shares for x in (max(0.0, p - margin), min(1.0, p + margin))]
+    return F.percentile_approx(cell, around, SKETCH_PARTS)
+
+
+def measure_cells(df: DataFrame, names: list[str]) -> DataFrame:
+    """``(name, v, n)``: the rankable values of measures straight from the rows, each once."""
+    cells = [x for name in names for x in (F.lit(name), measure_cell(name))]
+    rows = df.select(F.stack(F.lit(len(names)), *cells).alias("name", "v"))
+    return rows.filter("v IS NOT NULL").withColumn("n", F.lit(1).cast("bigint"))
+
+
+def counted_measures(table: CountedTable, names: list[str]) -> DataFrame:
+    """``(name, v, n)``: the rankable values of measures with their counts."""
+    named = name_of(table.source, F.col("idx")).alias("name")
+    return table.present(names).select(named, _rankable(cell_number()).alias("v"), "n").filter("v IS NOT NULL")
+
+
+Bounds = dict[str, tuple[int, int, float, float]]
+
+
 def order_statistics(
     df: DataFrame,
     ranks: dict[str, list[int]],
-    bounds: dict[str, tuple[int, int, float, float]],
+    bounds: Bounds,
+    around: dict[tuple[str, int], tuple[float, float]] | None = None,
 ) -> dict[tuple[str, int], float]:
     """The exact value at each 0-based ascending rank, for many columns at once.
 
-    Each pass splits the interval known to hold a rank into equal buckets and counts
-    them (one narrow scan, a few thousand counted records), then keeps the bucket the rank
-    falls in, shrunk to the values it really holds. It ends when that bucket holds one
-    value. No column is sorted and no set of distinct values is held anywhere.
+    ``df`` holds the measures as columns, or is ``(name, v, n)``. Two passes over it, whatever
+    the values are: sketches bracket every rank (``around``, if a scan before has done that), then one
+    pass counts what lies below each bracket and keeps the counted values inside, a few
+    ten-thousandths of the table. The rest is settled on these. No column is sorted, and a bracket
+    that a sketch got wrong is only wider the next time.
     """
     found: dict[tuple[str, int], float] = {}
-    open_: dict[tuple[str, int], tuple[float, float, int]] = {}
+    spans: dict[tuple[str, int], tuple[float, float]] = {}
     for name, wanted in ranks.items():
         count, nans, low, high = bounds[name]
         for rank in wanted:
@@ -208,45 +270,98 @@ def order_statistics(
             elif low == high:
                 found[name, rank] = low
             else:
-                open_[name, rank] = (low, high, rank)
+                spans[name, rank] = (low, high)
+    if not spans:
+        return found
+    names = list(dict.fromkeys(name for name, _ in spans))
+    cells = df if df.columns == ["name", "v", "n"] else measure_cells(df, names)
+    if around is None:
+        around = _bracketed(cells, list(spans), bounds)
+    kept = {key: around.get(key, whole) for key, whole in spans.items()}
+    while kept:
+        kept = _settled(cells, kept, bounds, found)
+    return found
+
+
+def _bracketed(cells: DataFrame, keys: list[tuple[str, int]], bounds: Bounds) -> dict:
+    """A bracket for every rank of every measure, from one scan."""
+    shares = {}
+    for name, rank in keys:
+        rows = bounds[name][0] - bounds[name][1]
+        shares.setdefault(name, {})[rank] = rank / max(rows - 1, 1)
+    aggs = []
+    for i, (name, ranks) in enumerate(shares.items()):
+        own = F.when(F.col("name") == name, F.col("v"))
+        aggs.append(sketched(own, tuple(ranks.values())).alias(f"q{i}"))
+    row = cells.agg(*aggs).first()
+    result = {}
+    for (name, ranks), ends in zip(shares.items(), row, strict=True):
+        for i, rank in enumerate(ranks):
+            result[name, rank] = (ends[2 * i], ends[2 * i + 1])
+    return result
+
+
+def _settled(cells: DataFrame, spans: dict, bounds: Bounds, found: dict) -> dict:
+    """Find the ranks whose bracket holds them; what is returned gets the whole range as bracket."""
+    keys = list(spans)
+    by_name: dict[str, list[int]] = {}
+    for i, (name, _) in enumerate(keys):
+        by_name.setdefault(name, []).append(i)
+    entry = lambda i: F.struct(F.lit(i).alias("i"), *[F.lit(float(x)).alias(e) for x, e in zip(spans[keys[i]], ("lo", "hi"))])
+    each = F.when(F.lit(False), F.array(entry(0)))
+    for name, own in by_name.items():
+        each = each.when(F.col("name") == name, F.array(*[entry(i) for i in own]))
+    rows = cells.select("v", "n", F.explode(each).alias("b")).filter("v <= b.hi")
+    inside = F.when(F.col("v") >= F.col("b.lo"), F.col("v"))
+    # What is below a bracket is one record, the values inside are counted.
+    held = materialise(rows.groupBy(F.col("b.i").alias("i"), inside.alias("v")).agg(F.sum("n").alias("n")))
+    below = {r["i"]: r["n"] for r in held.filter("v IS NULL").collect()}
+    held = held.filter("v IS NOT NULL")
+    open_ = {i: (*spans[key], key[1] - below.get(i, 0)) for i, key in enumerate(keys)}
+    missed = {keys[i]: bounds[keys[i][0]][2:4] for i, (*_, rank) in open_.items() if rank < 0}
+    open_ = {i: span for i, span in open_.items() if span[2] >= 0}
     while open_:
-        # Ranks of one column still in the same interval share its counts.
-        spans = sorted({(name, lo, hi) for (name, _), (lo, hi, _) in open_.items()})
-        counted = _bucket_counts(df, spans)
-        for key, (lo, hi, rank) in list(open_.items()):
-            for count, least, greatest in counted[key[0], lo, hi]:
+        counted = _bucket_counts(held, open_)
+        for i, (_, _, rank) in list(open_.items()):
+            del open_[i]
+            for count, least, greatest in counted.get(i, []):
                 if rank >= count:
                     rank -= count
                     continue
                 if least == greatest:
-                    found[key] = least
-                    del open_[key]
+                    found[keys[i]] = least
                 else:
-                    open_[key] = (least, greatest, rank)
+                    open_[i] = (least, greatest, rank)
                 break
-    return found
+            else:
+                missed[keys[i]] = bounds[keys[i][0]][2:4]
+    return missed
 
 
-def _bucket_counts(df: DataFrame, spans: list) -> dict:
-    cells = []
-    for i, (name, lo, hi) in enumerate(spans):
-        v, last = measure_cell(name), QUANTILE_BUCKETS - 1
-        if math.isfinite(hi - lo):
+def _bucket_counts(held: DataFrame, spans: dict[int, tuple[float, float, int]]) -> dict[int, list]:
+    """Per span its filled buckets in order: ``(n, least, greatest)``."""
+    last = QUANTILE_BUCKETS - 1
+    bucket = F.lit(None).cast("int")
+    v = F.col("v")
+    for i, (lo, hi, _) in spans.items():
+        if math.isfinite(hi - lo) and hi > lo:
             share = (v - F.lit(lo)) / F.lit(hi - lo)
-        else:
+        elif hi > lo:
             share = (v / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
-        inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
-        cells += [F.lit(i), F.when(inside, F.floor(share * last).cast("int")), v]
+        else:
+            share = F.lit(0.0)
+        inside = (F.col("i") == i) & (v >= F.lit(lo)) & (v <= F.lit(hi))
+        bucket = F.when(inside, F.floor(share * last).cast("int")).otherwise(bucket)
     rows = (
-        df.select(F.stack(F.lit(len(spans)), *cells).alias("span", "bucket", "v"))
+        held.select("i", bucket.alias("bucket"), "v", "n")
         .filter("bucket IS NOT NULL")
-        .groupBy("span", "bucket")
-        .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        .groupBy("i", "bucket")
+        .agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         .collect()
     )
-    result: dict = {span: [] for span in spans}
-    for r in sorted(rows, key=lambda r: (r["span"], r["bucket"])):
-        result[spans[r["span"]]].append((r["n"], r["lo"], r["hi"]))
+    result: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: (r["i"], r["bucket"])):
+        result.setdefault(r["i"], []).append((r["n"], r["lo"], r["hi"]))
     return result
 
 
@@ -255,13 +370,18 @@ def nearest_ranks(count: int, shares: tuple[float, ...]) -> list[int]:
     return [math.floor(p * (count - 1) + 0.5) for p in shares]
 
 
-def medians(
-    df: DataFrame, bounds: dict[str, tuple[int, int, float, float]]
-) -> dict[str, float | None]:
+def middle_ranks(count: int) -> list[int]:
+    """The two middle ranks of ``count`` values, one if they coincide."""
+    return sorted({(count - 1) // 2, count // 2}) if count else []
+
+
+def medians(df: DataFrame, bounds: Bounds) -> dict[str, float | None]:
     """Exact median per measure: the mean of the two middle values."""
-    middle = {n: [(b[0] - 1) // 2, b[0] // 2] for n, b in bounds.items() if b[0]}
-    values = order_statistics(df, {n: sorted(set(r)) for n, r in middle.items()}, bounds)
-    result: dict[str, float | None] = dict.fromkeys(bounds)
-    for name, (a, b) in middle.items():
-        result[name] = (values[name, a] + values[name, b]) / 2
-    return result
+    ranks = {n: middle_ranks(b[0]) for n, b in bounds.items()}
+    return median_values(order_statistics(df, ranks, bounds), ranks)
+
+
+def median_values(
+    values: dict[tuple[str, int], float], ranks: dict[str, list[int]]
+) -> dict[str, float | None]:
+    return {n: (values[n, r[0]] + values[n, r[-1]]) / 2 if r else None for n, r in ranks.items()}

@@ -14,9 +14,12 @@ from tablewise.functions import names
 from tablewise.functions.columns import col
 from tablewise.functions.text import RENDERED_CHARS
 from tablewise.operators import counts
+from tablewise.sources.dataset import materialise
 
 TOP_MAX_DISTINCT = 1_000
 LOW_CARDINALITY = 50
+#: Quantiles that are kept for every measure.
+SHARES = (0.25, 0.5, 0.75)
 REPEATED_SHARE = 0.5
 UNIQUE_LABEL_ROWS = 20
 
@@ -114,22 +117,64 @@ def _stat_columns(f: T.StructField) -> list[Column]:
     ]
 
 
-STATS = 9
+STATS = 10
 
 
 def column_stats(df: DataFrame) -> dict[str, tuple]:
-    """The one-pass statistics of every number and date column; one scan of those columns."""
+    """The one-pass statistics of every number and date column; one scan of those columns.
+
+    The last one brackets the quartiles and the median of a number, see ``counts.sketched``.
+    """
     kinds = C.NUMERIC | C.TEMPORAL
     fields = [f for f in df.schema.fields if C.logical_type(f.dataType) in kinds]
     result: dict[str, tuple] = {}
     for batch in C.batches(fields, 25):
-        aggs = [a for f in batch for a in _stat_columns(f)]
+        aggs = []
+        for f in batch:
+            number = C.logical_type(f.dataType) in C.NUMERIC
+            around = counts.sketched(counts.measure_cell(f.name), SHARES) if number else F.lit(None)
+            aggs += [*_stat_columns(f), around]
         row = tuple(df.agg(*[a.alias(f"s{i}") for i, a in enumerate(aggs)]).first())
         for i, f in enumerate(batch):
             result[f.name] = row[STATS * i : STATS * (i + 1)]
     return result
 
 
+@dataclass(frozen=True)
+class Ranks:
+    """What is known of the measures' quantiles: bounds, and a bracket around each share."""
+
+    counted: counts.CountedTable
+    bounds: dict[str, tuple[int, int, float, float]]
+    around: dict[str, list[float] | None]
+
+    @classmethod
+    def of(cls, counted: counts.CountedTable, stats: dict[str, tuple]) -> Ranks:
+        numeric = [f.name for f in counted.source.schema.fields if C.logical_type(f.dataType) in C.NUMERIC]
+        bounds = {n: (stats[n][8], stats[n][7], *map(_clip, stats[n][2:4])) for n in numeric}
+        return cls(counted, bounds, {n: stats[n][9] for n in numeric})
+
+    def ranks(self, name: str) -> list[list[int]]:
+        """The ranks of each of ``SHARES``: nearest ranks of the quartiles, both middle ones."""
+        count = self.bounds[name][0]
+        if not count:
+            return [[] for _ in SHARES]
+        first, third = counts.nearest_ranks(count, (SHARES[0], SHARES[2]))
+        return [[first], counts.middle_ranks(count), [third]]
+
+    def values(self, names: list[str]) -> dict[tuple[str, int], float]:
+        """The exact values at the ranks of some measures: one pass over their counted values."""
+        wanted, around = {}, {}
+        for n in names:
+            ranks = self.ranks(n)
+            wanted[n] = sorted({r for own in ranks for r in own})
+            for i, own in enumerate(ranks):
+                if self.around[n]:
+                    around |= {(n, r): tuple(self.around[n][2 * i : 2 * i + 2]) for r in own}
+        cells = counts.counted_measures(self.counted, names)
+        return counts.order_statistics(cells, wanted, self.bounds, around)
+
+
 def _clean(value: float | None) -> float | None:
     return value if value is not None and abs(value) < float("inf") else None
 
@@ -141,17 +186,24 @@ def _clip(value: float | None) -> float | None:
 def profile_columns(df: DataFrame, medians: bool = True) -> DataFrame:
     """One row per column. The result is a bounded local table: computing it runs the jobs.
 
-    Three kinds of pass: one aggregate for all statistics, one counted shuffle for distinct
-    and most frequent values, and the narrow counting passes of the exact medians, which a
-    caller that needs roles and counts only can leave out.
+    Two scans: one aggregate for all statistics, and one that counts all values. Distinct and most
+    frequent values and exact medians, which a caller that needs roles and counts only can leave out,
+    read the stored counts.
     """
+    return _profiled(df, medians)[0]
+
+
+def _profiled(df: DataFrame, medians: bool) -> tuple[DataFrame, Ranks, dict]:
     spark = df.sparkSession
     C.check_names(df)
     stats = column_stats(df)
-    counted = {r["idx"]: r for r in counts.count_summary(df).collect()}
-    numeric = [f.name for f in df.schema.fields if C.logical_type(f.dataType) in C.NUMERIC]
-    bounds = {n: (stats[n][8], stats[n][7], *map(_clip, stats[n][2:4])) for n in numeric}
-    median = counts.medians(df, bounds) if numeric and medians else {}
+    table = counts.CountedTable.of(df)
+    known = Ranks.of(table, stats)
+    counted = {r["idx"]: r for r in counts.count_summary(table).collect()}
+    values, median = {}, {}
+    if medians and known.bounds:
+        values = known.values(list(known.bounds))
+        median = counts.median_values(values, {n: known.ranks(n)[1] for n in known.bounds})
     rows = []
     for i, f in enumerate(df.schema.fields):
         least, greatest, low, high, total, mean, std, *_ = stats.get(f.name, [None] * STATS)
@@ -186,7 +238,7 @@ def profile_columns(df: DataFrame, medians: bool = True) -> DataFrame:
                 top,
             )
         )
-    return spark.createDataFrame(rows, PROFILE_SCHEMA)
+    return spark.createDataFrame(rows, PROFILE_SCHEMA), known, values
 
 
 # -- roles -----------------------------------------------------------------------------------
@@ -247,11 +299,34 @@ class Profile:
     rows: int
     frame: DataFrame
     columns: list = field(default_factory=list)
+    ranks: Ranks | None = None
+    quantiles: dict[tuple[str, int], float] = field(default_factory=dict)
+
+    @cached_property
+    def counted(self) -> counts.CountedTable:
+        """The stored value counts of the source, shared by all that reads values."""
+        return self.ranks.counted if self.ranks else counts.CountedTable.of(self.source)
+
+    def quartiles(self, names: list[str]) -> dict[str, tuple[float, float]]:
+        """Exact first and third quartile per measure with values (nearest ranks)."""
+        known = self.ranks or Ranks.of(self.counted, column_stats(self.source.select(*[col(n) for n in names])))
+        new = [n for n in names if any((n, r) not in self.quantiles for own in known.ranks(n) for r in own)]
+        if new:
+            self.quantiles |= known.values(new)
+        ends = {n: known.ranks(n) for n in names}
+        return {n: (self.quantiles[n, r[0][0]], self.quantiles[n, r[2][0]]) for n, r in ends.items() if r[0]}
+
+    @cached_property
+    def duplicates(self) -> DataFrame:
+        """Rows that occur more than once, with their number ``__n``; found and stored once."""
+        return materialise(counts.duplicate_groups(self.source))
 
     @cached_property
     def duplicate_rows(self) -> int:
         """Rows that repeat an earlier row; counted when first asked for."""
-        return counts.duplicate_rows(self.source) if self.rows else 0
+        if not self.rows:
+            return 0
+        return int(self.duplicates.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0))).first()[0])
 
     def by_role(self, *roles: str) -> list:
         return [c for c in self.columns if c["role"] in roles]
@@ -281,10 +356,11 @@ class Profile:
 
 def profile_table(df: DataFrame, name: str = "table", medians: bool = True) -> Profile:
     """Profile with roles; only one row per column is collected."""
-    columns = with_roles(profile_columns(df, medians)).orderBy("ordinal").collect()
+    facts, ranks, quantiles = _profiled(df, medians)
+    columns = with_roles(facts).orderBy("ordinal").collect()
     rows = columns[0]["rows"] if columns else df.count()
     frame = df.sparkSession.createDataFrame(columns, with_roles_schema())
-    return Profile(name, df, rows, frame, columns)
+    return Profile(name, df, rows, frame, columns, ranks, quantiles)
 
 
 def with_roles_schema() -> T.StructType:

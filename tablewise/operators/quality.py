@@ -2,12 +2,16 @@
 
 Data is reported, never changed. Counts are exact. Examples are ordered by value, because a
 distributed table has no row order.
+
+Checks of single values are ``CountedCheck``s: they declare which counted values to add up and which to
+show, and ``run_counted`` answers all of them with one aggregate over the stored counts and one more
+for the examples. Any other function of ``(df, profile)`` is a check as well.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,12 +63,12 @@ def missing_values(df: DataFrame, profile: Profile) -> DataFrame:
     is_key = F.col("role").isin(*KEYS)
     share = F.concat(F.format_number(F.try_divide("null_count", "rows") * 100, 1), F.lit("%"))
     text = F.concat(
+        F.col("column"),
+        F.lit(" is empty in "),
         F.format_number("null_count", 0),
-        F.lit(" rows ("),
+        F.lit(" rows, "),
         share,
-        F.lit(") have no "),
-        F.col("column"),
-        F.when(is_key, "; these rows cannot join to the related dimension.").otherwise("."),
+        F.when(is_key, " of all. As a key it leads these rows nowhere.").otherwise(" of all."),
     )
     return profile.frame.filter("null_count > 0").select(
         F.lit("missing_values").alias("kind"),
@@ -78,10 +82,10 @@ def missing_values(df: DataFrame, profile: Profile) -> DataFrame:
 
 def blank_strings(df: DataFrame, profile: Profile) -> DataFrame:
     text = F.concat(
-        F.format_number("blank_count", 0),
-        F.lit(" values in "),
         F.col("column"),
-        F.lit(" are blank (whitespace only)."),
+        F.lit(" holds nothing but blanks in "),
+        F.format_number("blank_count", 0),
+        F.lit(" rows."),
     )
     return profile.frame.filter("blank_count > 0").select(
         F.lit("blank_strings").alias("kind"),
@@ -98,13 +102,13 @@ def constant_columns(df: DataFrame, profile: Profile) -> DataFrame:
     quote_ = F.when(F.col("logical_type") == C.STRING, "'").otherwise("")
     text = F.concat(
         F.col("column"),
-        F.lit(" has a single value ("),
+        F.lit(" is "),
         quote_,
         F.when(F.col("logical_type") == C.BOOLEAN, F.initcap(F.col("top_values")[0]["value"])).otherwise(
             F.col("top_values")[0]["value"]
         ),
         quote_,
-        F.lit("); it adds no detail."),
+        F.lit(" wherever it is filled."),
     )
     return profile.frame.filter(single).select(
         F.lit("constant_column").alias("kind"),
@@ -120,7 +124,7 @@ def duplicate_rows(df: DataFrame, profile: Profile) -> DataFrame:
     repeated = profile.duplicate_rows
     if not repeated:
         return _issues(df, [])
-    groups = counts.duplicate_groups(df)
+    groups = profile.duplicates
     order = [col(n) for n in df.columns]
     rendered = [
         bounded(col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else col(f.name)
@@ -132,18 +136,21 @@ def duplicate_rows(df: DataFrame, profile: Profile) -> DataFrame:
         F.lit(WARNING).alias("severity"),
         F.lit(None).cast("string").alias("column"),
         F.lit(repeated).cast("bigint").alias("affected_rows"),
-        F.lit(f"{repeated:,} rows are exact duplicates of an earlier row.").alias("description"),
+        F.lit(f"{repeated:,} rows repeat another one in every column.").alias("description"),
         "examples",
     )
 
 
-def category_variants(df: DataFrame, names: list[str]) -> DataFrame:
+def category_variants(df: DataFrame | counts.CountedTable, names: list[str]) -> DataFrame:
     """Groups of spellings that differ only by case or blanks, one row per group.
 
     ``(column, norm, canonical, variants, affected)``; the canonical spelling is the most
     frequent one, ties going to the smallest.
     """
-    values = counts.value_counts(df.select(*[col(n) for n in names])).filter("value IS NOT NULL")
+    if isinstance(df, counts.CountedTable):
+        values = counts.value_counts(counts.CountedTable(df.source, df.present(names)))
+    else:
+        values = counts.value_counts(df.select(*[col(n) for n in names])).filter("value IS NOT NULL")
     spelled = values.withColumn("norm", category_key(F.col("value")))
     entry = F.struct((-F.col("n")).alias("m"), F.col("value").alias("raw"))
     # Spellings of one category are few: the columns hold at most 1000 values each.
@@ -174,18 +181,18 @@ def inconsistent_categories(df: DataFrame, profile: Profile) -> DataFrame:
         F.transform("variants", lambda v: bounded(v)).alias("variants"),
     )
     example = F.struct("norm", F.to_json(cut).alias("text"))
-    found = category_variants(df, names).groupBy("column").agg(
+    found = category_variants(profile.counted, names).groupBy("column").agg(
         F.sum("affected").alias("affected_rows"),
         F.count("*").alias("groups"),
         F.slice(F.sort_array(F.collect_list(example)), 1, EXAMPLES).alias("first"),
     )
     text = F.concat(
-        F.format_number("affected_rows", 0),
-        F.lit(" rows in "),
-        F.col("column"),
-        F.lit(" use a spelling variant (case/whitespace) of another category; "),
         F.col("groups").cast("string"),
-        F.lit(" categories affected."),
+        F.lit(" categories of "),
+        F.col("column"),
+        F.lit(" are spelled in several ways (case, blanks); "),
+        F.format_number("affected_rows", 0),
+        F.lit(" rows have one of the rarer spellings."),
     )
     return found.select(
         F.lit("inconsistent_categories").alias("kind"),
@@ -197,99 +204,176 @@ def inconsistent_categories(df: DataFrame, profile: Profile) -> DataFrame:
     )
 
 
-def outlier_fences(df: DataFrame, profile: Profile) -> dict[str, tuple[float, float]]:
+def outlier_fences(profile: Profile) -> dict[str, tuple[float, float]]:
     """Per measure the exact lower and upper fence, three interquartile ranges out."""
     names = [
         c["column"] for c in profile.by_role(MEASURE) if c["rows"] - c["null_count"] >= OUTLIER_ROWS
     ]
-    if not names:
-        return {}
-    bounds = counts.measure_bounds(df, names)
-    ranks = {n: counts.nearest_ranks(bounds[n][0], (0.25, 0.75)) for n in names}
-    values = counts.order_statistics(df, {n: sorted(set(r)) for n, r in ranks.items()}, bounds)
     fences = {}
-    for n, (first, third) in ranks.items():
-        q1, q3 = values[n, first], values[n, third]
+    for n, (q1, q3) in (profile.quartiles(names) if names else {}).items():
         if q1 != q3:
             spread = IQR_FACTOR * (q3 - q1)
             fences[n] = (q1 - spread, q3 + spread)
     return fences
 
 
-def _flagged(df: DataFrame, tests: dict[str, Column], descending: bool) -> dict[str, tuple]:
-    """Per measure: how many cells pass its test and the five most extreme of them.
+# -- checks of counted values -----------------------------------------------------------------
+Totals = dict[str, dict[str, int]]
+
+
+@dataclass(frozen=True)
+class Shown:
+    """Examples wanted: counted values of ``columns`` passing ``test``, the first by number or by text."""
+
+    columns: list[str]
+    test: Column
+    number: Column | None = None
+    text: Column | None = None
 
-    Flagged cells are counted by value, so repeats cost nothing and the examples keep them.
+
+class CountedCheck:
+    """A check that follows from the counted values of its columns.
+
+    ``sums`` names the rows to be counted, ``{label: (columns, test)}``, from the profile alone; ``shown`` asks
+    for examples once these are known; ``rows`` writes the issues. Tests read a cell ``(l, d, s)`` and
+    its trimmed text ``t``.
     """
-    cells = [
-        x
-        for n, test in tests.items()
-        for x in (F.lit(n), F.when(test, F.struct(col(n).cast("double").alias("v"))))
-    ]
-    flagged = (
-        df.select(F.stack(F.lit(len(tests)), *cells).alias("column", "cell"))
-        .filter("cell IS NOT NULL")
-        .groupBy("column", F.col("cell.v").alias("v"))
-        .agg(F.count("*").alias("n"))
-    )
-    order = F.col("v").desc() if descending else F.col("v").asc()
-    ranked = flagged.withColumn(
-        "rn", F.row_number().over(Window.partitionBy("column").orderBy(order))
-    ).filter(F.col("rn") <= EXAMPLES)
-    totals = flagged.groupBy("column").agg(F.sum("n").alias("affected"))
-    best = ranked.groupBy(F.col("column").alias("c")).agg(
-        F.sort_array(F.collect_list(F.struct("rn", "v", "n"))).alias("top")
-    )
-    result = {}
-    for r in totals.join(best, F.col("column").eqNullSafe(F.col("c"))).collect():
-        shown = [v for e in r["top"] for v in [e["v"]] * min(e["n"], EXAMPLES)]
-        result[r["column"]] = (r["affected"], [_number(v) for v in shown[:EXAMPLES]])
-    return result
 
+    name = ""
 
-def _number(value: float) -> str | None:
-    return str(value) if abs(value) < float("inf") else None
+    def sums(self, profile: Profile) -> dict[str, tuple[list[str], Column]]:
+        raise NotImplementedError
 
+    def shown(self, profile: Profile, totals: Totals) -> Shown | None:
+        return None
 
-def outliers(df: DataFrame, profile: Profile) -> DataFrame:
-    fences = outlier_fences(df, profile)
-    if not fences:
-        return _issues(df, [])
-    tests = {}
-    for n, (low, high) in fences.items():
-        value = col(n).cast("double")
-        tests[n] = (value < F.lit(low)) | (value > F.lit(high))
-    found = _flagged(df, tests, descending=True)
-    rows = []
-    for n, (low, high) in fences.items():
-        if n in found:
-            affected, shown = found[n]
-            text = (
-                f"{affected:,} values in {n} fall outside [{low:,.2f}, {high:,.2f}] "
-                "(Q1/Q3 +- 3 x IQR). Review them; they were not removed."
-            )
-            rows.append(("outliers", INFO, n, affected, text, shown))
-    return _issues(df, rows)
+    def rows(self, profile: Profile, totals: Totals, examples: dict[str, list]) -> list[tuple]:
+        raise NotImplementedError
 
+    def __call__(self, df: DataFrame, profile: Profile) -> DataFrame:
+        return _issues(df, run_counted([self], profile)[self.name])
 
-def negative_values(df: DataFrame, profile: Profile) -> DataFrame:
-    # The profile already knows each minimum: only measures that go below zero are scanned.
-    names = [
-        c["column"] for c in profile.by_role(MEASURE) if c["min"] and c["min"].startswith("-")
-    ]
+
+def _by_column(table: counts.CountedTable, values: dict[str, float], missing: float) -> Column:
+    """A literal of each column, picked by the cell's ``idx``."""
+    out = F.lit(missing)
+    for name, value in values.items():
+        out = F.when(F.col("idx") == table.index(name), F.lit(value)).otherwise(out)
+    return out
+
+
+def _tallied(table: counts.CountedTable, wanted: dict[str, tuple[list[str], Column]]) -> Totals:
+    """Rows passing each test, by label and column: one aggregate over the counted values."""
+    names = list(dict.fromkeys(n for columns, _ in wanted.values() for n in columns))
     if not names:
-        return _issues(df, [])
-    found = _flagged(df, {n: col(n) < F.lit(0) for n in names}, descending=False)
-    rows = []
-    for n in names:
-        if n in found:
-            affected, shown = found[n]
-            text = (
-                f"{affected:,} negative values in {n}: returns/credits, or errors? "
-                "Confirm the business meaning."
-            )
-            rows.append(("negative_values", INFO, n, affected, text, shown))
-    return _issues(df, rows)
+        return {label: {} for label in wanted}
+    aggs = []
+    for i, (columns, test) in enumerate(wanted.values()):
+        own = F.col("idx").isin([table.index(n) for n in columns]) if columns else F.lit(False)
+        aggs.append(F.sum(F.when(own & test, F.col("n"))).alias(f"x{i}"))
+    cells = table.present(names).withColumn("t", trim_u(F.col("s")))
+    found = {r["idx"]: r for r in cells.groupBy("idx").agg(*aggs).collect()}
+    result: Totals = {}
+    for i, (label, (columns, _)) in enumerate(wanted.items()):
+        rows = {n: found.get(table.index(n)) for n in columns}
+        result[label] = {n: (r[f"x{i}"] or 0) if r else 0 for n, r in rows.items()}
+    return result
+
+
+def _examples(table: counts.CountedTable, wanted: dict[str, Shown]) -> dict[str, dict[str, list]]:
+    """The first values asked for by each check and column, with their number of rows."""
+    result: dict[str, dict[str, list]] = {name: {} for name in wanted}
+    names = list(dict.fromkeys(n for s in wanted.values() for n in s.columns))
+    if not names:
+        return result
+    picks = []
+    for name, ask in wanted.items():
+        own = F.col("idx").isin([table.index(n) for n in ask.columns])
+        entry = F.struct(
+            F.lit(name).alias("check"),
+            (ask.number if ask.number is not None else F.lit(None).cast("double")).alias("number"),
+            (ask.text if ask.text is not None else F.lit(None).cast("string")).alias("text"),
+        )
+        picks.append(F.when(own & ask.test, entry))
+    cells = table.present(names).withColumn("t", trim_u(F.col("s")))
+    each = cells.select("idx", "n", F.explode(F.array_compact(F.array(*picks))).alias("e"))
+    values = each.groupBy("e.check", "idx", "e.number", "e.text").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("check", "idx").orderBy("number", "text"))
+    first = values.withColumn("rn", rank).filter(F.col("rn") <= EXAMPLES)
+    shown = first.select("check", "idx", "rn", "number", bounded(F.col("text")).alias("text"), "n")
+    for r in sorted(shown.collect(), key=lambda r: (r["check"], r["idx"], r["rn"])):
+        own = result[r["check"]].setdefault(table.source.columns[r["idx"]], [])
+        own.append((r["number"] if r["text"] is None else r["text"], r["n"]))
+    return result
+
+
+def run_counted(checks: list[CountedCheck], profile: Profile) -> dict[str, list[tuple]]:
+    """Issues of all ``checks`` by name: their sums are one aggregate, their examples another."""
+    wanted = {c.name: c.sums(profile) for c in checks}
+    flat = {f"{name}/{label}": ask for name, sums in wanted.items() for label, ask in sums.items()}
+    tallied = _tallied(profile.counted, flat) if flat else {}
+    totals = {n: {label: tallied[f"{n}/{label}"] for label in sums} for n, sums in wanted.items()}
+    asked = {c.name: c.shown(profile, totals[c.name]) for c in checks if wanted[c.name]}
+    found = _examples(profile.counted, {n: ask for n, ask in asked.items() if ask is not None and ask.columns})
+    return {c.name: c.rows(profile, totals[c.name], found.get(c.name, {})) for c in checks}
+
+
+def _repeated(found: list[tuple[float, int]], sign: int = 1) -> list[str | None]:
+    """Example numbers, each as often as it occurs."""
+    shown = [sign * v for v, n in found for _ in range(min(n, EXAMPLES))]
+    return [str(v) if abs(v) < float("inf") else None for v in shown[:EXAMPLES]]
+
+
+class Outliers(CountedCheck):
+    name = "outliers"
+
+    def _outside(self, profile: Profile) -> tuple[dict, Column]:
+        fences = outlier_fences(profile)
+        low = _by_column(profile.counted, {n: f[0] for n, f in fences.items()}, float("-inf"))
+        high = _by_column(profile.counted, {n: f[1] for n, f in fences.items()}, float("inf"))
+        value = counts.cell_number()
+        return fences, (value < low) | (value > high)
+
+    def sums(self, profile: Profile) -> dict[str, tuple[list[str], Column]]:
+        fences, outside = self._outside(profile)
+        return {"outside": (list(fences), outside)} if fences else {}
+
+    def shown(self, profile: Profile, totals: Totals) -> Shown:
+        hit = [n for n, count in totals["outside"].items() if count]
+        return Shown(hit, self._outside(profile)[1], number=-counts.cell_number())
+
+    def rows(self, profile: Profile, totals: Totals, examples: dict[str, list]) -> list[tuple]:
+        result = []
+        for n, (low, high) in outlier_fences(profile).items():
+            affected = totals["outside"][n]
+            if affected:
+                text = (
+                    f"{affected:,} rows have a {n} beyond {low:,.2f} to {high:,.2f}, which is three "
+                    "interquartile ranges out. They are still in the data."
+                )
+                result.append((self.name, INFO, n, affected, text, _repeated(examples[n], -1)))
+        return result
+
+
+class NegativeValues(CountedCheck):
+    name = "negative_values"
+
+    def sums(self, profile: Profile) -> dict[str, tuple[list[str], Column]]:
+        # The profile already knows each minimum.
+        names = [c["column"] for c in profile.by_role(MEASURE) if c["min"] and c["min"].startswith("-")]
+        return {"below": (names, counts.cell_number() < 0)} if names else {}
+
+    def shown(self, profile: Profile, totals: Totals) -> Shown:
+        hit = [n for n, count in totals["below"].items() if count]
+        return Shown(hit, counts.cell_number() < 0, number=counts.cell_number())
+
+    def rows(self, profile: Profile, totals: Totals, examples: dict[str, list]) -> list[tuple]:
+        result = []
+        for n, affected in totals.get("below", {}).items():
+            if affected:
+                text = f"{affected:,} rows have a {n} below zero. Find out whether they are returns or mistakes."
+                result.append((self.name, INFO, n, affected, text, _repeated(examples[n])))
+        return result
 
 
 def _as_number(text: Column) -> Column:
@@ -303,86 +387,57 @@ def _as_date(text: Column, fmt: str) -> Column:
     )
 
 
-# Columns with up to this many values are parsed once per value instead of once per row.
-COUNTED_VALUES = 1_000_000
-
-
-def _text_cells(df: DataFrame, names: list[str], counted: set[str]) -> DataFrame:
-    """``(idx, t, n)``: trimmed texts of the named columns with how often they occur.
-
-    Columns in ``counted`` are counted by value first, which the map side reduces to little.
-    The others stay rows, so a nearly unique text column is not shuffled.
-    """
-    parts = []
-    few = [n for n in names if n in counted]
-    if few:
-        index = F.element_at(F.array(*[F.lit(names.index(n)) for n in few]), F.col("idx") + 1)
-        values = counts.slot_counts(df.select(*[col(n) for n in few])).filter("m > 0")
-        parts.append(values.select(index.alias("idx"), trim_u(F.col("s")).alias("t"), "n"))
-    for batch in C.batches([n for n in names if n not in counted], 25):
-        cells = [x for n in batch for x in (F.lit(names.index(n)), col(n))]
-        rows = df.select(F.stack(F.lit(len(batch)), *cells).alias("idx", "s"))
-        one = F.lit(1).cast("bigint").alias("n")
-        parts.append(rows.select("idx", trim_u(F.col("s")).alias("t"), one))
-    return reduce(DataFrame.unionByName, parts).filter("t <> ''")
-
-
-def text_types(cells: DataFrame, names: list[str]) -> dict[str, tuple[str, str, int, int]]:
-    """Columns that are at least 95% numbers, or dates of one format.
-
-    Maps a column to ``(target, format, parsed, filled)``.
-    """
-    t, n = F.col("t"), F.col("n")
-    digit = t.rlike(r"^\d")
-    tests = {"numbers": _as_number(t)} | {f: digit & _as_date(t, f) for f in DATE_FORMATS}
-    sums = [F.sum(F.when(test, n).otherwise(0)).alias(f"t{i}") for i, test in enumerate(tests.values())]
-    result = {}
-    for row in cells.groupBy("idx").agg(F.sum("n").alias("filled"), *sums).collect():
-        _, filled, numbers, *dates = row
-        best = max(range(len(dates)), key=lambda k: (dates[k], -k))
-        if numbers / filled >= PARSED_SHARE:
-            result[names[row["idx"]]] = ("numbers", "", numbers, filled)
-        elif dates[best] / filled >= PARSED_SHARE:
-            result[names[row["idx"]]] = ("dates", list(DATE_FORMATS)[best], dates[best], filled)
-    return {name: result[name] for name in names if name in result}
-
-
-def type_mismatch(df: DataFrame, profile: Profile) -> DataFrame:
-    texts = [
-        c for c in profile.columns if c["logical_type"] == C.STRING and c["role"] not in KEYS
-    ]
-    names = [c["column"] for c in texts]
-    if not names:
-        return _issues(df, [])
-    counted = {c["column"] for c in texts if c["distinct_count"] <= COUNTED_VALUES}
-    cells = _text_cells(df, names, counted)
-    typed = text_types(cells, names)
-    bad_examples = _unparsed_examples(cells, names, {n: t for n, t in typed.items() if t[2] < t[3]})
-    rows = []
-    for n, (target, _, parsed, filled) in typed.items():
-        bad = filled - parsed
-        text = (
-            f"{n} holds {target} stored as text ({share_text(parsed, filled)} parse); "
-            f"{bad:,} values do not parse and are probably invalid."
-        )
-        rows.append(("type_mismatch", WARNING, n, bad, text, bad_examples.get(n, [])))
-    return _issues(df, rows)
-
+class TypeMismatch(CountedCheck):
+    """Text columns that are at least 95% numbers, or dates of one format; each value is parsed once."""
+
+    name = "type_mismatch"
+
+    def sums(self, profile: Profile) -> dict[str, tuple[list[str], Column]]:
+        names = [
+            c["column"]
+            for c in profile.columns
+            if c["logical_type"] == C.STRING and c["role"] not in KEYS and c["distinct_count"]
+        ]
+        if not names:
+            return {}
+        t = F.col("t")
+        filled, digit = t != "", t.rlike(r"^\d")
+        dates = {f: (names, filled & digit & _as_date(t, f)) for f in DATE_FORMATS}
+        return {"filled": (names, filled), "numbers": (names, filled & _as_number(t)), **dates}
+
+    def types(self, totals: Totals) -> dict[str, tuple[str, str, int, int]]:
+        """``(target, format, parsed, filled)`` per column that is no text."""
+        result = {}
+        for n, filled in totals.get("filled", {}).items():
+            best = max(DATE_FORMATS, key=lambda f: totals[f][n])
+            if filled and totals["numbers"][n] / filled >= PARSED_SHARE:
+                result[n] = ("numbers", "", totals["numbers"][n], filled)
+            elif filled and totals[best][n] / filled >= PARSED_SHARE:
+                result[n] = ("dates", best, totals[best][n], filled)
+        return result
+
+    def shown(self, profile: Profile, totals: Totals) -> Shown:
+        t, bad, hit = F.col("t"), F.lit(False), []
+        for n, (target, fmt, parsed, filled) in self.types(totals).items():
+            if parsed < filled:
+                ok = _as_number(t) if target == "numbers" else _as_date(t, fmt)
+                bad = bad | ((F.col("idx") == profile.counted.index(n)) & ~ok)
+                hit.append(n)
+        return Shown(hit, (t != "") & bad, text=t)
+
+    def rows(self, profile: Profile, totals: Totals, examples: dict[str, list]) -> list[tuple]:
+        result = []
+        for n, (target, _, parsed, filled) in self.types(totals).items():
+            bad = filled - parsed
+            text = (
+                f"{share_text(parsed, filled)} of the texts in {n} are {target}; the other {bad:,} "
+                "cannot be read as such."
+            )
+            result.append((self.name, WARNING, n, bad, text, [v for v, _ in examples.get(n, [])]))
+        return result
 
-def _unparsed_examples(cells: DataFrame, names: list[str], typed: dict) -> dict[str, list[str]]:
-    if not typed:
-        return {}
-    t, bad = F.col("t"), F.lit(False)
-    for name, (target, fmt, _, _) in typed.items():
-        ok = _as_number(t) if target == "numbers" else _as_date(t, fmt)
-        bad = bad | ((F.col("idx") == names.index(name)) & ~ok)
-    rank = F.row_number().over(Window.partitionBy("idx").orderBy("t"))
-    top = cells.filter(bad).select("idx", "t").distinct().withColumn("rn", rank)
-    found: dict[str, list[str]] = {}
-    for r in top.filter(F.col("rn") <= EXAMPLES).orderBy("idx", "rn").select("idx", bounded(t)).collect():
-        found.setdefault(names[r[0]], []).append(r[1])
-    return found
 
+outliers, negative_values, type_mismatch = Outliers(), NegativeValues(), TypeMismatch()
 
 Check = Callable[[DataFrame, Profile], DataFrame]
 CHECKS: dict[str, Check] = {
@@ -402,15 +457,20 @@ def check_quality(
 ) -> DataFrame:
     """All issues with their ``position``: by severity, then rows affected, then check order.
 
-    Issues are bounded by columns times checks, so they are gathered as they are found.
+    Checks of counted values are run as one. Issues are bounded by columns times checks.
     """
+    wanted = checks or CHECKS
+    counted = run_counted([c for c in wanted.values() if isinstance(c, CountedCheck)], profile)
+    order = {c["column"]: c["ordinal"] for c in profile.columns}
     rows = []
-    for check in (checks or CHECKS).values():
-        found = check(df, profile).select(*ISSUE_SCHEMA.fieldNames()).collect()
-        order = {c["column"]: c["ordinal"] for c in profile.columns}
-        rows += sorted(found, key=lambda r: order.get(r["column"], -1))
+    for check in wanted.values():
+        if isinstance(check, CountedCheck):
+            found = counted[check.name]
+        else:
+            found = check(df, profile).select(*ISSUE_SCHEMA.fieldNames()).collect()
+        rows += sorted((tuple(r) for r in found), key=lambda r: order.get(r[2], -1))
     weight = {ERROR: 0, WARNING: 1, INFO: 2}
-    rows.sort(key=lambda r: (weight[r["severity"]], -r["affected_rows"]))
+    rows.sort(key=lambda r: (weight[r[1]], -r[3]))
     schema = T.StructType([T.StructField("position", T.IntegerType()), *ISSUE_SCHEMA.fields])
     return df.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rows, 1)], schema)
 

@@ -1,3 +1,5 @@
+"""Quality checks on small tables, and the number of passes that they take together."""
+
 from __future__ import annotations
 
 import json
@@ -8,106 +10,152 @@ from tablewise.operators import quality as Q
 from tablewise.operators.profile import profile_table
 
 
-def report(df):
-    p = profile_table(df, "t")
-    return Q.check_quality(df, p)
+def audited(df, checks=None):
+    """The issues of a table by (kind, column)."""
+    found = Q.check_quality(df, profile_table(df, "stock"), checks).orderBy("position").collect()
+    return {(r["kind"], r["column"]): r for r in found}
 
 
-def issues(df, kind):
-    return report(df).filter(f"kind = '{kind}'").orderBy("position").collect()
+def single(spark, values, name, kind="string"):
+    return spark.createDataFrame([(v,) for v in values], f"`{name}` {kind}")
 
 
-def one_column(spark, values, name, kind="string"):
-    return spark.createDataFrame([(v,) for v in values], f"`{name}` {kind}")
+@pytest.fixture(scope="module")
+def stock(spark):
+    """A warehouse with one defect of each kind; every number below follows from these rules."""
+    rows = []
+    for i in range(200):
+        place = ["Bern", "Genf", "Chur", "Sion"][i % 4]
+        rows.append(
+            (
+                None if i % 50 == 7 else f"A{i % 60}",
+                f"  {place.upper()}" if i % 40 == 8 else place,
+                "\t " if i % 25 == 3 else f"note {i}",
+                "kg",
+                -1.0 - i if i in (11, 31) else 5_000.0 if i == 90 else 10.0 + i % 9,
+                "unknown" if i == 5 else f"{i},250.5",
+                f"2024/03/{1 + i % 28:02d}",
+            )
+        )
+    rows += [rows[0], rows[0], rows[1]]
+    names = "ArticleID string, Place string, Remark string, Unit string, Weight double, Price string, Counted string"
+    return spark.createDataFrame(rows, names)
+
+
+@pytest.fixture(scope="module")
+def issues(stock):
+    return audited(stock)
+
+
+def test_an_empty_key_is_an_error(issues):
+    found = issues["missing_values", "ArticleID"]
+    assert (found["severity"], found["affected_rows"]) == ("error", 4)
+    assert found["description"] == "ArticleID is empty in 4 rows, 2.0% of all. As a key it leads these rows nowhere."
+
+
+def test_an_empty_attribute_is_a_warning(spark):
+    df = single(spark, ["x", None, "y", "x"], "Shelf")
+    assert audited(df)["missing_values", "Shelf"]["severity"] == "warning"
+
+
+def test_repeated_rows(issues):
+    found = issues["duplicate_rows", None]
+    assert found["affected_rows"] == 3
+    assert [json.loads(e)["ArticleID"] for e in found["examples"]] == ["A0", "A1"]
 
 
-def test_missing_key_is_an_error(spark):
-    rows = [("C1", "N"), (None, "S"), ("C2", None), ("C1", "N")]
-    df = spark.createDataFrame(rows, "CustomerID string, Region string")
-    found = {r["column"]: r for r in issues(df, "missing_values")}
-    assert (found["CustomerID"]["severity"], found["CustomerID"]["affected_rows"]) == ("error", 1)
-    assert found["Region"]["severity"] == "warning"
-    assert "1 rows (25.0%) have no Region." == found["Region"]["description"]
-    assert Q.quality_summary(report(df)).first()["passed"] is False
+def test_spellings_of_a_category(issues):
+    found = issues["inconsistent_categories", "Place"]
+    assert found["affected_rows"] == 5
+    assert [json.loads(e) for e in found["examples"]] == [{"canonical": "Bern", "variants": ["  BERN"]}]
 
 
-def test_duplicate_rows_with_examples(spark):
-    df = spark.createDataFrame([(1, "x")] * 3 + [(2, "y")], "a int, b string")
-    (issue,) = issues(df, "duplicate_rows")
-    assert issue["affected_rows"] == 2
-    assert [json.loads(e) for e in issue["examples"]] == [{"a": 1, "b": "x"}]
+def test_no_break_spaces_are_blanks(spark):
+    df = single(spark, ["Old Town"] * 3 + ["Old\u00a0Town", "old  town\u2003"], "Place")
+    assert audited(df)["inconsistent_categories", "Place"]["affected_rows"] == 2
 
 
-def test_inconsistent_categories(spark):
-    values = ["Bikes"] * 10 + ["bikes", " Bikes ", "BIKES", "Bi kes", "Bi kes"] + ["Clothing"] * 5
-    df = one_column(spark, values, "Category")
-    (issue,) = issues(df, "inconsistent_categories")
-    assert issue["affected_rows"] == 4
-    first, second = (json.loads(e) for e in issue["examples"])
-    assert first["canonical"] == "Bi kes"  # the no-break space is blank too
-    assert second == {"canonical": "Bikes", "variants": [" Bikes ", "BIKES", "bikes"]}
-    assert issue["description"].endswith("; 2 categories affected.")
+def test_blank_texts_and_constants(issues):
+    assert issues["blank_strings", "Remark"]["affected_rows"] == 8
+    assert issues["constant_column", "Unit"]["description"] == "Unit is 'kg' wherever it is filled."
 
 
-def test_outliers(spark):
-    df = one_column(spark, [10.0 + i % 5 for i in range(40)] + [10_000.0], "Amount", "double")
-    (issue,) = issues(df, "outliers")
-    assert (issue["severity"], issue["affected_rows"]) == ("info", 1)
-    assert issue["examples"] == ["10000.0"]
-    few = one_column(spark, [1.0, 2.0, 3.0, 1e9], "Amount", "double")
-    assert issues(few, "outliers") == []
-    flat = one_column(spark, [1.0] * 40 + [9.0], "Amount", "double")
-    assert issues(flat, "outliers") == []
+def test_values_far_out(issues):
+    found = issues["outliers", "Weight"]
+    # Quartiles 12 and 16 put the fences at 0 and 28.
+    assert (found["affected_rows"], found["examples"]) == (3, ["5000.0", "-12.0", "-32.0"])
+    assert "beyond 0.00 to 28.00" in found["description"]
 
 
-def test_negative_values_keep_repeats_in_examples(spark):
-    df = one_column(spark, [1, 2, -1, -1, -3], "Quantity", "int")
-    (issue,) = issues(df, "negative_values")
-    assert issue["affected_rows"] == 3
-    assert issue["examples"] == ["-3.0", "-1.0", "-1.0"]
+@pytest.mark.parametrize(
+    "values", [[3.0, 4.0, 5.0, 1e12], [8.0] * 50 + [9.0], [float("nan")] * 3 + [1.0] * 30], ids=["few", "flat", "nan"]
+)
+def test_no_fences_without_a_spread(spark, values):
+    assert ("outliers", "Weight") not in audited(single(spark, values, "Weight", "double"))
 
 
-@pytest.mark.parametrize("counted", [0, 1_000_000])
-def test_numbers_stored_as_text(spark, monkeypatch, counted):
-    monkeypatch.setattr(Q, "COUNTED_VALUES", counted)  # both ways of parsing agree
-    df = one_column(spark, [f"{i},000.50" for i in range(40)] + ["n/a", " "], "Amount")
-    (issue,) = issues(df, "type_mismatch")
-    assert "numbers" in issue["description"]
-    assert (issue["affected_rows"], issue["examples"]) == (1, ["n/a"])
+def test_values_below_zero(issues, spark):
+    assert issues["negative_values", "Weight"]["examples"] == ["-32.0", "-12.0"]
+    df = single(spark, [4, -2, -2, -7, 0, 3], "Stocked", "int")
+    assert audited(df)["negative_values", "Stocked"]["examples"] == ["-7.0", "-2.0", "-2.0"]
 
 
-@pytest.mark.parametrize("text", ["2025-01-{:02d}", "{:02d}/01/2025", "{:02d}.01.2025", "2025/01/{:02d}"])
-def test_dates_stored_as_text(spark, text):
-    df = one_column(spark, [text.format(d) for d in range(1, 29)], "Shipped")
-    (issue,) = issues(df, "type_mismatch")
-    assert "dates" in issue["description"] and issue["affected_rows"] == 0
+def test_numbers_and_dates_held_as_texts(issues):
+    price, counted = issues["type_mismatch", "Price"], issues["type_mismatch", "Counted"]
+    assert (price["affected_rows"], price["examples"]) == (1, ["unknown"])
+    assert "numbers" in price["description"] and "dates" in counted["description"]
+    assert (counted["affected_rows"], counted["examples"]) == (0, [])
 
 
-def test_literal_suffixes_are_not_numbers(spark):
-    df = one_column(spark, ["1.0d", "1f"] * 20, "Amount")
-    assert issues(df, "type_mismatch") == []
+@pytest.mark.parametrize("shape", ["2023-11-{:02d}", "{:02d}-11-2023", "{:02d}/11/2023", "{:02d}.11.2023", "202311{:02d}"])
+def test_every_date_format(spark, shape):
+    df = single(spark, [shape.format(d) for d in range(1, 31)], "Sent")
+    found = audited(df)["type_mismatch", "Sent"]
+    # Eight digits are a number as well, and numbers come first.
+    assert ("numbers" if shape.startswith("2023") and "-" not in shape else "dates") in found["description"]
 
 
-def test_blank_and_constant(spark):
-    df = spark.createDataFrame([("a", "Y"), ("  ", "Y"), ("b", "Y")], "Note string, Flag string")
-    (blank,) = issues(df, "blank_strings")
-    assert (blank["column"], blank["affected_rows"]) == ("Note", 1)
-    (constant,) = issues(df, "constant_column")
-    assert constant["description"] == "Flag has a single value ('Y'); it adds no detail."
+def test_suffixes_of_literals_are_no_numbers(spark):
+    assert ("type_mismatch", "Price") not in audited(single(spark, ["7.5f", "2L", "1e3d"] * 9, "Price"))
 
 
-def test_clean_data_passes(spark):
-    df = spark.createDataFrame([("N", 1.0), ("S", 2.0)], "Region string, Revenue double")
-    assert report(df).count() == 0
-    assert Q.quality_summary(report(df)).first()["passed"] is True
+def test_a_sound_table_passes(spark):
+    df = spark.createDataFrame([("Bern", 3.5), ("Chur", 4.5)], "Place string, Weight double")
+    found = Q.check_quality(df, profile_table(df))
+    assert found.count() == 0 and Q.quality_summary(found).first()["passed"] is True
 
 
-def test_order_and_own_checks(spark):
-    rows = [(None, " ", 1.0), ("a", " ", -1.0), ("a", "x", 1.0), ("b", "x", 1.0)]
-    df = spark.createDataFrame(rows, "CustomerID string, Note string, Amount double")
-    found = [(r["severity"], r["affected_rows"]) for r in report(df).orderBy("position").collect()]
+def test_order_of_issues(stock, issues):
     weight = {"error": 0, "warning": 1, "info": 2}
-    assert found == sorted(found, key=lambda r: (weight[r[0]], -r[1]))
-    p = profile_table(df)
-    only = Q.check_quality(df, p, {"blank": Q.blank_strings})
-    assert [r["kind"] for r in only.collect()] == ["blank_strings"]
+    listed = [(weight[r["severity"]], -r["affected_rows"]) for r in issues.values()]
+    assert listed == sorted(listed) and listed[0][0] == 0
+    assert Q.quality_summary(Q.check_quality(stock, profile_table(stock))).first()["passed"] is False
+
+
+def test_own_checks_run_beside_the_declared_ones(stock):
+    class Heavy(Q.CountedCheck):
+        name = "heavy"
+
+        def sums(self, profile):
+            return {"n": (["Weight"], Q.counts.cell_number() > 100)}
+
+        def rows(self, profile, totals, examples):
+            return [("heavy", Q.INFO, "Weight", totals["n"]["Weight"], "too heavy", [])]
+
+    own = lambda df, profile: Q._issues(df, [("rows", Q.INFO, None, df.count(), "all", [])])
+    found = audited(stock, {"heavy": Heavy(), "rows": own, "blank": Q.blank_strings})
+    assert {k: r["affected_rows"] for k, r in found.items()} == {
+        ("heavy", "Weight"): 1, ("rows", None): 203, ("blank_strings", "Remark"): 8,
+    }
+
+
+def test_all_checks_take_few_jobs_and_do_not_read_the_source(spark, stock):
+    profile = profile_table(stock, medians=False)
+    profile.duplicate_rows  # noqa: B018  (found once, kept by the profile)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("audit", "audit")
+    gone = stock.select(*[Q.F.raise_error(Q.F.lit("read again")).cast(f.dataType).alias(f.name) for f in stock.schema.fields])
+    assert Q.check_quality(gone, profile).count() == 9
+    jobs = len(tracker.getJobIdsForGroup("audit"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 30, jobs
