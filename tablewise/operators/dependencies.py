@@ -1,7 +1,9 @@
 """How strongly one column determines another, and the dimensions that follow from it.
 
-All counting runs over ``(key, attribute, value)``. A key that fills a third of the table
-is split by value and combined on the map side, so it never meets in one task as rows.
+All counting runs over ``(key, attribute, value)``, for all keys and attributes in one scan. Counts
+are combined in the map tasks before they move and merge level by level: by value, by spelling, by key,
+by attribute. Every level spreads by all that it is grouped by, so a key that fills a third of the
+table costs one record per task and value, and rows themselves are never shuffled.
 """
 
 from __future__ import annotations
@@ -16,14 +18,13 @@ from pyspark.sql.window import Window
 
 from tablewise.functions.columns import batches, col
 from tablewise.functions.text import value_key
-from tablewise.operators.counts import slot_counts
+from tablewise.operators.counts import CountedTable, slot_counts
 from tablewise.operators.profile import ATTRIBUTE, IDENTIFIER, KEYS, Profile
+from tablewise.sources.dataset import materialise
 
 MIN_AGREEMENT = 0.99
 NEAR_MISS = 0.9
 ROW_IDENTIFIER_SHARE = 0.9
-# A key with more rows than either is never gathered in one task.
-HOT_ROWS, HOT_SHARE = 1_000_000, 1e-5
 
 DEPENDENCY_SCHEMA = T.StructType(
     [
@@ -52,136 +53,111 @@ def attribute_candidates(profile: Profile) -> list[str]:
     return profile.names(ATTRIBUTE, IDENTIFIER)
 
 
-def _attribute_cells(df: DataFrame, key: str, attributes: list[str]) -> DataFrame:
-    """``(k, a, v)``: one row per keyed row and attribute, the value as text."""
-    keyed = df.filter(col(key).isNotNull())
-    parts = []
-    for batch in batches(list(enumerate(attributes))):
-        cells = [x for i, a in batch for x in (F.lit(i), col(a).cast("string"))]
-        stacked = F.stack(F.lit(len(batch)), *cells).alias("a", "v")
-        parts.append(keyed.select(col(key).alias("k"), stacked))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _value_counts(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("k", "a", "v").agg(F.count("*").alias("n"))
-
-
-def spelled_attributes(df: DataFrame, attributes: list[str]) -> set[str]:
+def spelled_attributes(df: DataFrame | CountedTable, attributes: list[str]) -> set[str]:
     """Text attributes in which one value occurs in several spellings (case, outer blanks)."""
-    texts = [a for a in attributes if isinstance(df.schema[a].dataType, T.StringType)]
+    source = df.source if isinstance(df, CountedTable) else df
+    texts = [a for a in attributes if isinstance(source.schema[a].dataType, T.StringType)]
     if not texts:
         return set()
-    values = slot_counts(df.select(*[col(a) for a in texts])).filter("m > 0")
+    if isinstance(df, CountedTable):
+        values = df.present(texts)
+        named = {df.index(t): t for t in texts}
+    else:
+        values = slot_counts(df.select(*[col(a) for a in texts])).filter("m > 0")
+        named = dict(enumerate(texts))
     spellings = values.groupBy("idx", value_key(F.col("s")).alias("v")).agg(
-        F.min("s").alias("lo"), F.max("s").alias("hi")
+        F.min(F.xxhash64("s")).alias("lo"), F.max(F.xxhash64("s")).alias("hi")
     )
     found = spellings.filter("lo <> hi").select("idx").distinct().collect()
-    return {texts[r["idx"]] for r in found}
+    return {named[r["idx"]] for r in found}
 
 
-def hot_keys(df: DataFrame, keys: list[str], rows: int) -> dict[str, DataFrame]:
-    """Keys too frequent to be handled in one task, as ``__k`` per key column that has any.
+def _plain(df: DataFrame, name: str) -> Column:
+    """A column whose equal values print alike: the two zeros of floating point are one value."""
+    return col(name) + F.lit(0.0) if df.schema[name].dataType.typeName() in ("float", "double") else col(name)
 
-    The threshold is a share of the rows, so there are at most ``1 / HOT_SHARE`` of them.
-    """
-    limit = max(HOT_ROWS, int(rows * HOT_SHARE))
-    if rows <= limit:
-        return {}
-    counted = slot_counts(df.select(*[col(k) for k in keys]))
-    found = counted.filter((F.col("m") > 0) & (F.col("n") > limit)).select("idx").distinct()
-    result = {}
-    for r in found.collect():
-        name = keys[r["idx"]]
-        values = df.groupBy(col(name).alias("__k")).agg(F.count("*").alias("__n"))
-        hot = (F.col("__n") > limit) & F.col("__k").isNotNull()
-        result[name] = values.filter(hot).select("__k")
-    return result
-
-
-def _strength(rows: DataFrame, key: str, attributes: list[str], spelled: set[str]) -> DataFrame:
-    """``(attribute, rows, modal, raw)``: rows, and rows with the modal value of their key."""
-    parts = []
-    for group in ([a for a in attributes if a not in spelled], [a for a in attributes if a in spelled]):
-        if not group:
-            continue
-        counted = _value_counts(_attribute_cells(rows, key, group).filter("v IS NOT NULL"))
-        if group[0] in spelled:
-            counted = counted.groupBy("k", "a", value_key(F.col("v")).alias("v")).agg(
-                F.sum("n").alias("n"), F.max("n").alias("raw")
-            )
-        else:
-            counted = counted.withColumn("raw", F.col("n"))
-        per_key = counted.groupBy("k", "a").agg(
-            F.sum("n").alias("rows"), F.max("n").alias("modal"), F.max("raw").alias("raw")
-        )
-        totals = per_key.groupBy("a").agg(
-            F.sum("rows").alias("rows"), F.sum("modal").alias("modal"), F.sum("raw").alias("raw")
-        )
-        name = F.element_at(F.array(*[F.lit(a) for a in group]), F.col("a") + 1)
-        parts.append(totals.select(name.alias("attribute"), "rows", "modal", "raw"))
-    return reduce(DataFrame.unionByName, parts)
 
+def _key_cells(df: DataFrame, keys: list[str]) -> tuple[T.DataType, list[Column]]:
+    """Key columns in one type: whole numbers where all of them are, else text."""
+    whole = all(isinstance(df.schema[k].dataType, T.IntegralType) for k in keys)
+    kind = T.LongType() if whole else T.StringType()
+    return kind, [_plain(df, k).cast(kind) for k in keys]
 
-def key_dependencies(
-    df: DataFrame,
-    key: str,
-    attributes: list[str],
-    spelled: set[str] | None = None,
-    hot: DataFrame | None = None,
-) -> DataFrame:
-    """Strength of ``key -> attribute`` for all attributes in one pass.
 
-    Agreement is the share of rows holding the most frequent value of their key, spelling
-    ignored. Conflicts are counted on raw values: the rows a dimension would change.
-    Where every value has one spelling (not in ``spelled``) both follow from one count.
+def _hashed(value: Column) -> Column:
+    return F.when(value.isNotNull(), F.xxhash64(value))
+
+
+def dependency_counts(
+    df: DataFrame, keys: list[str], attributes: list[str], spelled: set[str]
+) -> DataFrame:
+    """``(i, j, rows, modal, raw)`` per key ``i`` and attribute ``j``.
 
-    Rows are brought together by key once, narrow and not yet unpivoted; all the counting
-    behind that stays inside the partition. Rows of ``hot`` keys stay where they are and are
-    counted by value with map-side combining instead.
+    ``rows`` have both values, ``modal`` hold the most frequent value of their key, spelling ignored, and
+    ``raw`` hold its most frequent spelling. Values are only compared, so 8-byte hashes stand for
+    them; two values of one key would have to share a hash to be taken for one.
     """
-    if spelled is None:
-        spelled = spelled_attributes(df, attributes)
-    keyed = df.select(*[col(c) for c in dict.fromkeys([key, *attributes])])
-    keyed = keyed.filter(col(key).isNotNull())
+    kind, key_cells = _key_cells(df, keys)
+    hashes = []
+    for j, a in enumerate(attributes):
+        value = _plain(df, a).cast("string")
+        hashes.append(_hashed(value_key(value) if a in spelled else value).alias(f"v{j}"))
+        if a in spelled:
+            hashes.append(_hashed(value).alias(f"w{j}"))
+    rows = df.select(*[k.alias(f"k{i}") for i, k in enumerate(key_cells)], *hashes)
+    by_key = rows.select(
+        *[f"v{j}" for j in range(len(attributes))],
+        *[f"w{j}" for j, a in enumerate(attributes) if a in spelled],
+        F.stack(F.lit(len(keys)), *[x for i in range(len(keys)) for x in (F.lit(i), F.col(f"k{i}"))]).alias("i", "k"),
+    ).filter("k IS NOT NULL")
     parts = []
-    if hot is not None:
-        # At most 1 / HOT_SHARE keys, so they can be broadcast.
-        few = F.broadcast(hot)
-        match = col(key) == F.col("__k")
-        parts.append(_strength(keyed.join(few, match, "left_semi"), key, attributes, spelled))
-        keyed = keyed.join(few, match, "left_anti")
-    parts.append(_strength(keyed.repartition(col(key)), key, attributes, spelled))
-    totals = reduce(DataFrame.unionByName, parts).groupBy("attribute").agg(
-        F.sum("rows").alias("rows"), F.sum("modal").alias("modal"), F.sum("raw").alias("raw")
-    )
-    return totals.select(
-        F.lit(key).alias("key"),
-        "attribute",
-        F.try_divide("modal", "rows").alias("agreement"),
-        (F.col("rows") - F.col("raw")).alias("conflicting_rows"),
+    for batch in batches(list(enumerate(attributes))):
+        cells = []
+        for j, a in batch:
+            spelling = F.col(f"w{j}") if a in spelled else F.lit(0).cast("bigint")
+            cells += [F.lit(j), F.col(f"v{j}"), spelling]
+        parts.append(by_key.select("i", "k", F.stack(F.lit(len(batch)), *cells).alias("j", "v", "w")))
+    own = [(keys.index(a), j) for j, a in enumerate(attributes) if a in keys]
+    cells = reduce(DataFrame.unionByName, parts).filter("v IS NOT NULL")
+    for i, j in own:
+        cells = cells.filter(~((F.col("i") == i) & (F.col("j") == j)))
+    counted = cells.groupBy("i", "k", "j", "v", "w").agg(F.count("*").alias("n"))
+    if spelled:
+        counted = counted.groupBy("i", "k", "j", "v").agg(F.sum("n").alias("n"), F.max("n").alias("raw"))
+    else:
+        counted = counted.withColumn("raw", F.col("n"))
+    per_key = counted.groupBy("i", "k", "j").agg(
+        F.sum("n").alias("rows"), F.max("n").alias("modal"), F.max("raw").alias("raw")
     )
+    return per_key.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("rows", "modal", "raw")])
+
 
+def dependencies(
+    df: DataFrame, keys: list[str], attributes: list[str], counted: CountedTable | None = None
+) -> DataFrame:
+    """``(key, attribute, agreement, conflicting_rows)`` for every pair; 0 and 0 when empty.
 
-def dependencies(df: DataFrame, keys: list[str], attributes: list[str]) -> DataFrame:
-    """``(key, attribute, agreement, conflicting_rows)`` for every pair; 0 and 0 when empty."""
+    Agreement is the share of rows holding the most frequent value of their key, spelling ignored.
+    Conflicts are counted on raw values: the rows a dimension would change. One scan serves all pairs;
+    ``counted`` tells without another which attributes are spelled in several ways.
+    """
     spark = df.sparkSession
     pairs = [(k, a, 0.0, 0) for k in keys for a in attributes if k != a]
     everything = spark.createDataFrame(pairs, DEPENDENCY_SCHEMA)
     if not pairs:
         return everything
-    spelled, hot = spelled_attributes(df, attributes), hot_keys(df, keys, df.count())
-    found = reduce(
-        DataFrame.unionByName,
-        [
-            key_dependencies(df, k, [a for a in attributes if a != k], spelled, hot.get(k))
-            for k in keys
-        ],
+    spelled = spelled_attributes(counted or df, attributes)
+    found = dependency_counts(df, keys, attributes, spelled)
+    named = found.select(
+        F.element_at(F.array(*[F.lit(k) for k in keys]), F.col("i") + 1).alias("key"),
+        F.element_at(F.array(*[F.lit(a) for a in attributes]), F.col("j") + 1).alias("attribute"),
+        F.try_divide("modal", "rows").alias("agreement"),
+        (F.col("rows") - F.col("raw")).alias("conflicting_rows"),
     )
     names = ["key", "attribute"]
     return (
         everything.select(*names)
-        .join(found, names, "left")
+        .join(named, names, "left")
         .select(
             *names,
             F.coalesce("agreement", F.lit(0.0)).alias("agreement"),
@@ -229,21 +205,48 @@ def plan_dimensions(found: list, profile: Profile) -> list[DimensionPlan]:
 
 
 # -- dimension tables -------------------------------------------------------------------------
+def dimension_cells(df: DataFrame, plans: list[DimensionPlan]) -> DataFrame:
+    """``(i, k, j, v, n)``: counted values of the attributes of each plan ``i`` per key; one scan.
+
+    Missing values are counted as well, so a key without any value keeps its row.
+    """
+    kind, key_cells = _key_cells(df, [p.key for p in plans])
+    parts = []
+    pairs = [(i, j, a) for i, p in enumerate(plans) for j, a in enumerate(p.attributes)]
+    for batch in batches(pairs):
+        cells = [x for i, j, a in batch for x in (F.lit(i), key_cells[i], F.lit(j), _plain(df, a).cast("string"))]
+        parts.append(df.select(F.stack(F.lit(len(batch)), *cells).alias("i", "k", "j", "v")))
+    cells = reduce(DataFrame.unionByName, parts).filter("k IS NOT NULL")
+    return cells.groupBy("i", "k", "j", "v").agg(F.count("*").alias("n"))
+
+
+def _dimension(cells: DataFrame, schema: T.StructType, i: int, plan: DimensionPlan) -> DataFrame:
+    best = []
+    for j, a in enumerate(plan.attributes):
+        typed = F.col("v").try_cast(schema[a].dataType)
+        filled = (F.col("j") == j) & F.col("v").isNotNull()
+        rank = F.when(filled, F.struct((-F.col("n")).alias("m"), typed.alias("v")))
+        best.append(F.min(rank)["v"].alias(a))
+    key = F.col("k").cast(schema[plan.key].dataType).alias(plan.key)
+    return cells.filter(F.col("i") == i).groupBy(key).agg(*best)
+
+
 def build_dimension(df: DataFrame, key: str, attributes: list[str]) -> DataFrame:
     """One row per key; each attribute takes its most frequent value, ties the smallest.
 
     ``mode`` would hold every distinct value of a key in one buffer. Counting by value first
     leaves one small comparable struct per key and attribute to reduce.
     """
-    counted = _value_counts(_attribute_cells(df, key, attributes))
-    best = []
-    for i, a in enumerate(attributes):
-        typed = F.col("v").try_cast(df.schema[a].dataType)
-        filled = (F.col("a") == i) & F.col("v").isNotNull()
-        rank = F.when(filled, F.struct((-F.col("n")).alias("m"), typed.alias("v")))
-        best.append(F.min(rank)["v"].alias(a))
-    # Missing values are counted as well, so a key without any value keeps its row.
-    return counted.groupBy(F.col("k").alias(key)).agg(*best)
+    plan = DimensionPlan(key, attributes)
+    return _dimension(dimension_cells(df, [plan]), df.schema, 0, plan)
+
+
+def build_dimensions(df: DataFrame, plans: list[DimensionPlan]) -> list[DataFrame]:
+    """The dimension of each plan; their counts come from one scan and are stored."""
+    if not plans:
+        return []
+    cells = materialise(dimension_cells(df, plans).sortWithinPartitions("i"))
+    return [_dimension(cells, df.schema, i, plan) for i, plan in enumerate(plans)]
 
 
 def conflicting_rows(df: DataFrame, dimension: DataFrame, key: str, attribute: str) -> DataFrame:
@@ -265,51 +268,49 @@ def determines(df: DataFrame, child: str, parent: str) -> bool:
     return (child, parent) in strict_pairs(df, [(child, parent)])
 
 
-def _plain(df: DataFrame, name: str) -> Column:
-    """A column whose equal values print alike: the two zeros of floating point are one value."""
-    return col(name) + F.lit(0.0) if df.schema[name].dataType.typeName() in ("float", "double") else col(name)
-
+def refinements(df: DataFrame, names: list[str]) -> tuple[dict[str, int], set[tuple[str, str]]]:
+    """Distinct values of each column, and the pairs ``(child, parent)`` of which one refines the other.
 
-def strict_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> set[tuple[str, str]]:
-    """The ``(child, parent)`` pairs in which each child value has one parent value.
-
-    A child value with two parents is one whose least and greatest parent differ, so pairs
-    need no distinct pair counting: one shuffle by (pair, child) with two values each.
+    The rows of one child value are a class. A child refines a parent if no class has two parent
+    values, that is if the least and the greatest are the same. Each row goes into one class per
+    column and takes all its values along, so rows moved grow with the columns, not with their pairs,
+    and classes are combined in the map tasks. Missing values are in no class and are no second value.
+    Values are compared by 8-byte hashes; classes are kept by value.
     """
-    if not pairs:
-        return set()
+    if not names:
+        return {}, set()
+    own = [_plain(df, n).cast("string") for n in names]
+    rows = df.select(*[c.alias(f"c{i}") for i, c in enumerate(own)], *[_hashed(c).alias(f"h{i}") for i, c in enumerate(own)])
+    held = [f"h{j}" for j in range(len(names))]
     parts = []
-    for batch in batches(list(enumerate(pairs))):
-        cells = []
-        for i, (child, parent) in batch:
-            both = col(child).isNotNull() & col(parent).isNotNull()
-            value = [F.when(both, _plain(df, x).cast("string")) for x in (child, parent)]
-            cells += [F.lit(i), *value]
-        parts.append(df.select(F.stack(F.lit(len(batch)), *cells).alias("i", "c", "p")))
-    cells = reduce(DataFrame.unionByName, parts).filter("c IS NOT NULL")
-    spread = cells.groupBy("i", "c").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
-    broken = {r["i"] for r in spread.filter("lo <> hi").select("i").distinct().collect()}
-    return {p for i, p in enumerate(pairs) if i not in broken}
+    for batch in batches(list(range(len(names)))):
+        cells = [x for i in batch for x in (F.lit(i), F.col(f"c{i}"))]
+        parts.append(rows.select(*held, F.stack(F.lit(len(batch)), *cells).alias("i", "c")))
+    classes = reduce(DataFrame.unionByName, parts).filter("c IS NOT NULL").groupBy("i", "c")
+    ends = [x for h in held for x in (F.min(h).alias(f"lo_{h}"), F.max(h).alias(f"hi_{h}"))]
+    split = [F.coalesce(F.bool_or(F.col(f"lo_{h}") != F.col(f"hi_{h}")), F.lit(False)).alias(h) for h in held]
+    found = classes.agg(*ends).groupBy("i").agg(F.count("*").alias("size"), *split).collect()
+    sizes = dict.fromkeys(names, 0) | {names[r["i"]]: r["size"] for r in found}
+    # A column without values splits nothing.
+    broken = {(names[r["i"]], p) for r in found for j, p in enumerate(names) if r[f"h{j}"]}
+    return sizes, {(c, p) for c in names for p in names if c != p} - broken
 
 
-def attribute_sizes(dimension: DataFrame, attributes: list[str]) -> dict[str, int]:
-    counted = slot_counts(dimension.select(*[col(a) for a in attributes]))
-    sizes = counted.filter("m > 0").groupBy("idx").count().collect()
-    found = {r["idx"]: r["count"] for r in sizes}
-    return {a: found.get(i, 0) for i, a in enumerate(attributes)}
+def strict_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> set[tuple[str, str]]:
+    """The ``(child, parent)`` pairs in which each child value has one parent value."""
+    names = list(dict.fromkeys(n for pair in pairs for n in pair))
+    return set(pairs) & refinements(df, names)[1]
 
 
 def detect_hierarchies(dimension: DataFrame, attributes: list[str]) -> list[list[str]]:
     """Chains of attributes, each level determined by the next; levels grow strictly."""
-    sizes = attribute_sizes(dimension, attributes)
+    sizes, strict = refinements(dimension, attributes)
     levels = sorted((a for a in attributes if sizes[a] >= 2), key=lambda a: (sizes[a], a))
-    pairs = [(c, p) for p in levels for c in levels if sizes[c] > sizes[p]]
-    strict = strict_pairs(dimension, pairs)
     chains = []
     while levels:
         chain, rest = [levels[0]], []
         for level in levels[1:]:
-            if (level, chain[-1]) in strict:
+            if sizes[level] > sizes[chain[-1]] and (level, chain[-1]) in strict:
                 chain.append(level)
             else:
                 rest.append(level)
