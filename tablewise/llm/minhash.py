@@ -16,7 +16,7 @@ bits differ than shingles do. The rest are confirmed on the full sets of both te
 
 A group of near copies shares its lists, and its pairs are as many as the square of its size. So a list names only the
 pairs that a forest over its components needs, the nearest first; what is confirmed joins components, and lists go on
-only if a pair of theirs failed, with more pairs each time and all of them in the end. Lists of more sets than one task
+only if a pair of theirs failed, then with all pairs between components. Lists of more sets than one task
 takes are joined to a few of their sets first, and then tile by tile, where only sets outside the list's
 commonest component ask. Equal sets are one set throughout.
 """
@@ -41,7 +41,7 @@ STEP, TILE, HUBS = 16, 1024, 4
 #: Counters of the sketch, kept in rows so that it is added up in parallel (4 MB, whatever the corpus).
 CELLS, SKETCH_ROWS = 1 << 20, 64
 #: Pairs named between two components of a list, by round; 0 names all.
-ROUNDS = (1, 4, 32, 0)
+ROUNDS = (1, 0)
 
 _SEEDS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * MIX_A)
 _ODD = mixed(_SEEDS ^ MIX_A) | np.uint64(1)
@@ -262,7 +262,7 @@ def candidate_pairs(
     return out
 
 
-def _named_pairs(members: DataFrame, failed: DataFrame, percent: int, per_pair: int) -> DataFrame:
+def _named_pairs(members: DataFrame, failed: DataFrame | None, percent: int, per_pair: int) -> DataFrame:
     """(g, h, a, b): pairs to be confirmed in lists (g, h) of members (id, n, tokens, bits, label, side).
 
     ``failed`` (g, h, a, b) are pairs of these lists that are no links.
@@ -304,9 +304,10 @@ def _named_pairs(members: DataFrame, failed: DataFrame, percent: int, per_pair:
 
     none = F.lit(None).cast("long")
     own = members.select("g", "h", none.alias("a"), none.alias("b"), "id", "n", "tokens", "bits", "label", "side")
-    empty = [F.lit(None).cast(own.schema[c].dataType).alias(c) for c in ("id", "n", "tokens", "bits", "label", "side")]
-    both = own.unionByName(failed.select("g", "h", "a", "b", *empty))
-    dealt = both.repartition("g", "h").sortWithinPartitions("g", "h", "a", "b", "id")
+    if failed is not None:
+        empty = [F.lit(None).cast(own.schema[c].dataType).alias(c) for c in ("id", "n", "tokens", "bits", "label", "side")]
+        own = own.unionByName(failed.select("g", "h", "a", "b", *empty))
+    dealt = own.repartition("g", "h").sortWithinPartitions("g", "h", "a", "b", "id")
     return dealt.mapInArrow(run, "g long, h long, a long, b long")
 
 
@@ -334,49 +335,64 @@ class _Linking:
     def __init__(self, docs: DataFrame, sets: DataFrame, folder: _Folder, size: int, percent: int):
         self.docs, self.sets, self.folder, self.size, self.percent = docs, sets, folder, size, percent
         spark = docs.sparkSession
-        self.tested = spark.createDataFrame([], "a long, b long, linked boolean")
-        self.label = spark.createDataFrame([], "v long, label long")
-        self.texts = spark.createDataFrame([], "id long, text string")
+        self.none = spark.createDataFrame([], "v long, label long")
+        # Each is None until there is something in it: joins with nothing are left out.
+        self.tested: DataFrame | None = None
+        self.label: DataFrame | None = None
+        self.texts: DataFrame | None = None
 
     def _fetch(self, pairs: DataFrame) -> None:
         """Texts of the sets in ``pairs``, each once; texts of the corpus that no pair names stay where they are."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(self.texts.select("id"), "id", "left_anti")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        if self.texts is not None:
+            wanted = wanted.join(self.texts.select("id"), "id", "left_anti")
         wanted = self.folder.store(wanted.join(self.sets.select("id", F.col("doc_id").alias("d"), F.col("t").alias("u")), "id"), "wanted")
         if wanted.isEmpty():
             return
         own = self.docs.withColumn("t", F.xxhash64("text"))
         near = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("u")))
-        self.texts = self.texts.unionByName(self.folder.store(near.groupBy("id").agg(F.first("text").alias("text")), "texts"))
+        found = self.folder.store(near.groupBy("id").agg(F.first("text").alias("text")), "texts")
+        self.texts = found if self.texts is None else self.texts.unionByName(found)
 
     def confirm(self, pairs: DataFrame) -> int:
-        new = self.folder.store(pairs.join(self.tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        if self.tested is not None:
+            pairs = pairs.join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
+        new = self.folder.store(pairs, "pairs")
         n = new.count()
         if n:
             self._fetch(new)
             found = self.folder.store(_confirmed(new, self.texts, self.size, self.percent), "tested")
-            self.tested = self.tested.unionByName(found)
+            self.tested = found if self.tested is None else self.tested.unionByName(found)
             self._merge(found.where("linked").select("a", "b"))
         self.folder.drop(new)
         return n
 
     def _merge(self, links: DataFrame) -> None:
         old = self.label
+        if old is None:
+            self.label = self.folder.store(components(links), "labels")
+            return
         for end in ("a", "b"):
             links = links.join(old.select(F.col("v").alias(end), F.col("label").alias("to")), end, "left")
             links = links.withColumn(end, F.coalesce("to", end)).drop("to")
-        new = self.folder.store(components(links.select("a", "b")), "merged")
+        links = self.folder.store(links.where("a != b").select("a", "b").distinct(), "links")
+        if links.isEmpty():
+            return
+        new = self.folder.store(components(links), "merged")
         moved = old.join(new.select(F.col("v").alias("label"), F.col("label").alias("to")), "label", "left")
         moved = moved.select("v", F.coalesce("to", "label").alias("label"))
         self.label = self.folder.store(moved.union(new.join(old, "v", "left_anti").select("v", "label")), "labels")
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         """``rows`` (id ...) with the label of each set."""
+        if self.label is None:
+            return rows.withColumn("label", F.col("id"))
         names = self.label.select(F.col("v").alias("id"), F.col("label").alias("own"))
         return rows.join(names, "id", "left").withColumn("label", F.coalesce("own", "id")).drop("own")
 
     def settle(self, members: DataFrame) -> None:
         """Confirm pairs of lists (g, h, id, n, tokens, bits, side) until none between components is left."""
-        failed = self.tested.sparkSession.createDataFrame([], "g long, h long, a long, b long")
+        failed = None
         for per_pair in ROUNDS:
             named = self.folder.store(_named_pairs(self.labelled(members), failed, self.percent, per_pair), "named")
             if not self.confirm(named.select("a", "b").distinct()) and named.isEmpty():
@@ -386,7 +402,7 @@ class _Linking:
             late = self.folder.store(late, "failed")
             if late.isEmpty():
                 return
-            failed = failed.unionByName(late)
+            failed = late if failed is None else failed.unionByName(late)
             going = self.folder.store(members.join(late.select("g", "h").distinct(), ["g", "h"], "left_semi"), "lists")
             self.folder.drop(members, named)
             members = going
@@ -488,7 +504,7 @@ def near_copies(documents: DataFrame, size: int = SHINGLE, percent: int = PERCEN
         linking.settle(folder.store(_tiles(many, short, linking, tile).join(short, "id"), "tiles"))
     folder.drop(lists, short)
     named = linking.labelled(sets.select("id", "name", "least"))
-    shared = named.join(linking.label.select(F.col("v").alias("id")), "id", "left_semi")
+    shared = named.join((linking.none if linking.label is None else linking.label).select(F.col("v").alias("id")), "id", "left_semi")
     shared = shared.join(shared.groupBy("label").agg(F.min("least").alias("all")), "label").select("id", "all")
     named = named.join(shared, "id", "left").select(F.col("name").alias("of"), F.coalesce("all", "least").alias("all"))
     out = rows.join(named, F.col("name") == F.col("of"), "left")
