@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from tablewise.llm.alignment import alignment_report, alignments, byte_level, grouped, linked
+from tablewise.llm.alignment import ByteLevel, alignment_report, alignments, byte_level, grouped, linked
 from tablewise.llm.queries import QUERIES, vocabulary
 
 FIRST, SECOND = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
@@ -113,6 +113,19 @@ def test_links_of_crossing_tokens():
     assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(0, 0), (1, 0), (1, 1), (1, 2), (2, 2), (3, 3), (4, 3), (5, 3)]
 
 
+def test_ranks_and_merges_give_the_same_ids():
+    import random
+
+    pick = random.Random(8)
+    pool = [chr(c) for c in (*range(0x250), *range(0x2000, 0x2070), *range(0x4E00, 0x4E20), 0x85, 0x3000, 0x1F600, 0x10FFFD, 0xFEFF)]
+    texts = ["".join(pick.choices(pool, k=pick.randint(1, 60))) for _ in range(3000)] + ["x" * 50_000, *filter(None, HARD)]
+    model = ByteLevel(FIRST)
+    assert model.ranked is not None
+    fast = model.encode(texts)
+    model.ranked = None
+    assert model.encode(texts) == fast
+
+
 def test_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert alignment_report(docs, FIRST, SECOND).collect() == []
