@@ -329,6 +329,35 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long, linked boolean")
 
 
+def _stars(links: DataFrame) -> DataFrame:
+    """Links (a, b) with the same components, of which every task makes stars around their least ends.
+
+    Long chains of links would take a round of :func:`components` for each doubling of their length.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(v: int) -> int:
+            while parent[v] != v:
+                parent[v] = parent[parent[v]]
+                v = parent[v]
+            return v
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                parent.setdefault(a, a)
+                parent.setdefault(b, b)
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+        ends = [(v, root(v)) for v in parent]
+        ends = [p for p in ends if p[0] != p[1]]
+        columns = list(zip(*ends, strict=True)) or [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+    return links.mapInArrow(run, "a long, b long")
+
+
 class _Linking:
     """Confirmed pairs and the components that they make, as rounds go on."""
 
@@ -354,23 +383,31 @@ class _Linking:
         found = self.folder.store(near.groupBy("id").agg(F.first("text").alias("text")), "texts")
         self.texts = found if self.texts is None else self.texts.unionByName(found)
 
-    def confirm(self, pairs: DataFrame) -> int:
+    def confirm(self, named: DataFrame) -> DataFrame | None:
+        """(g, h, a, b, linked) of pairs (g, h, a, b) named in lists; None without any.
+
+        Pairs that were confirmed or refuted before are not looked at again. What is linked joins components.
+        """
+        pairs = named.select("a", "b").distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
         new = self.folder.store(pairs, "pairs")
-        n = new.count()
-        if n:
+        if not new.isEmpty():
             self._fetch(new)
             found = self.folder.store(_confirmed(new, self.texts, self.size, self.percent), "tested")
             self.tested = found if self.tested is None else self.tested.unionByName(found)
-            self._merge(found.where("linked").select("a", "b"))
         self.folder.drop(new)
-        return n
+        if self.tested is None:
+            return None
+        out = self.folder.store(named.join(self.tested, ["a", "b"]).select("g", "h", "a", "b", "linked"), "outcome")
+        # Lists side by side in a task, each of which names a forest, come out as stars.
+        self._merge(out.where("linked").select("g", "a", "b").repartition("g").select("a", "b"))
+        return out
 
     def _merge(self, links: DataFrame) -> None:
         old = self.label
         if old is None:
-            self.label = self.folder.store(components(links), "labels")
+            self.label = self.folder.store(components(_stars(links)), "labels")
             return
         for end in ("a", "b"):
             links = links.join(old.select(F.col("v").alias(end), F.col("label").alias("to")), end, "left")
@@ -378,7 +415,7 @@ class _Linking:
         links = self.folder.store(links.where("a != b").select("a", "b").distinct(), "links")
         if links.isEmpty():
             return
-        new = self.folder.store(components(links), "merged")
+        new = self.folder.store(components(_stars(links)), "merged")
         moved = old.join(new.select(F.col("v").alias("label"), F.col("label").alias("to")), "label", "left")
         moved = moved.select("v", F.coalesce("to", "label").alias("label"))
         self.label = self.folder.store(moved.union(new.join(old, "v", "left_anti").select("v", "label")), "labels")
@@ -395,17 +432,19 @@ class _Linking:
         failed = None
         for per_pair in ROUNDS:
             named = self.folder.store(_named_pairs(self.labelled(members), failed, self.percent, per_pair), "named")
-            if not self.confirm(named.select("a", "b").distinct()) and named.isEmpty():
+            found = self.confirm(named)
+            if found is None:
                 return
             # A list whose pairs were all linked is one component as far as its candidates go.
-            late = named.join(self.tested.where("NOT linked").select("a", "b"), ["a", "b"]).select("g", "h", "a", "b")
-            late = self.folder.store(late, "failed")
+            late = self.folder.store(found.where("NOT linked").select("g", "h", "a", "b"), "failed")
+            self.folder.drop(named, found)
             if late.isEmpty():
                 return
             failed = late if failed is None else failed.unionByName(late)
-            going = self.folder.store(members.join(late.select("g", "h").distinct(), ["g", "h"], "left_semi"), "lists")
-            self.folder.drop(members, named)
-            members = going
+            if per_pair:
+                going = self.folder.store(members.join(late.select("g", "h").distinct(), ["g", "h"], "left_semi"), "lists")
+                self.folder.drop(members)
+                members = going
 
 
 def _tiles(lists: DataFrame, sets: DataFrame, linking: _Linking, tile: int) -> DataFrame:
@@ -421,7 +460,9 @@ def _tiles(lists: DataFrame, sets: DataFrame, linking: _Linking, tile: int) -> D
         own = linking.labelled(own).withColumnsRenamed({"id": "b", "label": "lb"}).where("la != lb").select("a", "b")
         both = own.join(sets.select(F.col("id").alias("a"), "n", "tokens", "bits"), "a")
         both = both.join(sets.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("s"), F.col("bits").alias("c")), "b")
-        linking.confirm(both.mapInArrow(_near(linking.percent), "a long, b long"))
+        near = both.mapInArrow(_near(linking.percent), "a long, b long")
+        named = near.select(F.col("a").alias("g"), F.lit(0).cast("long").alias("h"), "a", "b")
+        linking.confirm(linking.folder.store(named, "stars"))
     own = linking.labelled(lists)
     most = own.groupBy("g", "label").agg(F.count(F.lit(1)).alias("c"))
     most = most.groupBy("g").agg(F.max(F.struct("c", "label")).alias("m")).select("g", F.col("m.label").alias("main"))
