@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from registry.tables import DATES, DIRTY, DIRTY_SQL, FLAT_SQL, INTEGERS, NUMBERS, TEXTS
+from registry.tables import DATES, DIRTY, DIRTY_SQL, FLAT, FLAT_SQL, INTEGERS, NUMBERS, TEXTS
 
 ORACLES: dict[str, str] = {}
 
@@ -275,9 +275,9 @@ _shown = (
     "WHEN format_hint = 'integer' OR v = floor(v) THEN format('{:,.0f}', v) "
     "WHEN abs(v) < 1 THEN format('{:,.4f}', v) ELSE format('{:,.2f}', v) END"
 )
-ORACLES["kpis"] = f"""{DIRTY_WITH}, s AS (SELECT sum(Quantity) AS q, sum(Revenue) AS r, sum(Cost) AS c,
+KPIS = """s AS (SELECT sum(Quantity) AS q, sum(Revenue) AS r, sum(Cost) AS c,
   avg(UnitPrice) AS u, avg(DiscountRate) AS dr, CAST(count(DISTINCT OrderID) AS DOUBLE) AS o FROM dirty),
-k AS (SELECT 1 AS position, 'Total Quantity' AS kpi, 'Sum of Quantity' AS definition, 'sum' AS aggregation,
+kp AS (SELECT 1 AS position, 'Total Quantity' AS kpi, 'Sum of Quantity' AS definition, 'sum' AS aggregation,
   'number' AS format_hint, q AS v FROM s
 UNION ALL SELECT 2, 'Total Revenue', 'Sum of Revenue', 'sum', 'number', r FROM s
 UNION ALL SELECT 3, 'Total Cost', 'Sum of Cost', 'sum', 'number', c FROM s
@@ -286,9 +286,10 @@ UNION ALL SELECT 5, 'Average DiscountRate', 'Average of DiscountRate (non-additi
 UNION ALL SELECT 6, 'Total Profit', 'Revenue minus Cost', 'difference', 'number', r - c FROM s
 UNION ALL SELECT 7, 'Profit Margin', 'Profit divided by revenue', 'ratio', 'percent', (r - c) / r FROM s
 UNION ALL SELECT 8, 'Orders', 'Distinct count of OrderID', 'distinct_count', 'integer', o FROM s
-UNION ALL SELECT 9, 'Average Order Value', 'Revenue divided by distinct OrderID', 'ratio', 'number', r / o FROM s)
+UNION ALL SELECT 9, 'Average Order Value', 'Revenue divided by distinct OrderID', 'ratio', 'number', r / o FROM s)"""
+ORACLES["kpis"] = f"""{DIRTY_WITH}, {KPIS}
 SELECT CAST(position AS BIGINT) AS position, kpi, definition, aggregation, format_hint,
-  round(v, 4) AS val, {_shown} AS shown FROM k"""
+  round(v, 4) AS val, {_shown} AS shown FROM kp"""
 ORACLES["measure_stats"] = f"{DIRTY_WITH} " + union(
     [
         f"SELECT '{c}' AS column_name, round(sum({c}), 2) AS total, round(avg({c}), 4) AS mean, "
@@ -348,8 +349,8 @@ _leaders = ", ".join(leader(c, f"l_{c}") for c in TEXTS)
 _insight_dims = union(
     [
         f"""SELECT '{c}' AS dim, (SELECT count(DISTINCT {c}) FROM dirty) AS distinct_count,
-  format('Top `{c}` is `{{}}` with {{:.1f}}% of `Revenue`', coalesce(nullif(trim(max(category) FILTER (rn = 1)), ''), '(blank)'), 100 * max(share) FILTER (rn = 1))
-  || CASE WHEN max(size) > 3 THEN format('; the top 3 of {{}} account for {{:.1f}}%', max(size), 100 * sum(share) FILTER (rn <= 3)) ELSE '' END
+  format('`{{}}` leads `{c}` with {{:.1f}}% of `Revenue`', coalesce(nullif(trim(max(category) FILTER (rn = 1)), ''), '(blank)'), 100 * max(share) FILTER (rn = 1))
+  || CASE WHEN max(size) > 3 THEN format('; the first three of {{}} hold {{:.1f}}%', max(size), 100 * sum(share) FILTER (rn <= 3)) ELSE '' END
   || '.' AS detail FROM l_{c}"""
         for c in TEXTS
     ]
@@ -367,16 +368,16 @@ c AS ({_counts}), {ROLES},
 best AS (SELECT dims.* FROM dims JOIN roles ON dim = column_name WHERE role = 'dimension_attribute'
   AND dims.distinct_count BETWEEN 2 AND 50 ORDER BY dims.distinct_count, dim LIMIT 4),
 pairs AS ({_pairs})
-SELECT 'Dataset overview' AS title, format('{{:,}} rows and {len(DIRTY)} columns. `OrderDate` spans {{}} to {{}}.',
+SELECT 'Size' AS title, format('The table has {{:,}} rows in {len(DIRTY)} columns, from {{}} to {{}} by `OrderDate`.',
   count(*), strftime(min(OrderDate), '%Y-%m-%d'), strftime(max(OrderDate), '%Y-%m-%d')) AS detail FROM dirty
-UNION ALL SELECT 'Revenue over time', (SELECT format('Monthly `Revenue` peaked in {{}} ({{}})', strftime(m, '%Y-%m'), {_fmt.format("v")}) FROM mon ORDER BY v DESC, m LIMIT 1)
-  || (SELECT format(' and was lowest in {{}} ({{}}).', strftime(m, '%Y-%m'), {_fmt.format("v")}) FROM mon ORDER BY v, m LIMIT 1)
-  || (SELECT format(' The last 3 months are {{:+.1f}}% vs the 3 months before.', 100 * (recent / prior - 1)) FROM rc)
+UNION ALL SELECT 'Revenue by month', (SELECT format('The best month for `Revenue` is {{}} with {{}}', strftime(m, '%Y-%m'), {_fmt.format("v")}) FROM mon ORDER BY v DESC, m LIMIT 1)
+  || (SELECT format(', the weakest {{}} with {{}}.', strftime(m, '%Y-%m'), {_fmt.format("v")}) FROM mon ORDER BY v, m LIMIT 1)
+  || (SELECT format(' The last three months changed by {{:+.1f}}% against the three before.', 100 * (recent / prior - 1)) FROM rc)
 UNION ALL SELECT 'Revenue by ' || dim, detail FROM best
-UNION ALL SELECT a || ' and ' || b || ' move together', format('Pearson correlation between `{{}}` and `{{}}` is {{:.2f}} (n={{:,}}). ', a, b, r, n)
-  || CASE WHEN abs(r) >= 0.98 THEN 'Near-perfect: one is probably derived from the other.' ELSE 'Correlation is not causation.' END
+UNION ALL SELECT a || ' goes with ' || b, format('`{{}}` and `{{}}` correlate with r = {{:.2f}} over {{:,}} rows. ', a, b, r, n)
+  || CASE WHEN abs(r) >= 0.98 THEN 'One may well be computed from the other.' ELSE 'Neither need be the cause.' END
   FROM (SELECT * FROM pairs WHERE abs(r) >= 0.7 ORDER BY pos LIMIT 3)
-UNION ALL SELECT 'Data quality', format('{{}} error(s), {{}} warning(s), {{}} informational finding(s). See quality_report.json.',
+UNION ALL SELECT 'Audit', format('The audit lists {{}} errors, {{}} warnings and {{}} remarks.',
   count(*) FILTER (severity = 'error'), count(*) FILTER (severity = 'warning'), count(*) FILTER (severity = 'info')) FROM issues"""
 
 # -- star schema ------------------------------------------------------------------------------
@@ -570,8 +571,23 @@ _cal = """SELECT '{0}' AS object, count(*) AS n_rows, count(DISTINCT Date) AS n_
 ORACLES["calendar_checks"] = f"{DIRTY_WITH}, {CALENDAR} " + union(
     [_cal.format("whole", ""), _cal.format("gap", "WHERE Date <> DATE '1996-02-29'")]
 )
-ORACLES["metric_crosscheck"] = union(
-    [f"""SELECT 'metrics_match_sql' AS "check", 'passed' AS status, 'metrics:{c}' AS object""" for c in NUMBERS]
+# The tolerance is relative 1e-9 or absolute 1e-6, against a sum of exact decimals.
+_exact = "CAST(sum(CAST({c} AS DECIMAL(38, 12))) AS DOUBLE)"
+
+
+def _crosscheck(c: str, stats: str, stored: str) -> str:
+    exact = _exact.format(c=c)
+    gap = f"greatest(1e-9 * greatest(abs({stored}), abs({exact})), 1e-6)"
+    return (
+        f"SELECT '{stats}' AS stats, 'metrics_match_sql' AS \"check\", CASE WHEN abs({stored} - {exact}) <= {gap} "
+        f"THEN 'passed' ELSE 'failed' END AS status, 'metrics:{c}' AS object FROM dirty"
+    )
+
+
+_edited = {"Revenue": "sum(Revenue) + 0.01", "Cost": "sum(Cost) * 1.0001"}
+ORACLES["metric_crosscheck"] = f"{DIRTY_WITH} " + union(
+    [_crosscheck(c, "stored", f"sum({c})") for c in NUMBERS]
+    + [_crosscheck(c, "edited", _edited.get(c, f"sum({c})")) for c in NUMBERS]
 )
 _dims = {"CustomerID": "DimCustomer", "OrderID": "DimOrder", "ProductID": "DimProduct", "SupplierID": "DimSupplier"}
 _links = [
@@ -612,23 +628,78 @@ ORACLES["findings_report"] = f"""{DIRTY_WITH}
 SELECT CAST({len(_checks)} - CASE WHEN b > 0 THEN 1 ELSE 0 END AS BIGINT) AS passed_checks, CAST(0 AS BIGINT) AS failed_errors,
   CAST(CASE WHEN b > 0 THEN 1 ELSE 0 END AS BIGINT) AS failed_warnings, CAST(0 AS BIGINT) AS not_run, TRUE AS passed
 FROM (SELECT count(*) AS b FROM dirty WHERE CustomerID IS NULL)"""
-ORACLES["stored_results"] = union(
+def _missing_in(source: str, columns: list[str]) -> str:
+    return "(SELECT " + " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in columns) + f" FROM {source})"
+
+
+def _stored_case(version: str, source: str, columns: list[str]) -> str:
+    rows = lambda t: f"(SELECT count(*) FROM {t})"
+    checks = {
+        "profile_column_count": f"{len(columns)} = {len(DIRTY)}",
+        "profile_missing_total": f"{_missing_in(source, columns)} = {_missing_in('dirty', DIRTY)}",
+        "null_counts_within_rows": f"{_missing_in('dirty', DIRTY)} <= {len(DIRTY)} * {rows('dirty')}",
+        "schema_matches_profile": "TRUE" if columns == DIRTY else "FALSE",
+        "quality_matches_profile": f"{rows('dirty')} = {rows(source)}",
+        "metrics_match_profile": f"{rows(source)} = {rows(source)}",
+    }
+    return union(
+        [
+            f"SELECT '{version}' AS version, '{c}' AS \"check\", CASE WHEN {ok} THEN 'passed' ELSE 'failed' END AS status"
+            for c, ok in checks.items()
+        ]
+    )
+
+
+ORACLES["stored_results"] = f"{DIRTY_WITH} {_stored_case('own', 'dirty', DIRTY)} UNION ALL {_stored_case('other', 'flat', FLAT)}"
+# Versions of a table as SQL; bags of rows are compared with EXCEPT ALL in both directions.
+_price = "CASE WHEN {w} THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice"
+_versions = {
+    "orders": "SELECT * FROM orders",
+    "half of orders": "SELECT * FROM orders WHERE o_orderkey % 2 = 0",
+    "edited orders": f"SELECT * REPLACE ({_price.format(w='o_orderkey % 1000 = 1')}) FROM orders",
+}
+
+
+def same_rows(version: str) -> str:
+    return (
+        f"(SELECT count(*) FROM (SELECT * FROM orders EXCEPT ALL {version})) + "
+        f"(SELECT count(*) FROM ({version} EXCEPT ALL SELECT * FROM orders)) = 0"
+    )
+
+
+ORACLES["source_recheck"] = union(
     [
-        f"""SELECT '{c}' AS "check", '{s}' AS status"""
-        for c, s in (
-            ("profile_column_count", "passed"),
-            ("profile_missing_total", "passed"),
-            ("null_counts_within_rows", "passed"),
-            ("schema_matches_profile", "passed"),
-            ("quality_matches_profile", "passed"),
-            ("metrics_match_profile", "failed"),
-        )
+        f"SELECT 'row_count_matches_source' AS \"check\", CASE WHEN (SELECT count(*) FROM ({v})) = (SELECT count(*) FROM orders) "
+        f"THEN 'passed' ELSE 'failed' END AS status, '{n}' AS object"
+        for n, v in _versions.items()
+    ]
+    + [
+        f"SELECT 'values_match_source', CASE WHEN {same_rows(v)} THEN 'passed' ELSE 'failed' END, '{n}'"
+        for n, v in _versions.items()
+    ]
+    + [f"SELECT '{c}', 'not_run', 'gone'" for c in ("row_count_matches_source", "values_match_source")]
+)
+ORACLES["table_fingerprint"] = union(
+    [
+        f"SELECT '{n}' AS version, {same_rows(v)} AS same_rows"
+        for n, v in {
+            "shuffled": "SELECT * FROM orders",
+            "one cell": f"SELECT * REPLACE ({_price.format(w='o_orderkey = 7')}) FROM orders",
+            "a row twice": "SELECT * FROM (SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey = 7)",
+            "half": "SELECT * FROM orders WHERE o_orderkey % 2 = 0",
+        }.items()
     ]
 )
-ORACLES["source_recheck"] = """SELECT 'row_count_matches_source' AS "check", 'passed' AS status, 'orders' AS object
-UNION ALL SELECT 'row_count_matches_source', CASE WHEN (SELECT count(*) FROM orders WHERE o_orderkey % 2 = 0) =
-  (SELECT count(*) FROM orders) THEN 'passed' ELSE 'failed' END, 'half of orders'
-UNION ALL SELECT 'row_count_matches_source', 'not_run', 'gone'"""
+ORACLES["star_leftovers"] = f"""{DIRTY_WITH}, {PLAN}, c AS ({_counts}), {ROLES}
+SELECT column_name, 'no key' AS reason FROM roles WHERE role IN ('dimension_attribute', 'identifier')
+  AND column_name NOT IN (SELECT attribute FROM plan)
+UNION ALL SELECT column_name, 'no attributes' FROM roles WHERE role IN ('key', 'foreign_key') AND distinct_count > 0
+  AND distinct_count < 0.9 * n_rows AND column_name NOT IN (SELECT key_name FROM plan)"""
+ORACLES["event_star"] = """WITH days AS (SELECT unnest(generate_series(date_trunc('year', (SELECT min(ts) FROM events)),
+  date_trunc('year', (SELECT max(ts) FROM events)) + INTERVAL 1 YEAR - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS day),
+n AS (SELECT CAST(ts AS DATE) AS day, count(*) AS events FROM events GROUP BY 1)
+SELECT year(days.day) AS Year, month(days.day) AS MonthNumber, count(*) AS days, CAST(coalesce(sum(events), 0) AS BIGINT) AS events
+FROM days LEFT JOIN n ON CAST(days.day AS DATE) = n.day GROUP BY 1, 2"""
 
 # -- questions to the star --------------------------------------------------------------------
 STAR = f"""cust AS ({CUSTOMER}), prod AS ({PRODUCT}), f AS (SELECT dirty.* EXCLUDE (CustomerName, Nation, Region, ProductName, ProductType),
@@ -717,3 +788,44 @@ UNION ALL SELECT 'DimProduct', count(DISTINCT ProductID) FROM dirty
 UNION ALL SELECT 'DimDate', count(*) FROM cal"""
 ORACLES["report_sink"] = f"""{DIRTY_WITH}, {MONTHLY}
 SELECT strftime(m, '%Y-%m-%d') AS month, round(v, 2) AS val, 'run2' AS run_id FROM mon"""
+ORACLES["csv_ragged"] = """WITH o AS (SELECT count(*) FILTER (o_orderkey % 50 = 3) AS n FROM orders)
+SELECT 'whole' AS extra, FALSE AS refused, n AS lines, 0 AS without_priority FROM o
+UNION ALL SELECT 'one', n > 0, n, 0 FROM o UNION ALL SELECT 'empty', n > 0, n, 0 FROM o
+UNION ALL SELECT 'second', n > 0, n, 0 FROM o UNION ALL SELECT 'short', FALSE, n, n FROM o"""
+ORACLES["csv_dialects"] = """SELECT c_custkey, c_name || ';a,b|c' AS c_name,
+  CASE WHEN c_custkey % 3 <> 1 THEN round(c_acctbal, 2) END AS c_acctbal,
+  CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer"""
+ORACLES["csv_quoted"] = """SELECT doc_id, md5('> ' || replace(text, chr(13), '') || '"quoted", once' || chr(10)) AS text_md5, lang FROM documents"""
+ORACLES["csv_legacy"] = r"""SELECT doc_id, md5('é ' || regexp_replace(text, '[^\x20-\x7E\x{A0}-\x{FF}]', '?', 'g')) AS text_md5,
+  TRUE AS noted FROM documents"""
+ORACLES["load_by_extension"] = union(
+    [
+        f"SELECT '{s}' AS suffix, '{k}' AS kind, 'supplier' AS name, count(*) AS n_rows, CAST(sum(s_suppkey) AS BIGINT) AS keys, "
+        "round(sum(s_acctbal), 2) AS balance, count(DISTINCT s_name) AS names FROM supplier"
+        for s, k in (("parquet", "parquet"), ("pq", "parquet"), ("csv", "csv"), ("tsv", "csv"), ("txt", "csv"))
+    ]
+)
+_chart_dims = union(
+    [
+        f"SELECT '{c}' AS dim, 'breakdown_{c.lower()}' AS chart, CAST({c} AS VARCHAR) AS label, sum(Revenue) AS v, "
+        f"row_number() OVER (ORDER BY sum(Revenue) DESC, {c} NULLS LAST) AS rn, (SELECT count(DISTINCT {c}) FROM dirty) AS width "
+        f"FROM dirty GROUP BY {c}"
+        for c in TEXTS
+    ]
+)
+ORACLES["chart_files"] = f"""{DIRTY_WITH}, {MONTHLY}, m AS ({MISSING}), cd AS ({_chart_dims}), c AS ({_counts}), {ROLES},
+best AS (SELECT column_name FROM roles WHERE role = 'dimension_attribute' AND logical_type = 'string'
+  AND distinct_count BETWEEN 2 AND 50 ORDER BY distinct_count, column_name LIMIT 4)
+SELECT 'trend_revenue' AS chart, strftime(m, '%Y-%m-%d') AS label, round(v, 2) AS val, TRUE AS whole FROM mon
+UNION ALL SELECT chart, coalesce(nullif(substr(label, 1, 40), ''), '-'), round(v, 2), TRUE FROM cd
+  WHERE dim IN (SELECT column_name FROM best) AND rn <= 10
+UNION ALL SELECT 'missing_values', column_name, CAST(n AS DOUBLE), TRUE FROM m WHERE n > 0"""
+ORACLES["crash_before_publishing"] = "SELECT n_nationkey, n_name, 'good' AS run_id FROM nation"
+ORACLES["analysis"] = f"""{DIRTY_WITH}, {ISSUES}, c AS ({_counts}), {ROLES}, {KPIS}
+SELECT CASE WHEN role = 'measure' THEN 'measure' ELSE 'dimension' END AS section, column_name AS name, '' AS shown FROM roles
+  WHERE role IN ('measure', 'dimension_attribute', 'date', 'foreign_key')
+UNION ALL SELECT 'kpi', kpi, format('{{:.2f}}', v) FROM kp
+UNION ALL SELECT 'median', column_name, format('{{:.4f}}', median) FROM ({ORACLES["measure_stats"]})
+UNION ALL SELECT 'dates', column_name, first_day || ' ' || last_day FROM ({ORACLES["date_ranges"]})
+UNION ALL SELECT 'issue', kind || ' ' || column_name, CAST(affected_rows AS VARCHAR) FROM issues
+UNION ALL SELECT 'count', 'insights', (SELECT CAST(count(*) AS VARCHAR) FROM ({ORACLES["insights"]}))"""

@@ -13,6 +13,7 @@ from tablewise.functions.columns import col
 from tablewise.operators import checks as V
 from tablewise.operators import counts
 from tablewise.operators import dependencies as D
+from tablewise.operators import fingerprints as FP
 from tablewise.operators import metrics as M
 from tablewise.operators import profile as P
 from tablewise.operators import quality as Q
@@ -549,8 +550,13 @@ def calendar_checks(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def metric_crosscheck(spark: SparkSession, d: str) -> DataFrame:
+    """Stored sums against sums of decimals, as they are and with those of two measures edited."""
     df, profile = _profiled(spark, d)
-    return V.cross_check(df, M.measure_stats(profile)).select("check", "status", "object")
+    stats = M.measure_stats(profile)
+    edited = F.when(F.col("column") == "Revenue", F.col("sum") + 0.01).when(F.col("column") == "Cost", F.col("sum") * 1.0001)
+    cases = {"stored": stats, "edited": stats.withColumn("sum", edited.otherwise(F.col("sum")))}
+    found = [V.cross_check(df, s).withColumn("stats", F.lit(n)) for n, s in cases.items()]
+    return V.union(found).select("stats", "check", "status", "object")
 
 
 @query
@@ -575,22 +581,69 @@ def findings_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stored_results(spark: SparkSession, d: str) -> DataFrame:
-    df = _stored(spark, d)
-    profile, totals = P.profile_columns(df), P.table_totals(df)
-    schema = P.with_roles(profile).select("ordinal", "column")
-    found = V.stored_result_findings(profile, totals, schema, df.count(), df.count() - 1)
-    return found.select("check", "status")
+    """Stored results of one table against each other, and against those of another version."""
+    df, flat = _stored(spark, d), materialise(flat_sales(spark, d))
+    profile, schema = P.profile_columns(df, medians=False), lambda t: P.with_roles(t).select("ordinal", "column")
+    other = P.profile_columns(flat, medians=False)
+    parts = {
+        "own": V.stored_result_findings(profile, P.table_totals(df), schema(profile), df.count(), df.count()),
+        "other": V.stored_result_findings(profile, P.table_totals(flat), schema(other), df.count(), flat.count()),
+    }
+    return V.union([p.withColumn("version", F.lit(n)) for n, p in parts.items()]).select("version", "check", "status")
 
 
 @query
 def source_recheck(spark: SparkSession, d: str) -> DataFrame:
-    source = read(spark, d, "orders")
-    rows = [
-        V.recheck_source(source, source.count(), len(source.columns), "orders"),
-        V.recheck_source(source.filter("o_orderkey % 2 = 0"), source.count(), 6, "half of orders"),
-        V.recheck_source(None, 0, 0, "gone"),
-    ]
-    return V.findings(spark, rows).select("check", "status", "object")
+    """Rows, columns and values of a source against what was stored: as it is, cut, edited and gone."""
+    source = read_spread(spark, d, "orders")
+    rows, columns, values = source.count(), len(source.columns), materialise(FP.fingerprint(source))
+    price = F.when(F.col("o_orderkey") % 1000 == 1, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    cases = {
+        "orders": source,
+        "half of orders": source.filter("o_orderkey % 2 = 0"),
+        "edited orders": source.withColumn("o_totalprice", price),
+        "gone": None,
+    }
+    found = []
+    for name, df in cases.items():
+        found += [V.recheck_source(df, rows, columns, name), V.recheck_values(df, values, name)]
+    return V.findings(spark, found).select("check", "status", "object")
+
+
+@query
+def table_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    """Versions of a table told apart by their fingerprints alone: which have the same rows?"""
+    orders = read_spread(spark, d, "orders")
+    one = F.when(F.col("o_orderkey") == 7, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    versions = {
+        "shuffled": orders.repartition(7, "o_custkey").select(*reversed(orders.columns)),
+        "one cell": orders.withColumn("o_totalprice", one),
+        "a row twice": orders.unionAll(orders.filter("o_orderkey = 7")),
+        "half": orders.filter("o_orderkey % 2 = 0"),
+    }
+    known = materialise(FP.fingerprint(orders))
+    rows = [(n, not FP.differing(known, FP.fingerprint(v))) for n, v in versions.items()]
+    return spark.createDataFrame(rows, "version string, same_rows boolean")
+
+
+@query
+def star_leftovers(spark: SparkSession, d: str) -> DataFrame:
+    """Columns that stay in the fact: attributes without a key, and keys without attributes."""
+    _, _, star = _designed(spark, d)
+    rows = [(c, "no key") for c in star.leftovers] + [(c, "no attributes") for c in star.bare_keys]
+    return spark.createDataFrame(rows, "column_name string, reason string")
+
+
+@query
+def event_star(spark: SparkSession, d: str) -> DataFrame:
+    """Events carry a time of day: the star gets the day, and its calendar covers it."""
+    df = materialise(read_spread(spark, d, "events"))
+    star = design_star(df, P.profile_table(df, "events", medians=False))
+    link = star.active("DimDate").from_column
+    fact, days = star.tables[star.fact], star.tables["DimDate"]
+    per_day = fact.groupBy(col(link).alias("Date")).agg(F.count("*").alias("events"))
+    found = days.join(per_day, "Date", "left").groupBy("Year", "MonthNumber")
+    return found.agg(F.count("*").alias("days"), F.coalesce(F.sum("events"), F.lit(0)).alias("events"))
 
 
 # -- questions to the star --------------------------------------------------------------------
@@ -614,7 +667,7 @@ def _star(spark: SparkSession, d: str) -> StarDesign:
         ("DimCustomer", "CustomerID", ["CustomerName", "Nation", "Region"]),
         ("DimProduct", "ProductID", ["ProductName", "ProductType"]),
     ):
-        star.tables[table] = D.build_dimension(df, key, attributes)
+        star.tables[table] = materialise(D.build_dimension(df, key, attributes))
         star.relationships.append(Relationship(fact, key, table, key))
     star.tables["DimDate"] = D.calendar(D.date_bounds(df, DATES))
     star.relationships.append(Relationship(fact, "OrderDate", "DimDate", "Date"))
@@ -791,6 +844,161 @@ def csv_ingest(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _delimited(spark: SparkSession, df: DataFrame, path: str, **options: object) -> None:
+    writer = df.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+    writer.option("ignoreTrailingWhiteSpace", False).mode("append").options(**options).csv(path)
+
+
+@query
+def csv_ragged(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with more values than their header: refused, whatever the values beyond it are."""
+    from tablewise.sources.dataset import LoadError, load
+
+    orders = read(spark, d, "orders")
+    line = F.concat_ws(",", "o_orderkey", "o_orderstatus", F.concat(F.lit('"'), "o_orderpriority", F.lit(', x"')))
+    beyond = {"whole": F.lit(""), "one": F.lit(",late"), "empty": F.lit(","), "second": F.lit(",,lost"), "short": F.lit("")}
+    rows = []
+    for name, extra in beyond.items():
+        path = _folder(spark)
+        text = F.when(F.col("o_orderkey") % 50 == 3, F.concat(line, extra)).otherwise(line)
+        if name == "short":
+            text = F.when(F.col("o_orderkey") % 50 == 3, F.col("o_orderkey").cast("string")).otherwise(line)
+        # One file with the header first.
+        head = F.lit("key,status,priority").alias("value")
+        body = orders.orderBy("o_orderkey").select(text.alias("value"))
+        orders.limit(1).select(head).unionAll(body).coalesce(1).write.text(path)
+        try:
+            read_ = load(spark, path, format="csv").df
+            rows.append((name, False, read_.filter("key % 50 = 3").count(), read_.filter("priority IS NULL").count()))
+        except LoadError as refused:
+            rows.append((name, True, int(str(refused).split(": ")[1].split(" ")[0]), 0))
+    return spark.createDataFrame(rows, "extra string, refused boolean, lines long, without_priority long")
+
+
+@query
+def csv_dialects(spark: SparkSession, d: str) -> DataFrame:
+    """A folder whose files differ in delimiter, in the order and in the number of their columns."""
+    from tablewise.sources.dataset import load
+
+    path, t = _folder(spark), read(spark, d, "customer")
+    name = F.concat_ws(";", "c_name", F.lit("a,b|c")).alias("c_name")
+    parts = [["c_custkey", name, "c_acctbal"], [name, "c_mktsegment", "c_custkey"], ["c_acctbal", "c_custkey", name, "c_mktsegment"]]
+    for i, columns in enumerate(parts):
+        _delimited(spark, t.filter(F.col("c_custkey") % 3 == i).select(*columns), path, sep=",;\t"[i])
+    found = load(spark, path, format="csv").df
+    return found.select("c_custkey", "c_name", _round("c_acctbal"), "c_mktsegment")
+
+
+@query
+def csv_quoted(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts with line breaks, quotes and delimiters, written as quoted values and read back."""
+    from tablewise.sources.dataset import load
+
+    path = _folder(spark)
+    # A carriage return inside a quoted value is read as a line feed.
+    text = F.concat(F.lit("> "), F.replace("text", F.lit("\r"), F.lit("")), F.lit('"quoted", once\n'))
+    _delimited(spark, read_spread(spark, d, "documents").select("doc_id", text.alias("text"), "lang"), path, quoteAll=True)
+    found = load(spark, path, format="csv").df
+    return found.select("doc_id", F.md5(F.col("text")).alias("text_md5"), "lang")
+
+
+@query
+def csv_legacy(spark: SparkSession, d: str) -> DataFrame:
+    """Texts written in one byte per character, found not to be UTF-8 and read as cp1252."""
+    from tablewise.sources.dataset import load
+
+    path = _folder(spark)
+    text = F.regexp_replace("text", r"[^\x20-\x7E\xA0-\xFF]", "?")
+    marked = F.concat(F.lit("é "), text).alias("text")
+    _delimited(spark, read_spread(spark, d, "documents").select("doc_id", marked), path, encoding="ISO-8859-1", quoteAll=True)
+    found = load(spark, path, format="csv")
+    noted = any("cp1252" in n for n in found.notes)
+    return found.df.select("doc_id", F.md5(F.col("text")).alias("text_md5"), F.lit(noted).alias("noted"))
+
+
+@query
+def load_by_extension(spark: SparkSession, d: str) -> DataFrame:
+    """The same table in files of each kind, told apart by their extensions alone."""
+    from tablewise.sources.dataset import load, source_type
+
+    base, t = _folder(spark), read(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    rows = []
+    for suffix in ("parquet", "pq", "csv", "tsv", "txt"):
+        path = f"{base}/supplier.{suffix}"
+        if suffix in ("parquet", "pq"):
+            t.write.parquet(path)
+        else:
+            _delimited(spark, t, path, sep="\t" if suffix == "tsv" else "|" if suffix == "txt" else ",")
+        found = load(spark, path)
+        sums = found.df.agg(F.count("*"), F.sum("s_suppkey"), F.round(F.sum("s_acctbal"), 2), F.count_distinct("s_name")).first()
+        rows.append((suffix, source_type(path), found.name, *sums))
+    schema = "suffix string, kind string, name string, n_rows long, keys long, balance double, names long"
+    return spark.createDataFrame(rows, schema)
+
+
+@query
+def chart_files(spark: SparkSession, d: str) -> DataFrame:
+    """The table behind each chart, written as CSV files by two runs and read back from the current one."""
+    from tablewise.sources.sinks import read_tables, verify_run, write_chart_tables
+
+    df, profile = _profiled(spark, d)
+    path, tables = _folder(spark), M.chart_tables(df, profile)
+    for run in ("first", "second"):
+        write_chart_tables(tables, path, run)
+    whole = {r["table"]: r["ok"] for r in verify_run(spark, path).collect()}
+    parts = []
+    for name, t in read_tables(spark, path, list(tables)).items():
+        label, value = t.columns[0], t.columns[1]
+        shown = F.coalesce(F.substring(col(label), 1, 40), F.lit("-")).alias("label")
+        number = F.round(col(value).cast("double"), 2).alias("val")
+        parts.append(t.select(F.lit(name).alias("chart"), shown, number, F.lit(whole[name]).alias("whole")))
+    return V.union(parts)
+
+
+@query
+def crash_before_publishing(spark: SparkSession, d: str) -> DataFrame:
+    """A run that stops after its tables and before the pointer moves: the former one is still read."""
+    from unittest import mock
+
+    from tablewise.sources import sinks
+
+    path, t = _folder(spark), read(spark, d, "nation")
+    sinks.write_tables({"nation": t}, path, "good")
+    with mock.patch.object(sinks, "_replace", side_effect=OSError("stopped")):
+        try:
+            sinks.write_tables({"nation": t.filter("n_nationkey < 5")}, path, "late")
+        except OSError:
+            pass
+    found = sinks.read_tables(spark, path, ["nation"])["nation"]
+    return found.select("n_nationkey", "n_name", F.lit(sinks.current_run(spark, path)).alias("run_id"))
+
+
+@query
+def analysis(spark: SparkSession, d: str) -> DataFrame:
+    """The whole analysis of a table as rows: candidates, key figures, measures, date ranges, issues."""
+    from tablewise.plans.analyze import analyze
+
+    found = analyze(_stored(spark, d), "sales")
+    text = lambda df, section, name, value: df.select(
+        F.lit(section).alias("section"), F.col(name).alias("name"), value.cast("string").alias("shown")
+    )
+    names = spark.createDataFrame(
+        [("dimension", n, "") for n in found.candidate_dimensions] + [("measure", n, "") for n in found.candidate_measures],
+        "section string, name string, shown string",
+    )
+    figure = F.format_string("%.2f", F.col("value"))
+    issue = found.quality.withColumn("name", F.concat_ws(" ", "kind", F.coalesce("column", F.lit("-"))))
+    parts = [
+        names,
+        text(found.kpis, "kpi", "name", figure),
+        text(found.measures, "median", "column", F.format_string("%.4f", F.col("median"))),
+        text(found.date_ranges, "dates", "column", F.concat_ws(" ", "first", "last")),
+        text(issue, "issue", "name", F.col("affected_rows")),
+        text(found.insights.groupBy().agg(F.count("*").alias("n")).withColumn("what", F.lit("insights")), "count", "what", F.col("n")),
+    ]
+    return V.union(parts)
+
+
 @query
 def xlsx_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Customers split over workbooks of at most 1000 rows, read back as one table."""

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tablewise.functions.columns import col
 from tablewise.plans.star import Relationship, StarDesign
 
+#: A dimension's needed columns are broadcast if they are at most so many bytes, counted before.
+BROADCAST_BYTES = 32 << 20
+
 AGGREGATES = ("sum", "count", "min", "max", "average", "distinct_count", "difference", "ratio")
 
 
@@ -75,9 +78,11 @@ def measure_by(
     ``by`` and the keys of ``filters`` are ``Table[Column]``. A date table joins over its
     active relationship unless ``use`` names another one.
 
-    The fact is aggregated by the needed foreign keys before any join. What is joined is then
-    one row per key combination, so a foreign key holding a third of the fact is no hot spot,
-    and Spark broadcasts a dimension only when its measured size allows.
+    Dimensions are counted first, filters applied. Those that are small enough are broadcast and joined
+    to the rows of the fact before these are grouped: their filters cut the fact where it is read, and
+    what moves is one row per combination of attributes and task. Foreign keys of the larger ones are grouped
+    first and joined then, so a key holding a third of the fact is one row per task. Distinct counts
+    come from the same grouping, which keeps the counted value as well, so the fact is read once.
     """
     filters = dict(filters or {})
     fields = [_split(f) for f in by]
@@ -88,22 +93,32 @@ def measure_by(
         table, column = _split(field)
         if table == star.fact:
             fact = fact.filter(col(column).isin(list(allowed)))
-    fact_fields = [c for t, c in fields if t == star.fact]
-    group = list(dict.fromkeys([*(r.from_column for r in joins.values()), *fact_fields]))
+    dims = {t: _needed(star, t, r, fields, filters) for t, r in joins.items()}
+    limited = {_split(f)[0] for f in filters}
+    small = [t for t, dim in dims.items() if _bytes(dim) <= BROADCAST_BYTES]
+    # Filtered dimensions first: every later join meets fewer rows.
+    for t in sorted(small, key=lambda t: t not in limited):
+        fact = _joined(fact, F.broadcast(dims[t]), t, joins[t], t in limited)
+    large = {t: r for t, r in joins.items() if t not in small}
+    kept = [c if t == star.fact else f"{t}.{c}" for t, c in fields if t == star.fact or t in small]
+    group = list(dict.fromkeys([*(r.from_column for r in large.values()), *kept]))
     plain = [m for m in measures if m.aggregate not in ("distinct_count", "difference", "ratio")]
     counted = [m for m in measures if m.aggregate == "distinct_count"]
 
     results = []
-    if plain or not counted:
-        aggs = [v.alias(f"{m.name}:{k}") for m in plain for k, v in _partial(m).items()]
-        reduced = _aggregate(fact.groupBy(*[col(g) for g in group]), aggs)
-        finals = [_final(m).alias(m.name) for m in plain]
-        results.append(_by(star, reduced, joins, fields, filters, finals, rollup))
-    for m in counted:
-        # Distinct values do not add up: keep one row per key combination and value.
-        distinct = fact.select(*[col(g) for g in group], col(m.column).alias("__v")).distinct()
-        final = [F.count_distinct("__v").alias(m.name)]
-        results.append(_by(star, distinct, joins, fields, filters, final, rollup))
+    for i, m in enumerate(counted or [None]):
+        own = plain if i == 0 else []
+        aggs = [v.alias(f"{p.name}:{k}") for p in own for k, v in _partial(p).items()]
+        finals = [_final(p).alias(p.name) for p in own]
+        keys = [col(g) for g in group]
+        if m is not None:
+            # Distinct values do not add up: there is a row for each of them.
+            keys.append(col(m.column).alias("__v"))
+            finals.append(F.count_distinct("__v").alias(m.name))
+        rows = _aggregate(fact.groupBy(*keys), aggs)
+        for t, r in large.items():
+            rows = _joined(rows, dims[t], t, r, t in limited)
+        results.append(_by(star, rows, fields, finals, rollup))
     labels = _labels(fields)
     result = results[0]
     for other in results[1:]:
@@ -140,20 +155,32 @@ def _relation(star: StarDesign, table: str, use: list[Relationship]) -> Relation
     return chosen
 
 
-def _by(star, rows, joins, fields, filters, finals, rollup) -> DataFrame:  # noqa: ANN001
-    for table, relation in joins.items():
-        wanted = [c for t, c in fields if t == table]
-        limits = {c: v for f, v in filters.items() for t, c in [_split(f)] if t == table}
-        dim = star.tables[table]
-        for column, allowed in limits.items():
+def _needed(star: StarDesign, table: str, relation: Relationship, fields: list, filters: dict) -> DataFrame:
+    """A dimension's key and wanted columns, named so that they cannot clash, filters applied."""
+    dim = star.tables[table]
+    for field, allowed in filters.items():
+        t, column = _split(field)
+        if t == table:
             dim = dim.filter(col(column).isin(list(allowed)))
-        key = f"__key:{table}"
-        dim = dim.select(
-            col(relation.to_column).alias(key), *[col(c).alias(f"{table}.{c}") for c in wanted]
-        )
-        # A filtered dimension also filters the fact; otherwise unmatched rows show as blank.
-        how = "inner" if limits else "left"
-        rows = rows.join(dim, rows[_q(relation.from_column)] == dim[_q(key)], how)
+    wanted = [c for t, c in fields if t == table]
+    return dim.select(
+        col(relation.to_column).alias(f"__key:{table}"), *[col(c).alias(f"{table}.{c}") for c in dict.fromkeys(wanted)]
+    )
+
+
+def _bytes(dim: DataFrame) -> int:
+    """Size of a dimension's values as text, with a little for each row."""
+    width = sum((F.coalesce(F.octet_length(col(c).cast("string")), F.lit(0)) for c in dim.columns), F.lit(16))
+    return int(dim.agg(F.coalesce(F.sum(width.cast("bigint")), F.lit(0))).first()[0])
+
+
+def _joined(rows: DataFrame, dim: DataFrame, table: str, relation: Relationship, limited: bool) -> DataFrame:
+    # A filtered dimension also filters the fact; otherwise unmatched rows show as blank.
+    match = rows[_q(relation.from_column)] == dim[_q(f"__key:{table}")]
+    return rows.join(dim, match, "inner" if limited else "left").drop(f"__key:{table}")
+
+
+def _by(star, rows, fields, finals, rollup) -> DataFrame:  # noqa: ANN001
     names = _labels(fields)
     labels = [
         col(c if t == star.fact else f"{t}.{c}").alias(n) for (t, c), n in zip(fields, names, strict=True)

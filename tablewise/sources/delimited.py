@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import csv
+import re
 from pathlib import PurePosixPath
 
 from pyspark.errors import PySparkException
@@ -17,8 +17,6 @@ from tablewise.sources.dataset import Dataset, LoadError
 # Texts read as NULL ("NA" is a value), and the delimiters that are detected.
 NULL_TOKENS = ["", "NULL", "null", "#N/A", "N/A"]
 DELIMITERS = ",;\t|"
-SNIFF_CHARS = 64 * 1024
-SNIFF_LINES = 200
 
 _INTEGER = r"^-?\d+$"
 _FLOAT = r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$|^[-+]?inf$|^NaN$"
@@ -29,11 +27,34 @@ _ZONED = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d
 _DATES = [f for f in DATE_FORMATS if f != "yyyyMMdd"]
 
 
-def sniff_delimiter(sample: str) -> str:
-    try:
-        return csv.Sniffer().sniff(sample, delimiters=DELIMITERS).delimiter
-    except csv.Error:
-        return ","
+def _delimiters_in(line: Column, delimiter: str) -> Column:
+    """How many delimiters stand outside quoted values.
+
+    Lines with quotes are followed piece by piece: a quote opens a value only as its first character, and
+    the value ends with the piece that makes the quotes even. (A pattern for quoted values would
+    recurse with their length.)
+    """
+    quotes = lambda text: F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
+
+    def step(state: Column, piece: Column) -> Column:
+        odd = quotes(piece) % 2 == 1
+        inside = F.when(state["open"], ~odd).otherwise(F.startswith(piece, F.lit('"')) & odd)
+        return F.struct(inside.alias("open"), (state["n"] + F.when(state["open"], 0).otherwise(1)).alias("n"))
+
+    start = F.struct(F.lit(False).alias("open"), F.lit(0).alias("n"))
+    followed = F.aggregate(F.split(line, re.escape(delimiter)), start, step, lambda s: s["n"] - 1)
+    plain = F.length(line) - F.length(F.replace(line, F.lit(delimiter), F.lit("")))
+    return F.when(F.contains(line, F.lit('"')), followed).otherwise(plain)
+
+
+def choose_delimiter(scores: dict[str, tuple[int, int, float]]) -> str:
+    """The delimiter of a file from ``(in the header, in most lines, variance)`` of each candidate.
+
+    Best is one that most lines hold as often as the header, then the steadiest, then the most frequent.
+    """
+    found = [d for d in DELIMITERS if scores[d][0]]
+    rank = lambda d: (scores[d][0] != scores[d][1], scores[d][2], -scores[d][1], DELIMITERS.index(d))
+    return min(found, key=rank, default=",")
 
 
 def load_csv(
@@ -41,24 +62,24 @@ def load_csv(
 ) -> Dataset:
     """CSV as a typed table. Types hold for every row, not only for the first ones.
 
-    Files of a folder are matched by column name; names that a file lacks are NULL there. A line
-    with more values than its header is an error, with fewer it is filled up with NULL. Only
-    files that hold a quoted line break are read whole.
+    Files of a folder are matched by column name; names that a file lacks are NULL there. Every file
+    has a delimiter of its own, found from all of its lines. A line with more values than its header is
+    an error, whatever these values are; with fewer it is filled up with NULL. Only files that
+    hold a quoted line break are read whole.
 
-    Passes: one text scan for headers, encoding and quoted line breaks, one for lines that are
-    too long, one for all column types.
+    Passes: one text scan for headers, delimiters, encoding and quoted line breaks, one for lines
+    of another length than the header, one for all column types.
     """
     name = PurePosixPath(path).name
     notes: list[str] = []
     try:
-        lines = [r["value"] for r in spark.read.text(path).limit(SNIFF_LINES).collect()]
-        if delimiter is None:
-            delimiter = sniff_delimiter("\n".join(lines)[:SNIFF_CHARS])
-            if delimiter != ",":
-                notes.append(f"Detected delimiter {delimiter!r}.")
         layouts, utf8 = _layouts(spark.read.text(path), delimiter)
     except PySparkException as exc:
         raise LoadError(f"cannot read {name}: {exc.getCondition() or type(exc).__name__}") from None
+    if delimiter is None:
+        detected = dict.fromkeys(d for _, d, _ in layouts)
+        if list(detected) != [","] and detected:
+            notes.append(f"Detected delimiter {', '.join(map(repr, detected))}.")
     given = (encoding or "utf-8").lower()
     legacy = given in ("cp1252", "windows-1252")
     if given in ("utf-8", "utf8", "utf-8-sig") and not utf8:
@@ -67,17 +88,17 @@ def load_csv(
     charset = "ISO-8859-1" if legacy else ("UTF-8" if "utf" in given and "16" not in given else given)
     parts = []
     try:
-        for multiline, files in layouts or [(False, [path])]:
+        for multiline, separator, files in layouts or [(False, delimiter or ",", [path])]:
             reader = (
                 spark.read.option("header", True)
-                .option("sep", delimiter)
+                .option("sep", separator)
                 .option("encoding", charset)
                 .option("escape", '"')
                 .option("multiLine", multiline)
             )
             part = reader.csv(files)
             if part.columns:
-                parts.append(_whole_lines(reader, part, files, name))
+                parts.append(_whole_lines(reader, part, files, separator, name))
     except LoadError:
         raise
     except Exception as exc:  # an unknown charset surfaces as a JVM error
@@ -98,32 +119,54 @@ def load_csv(
     return Dataset(typed(texts), PurePosixPath(path).stem, notes)
 
 
-def _layouts(lines: DataFrame, delimiter: str) -> tuple[list[tuple[bool, list[str]]], bool]:
-    """Files that can be read together, by header and by need to be read whole; and whether all is UTF-8."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    # A quote opens a value only at the line's start or behind a delimiter.
-    opens = F.startswith("value", F.lit('"')) | F.contains("value", F.lit(f'{delimiter}"'))
+def _layouts(lines: DataFrame, delimiter: str | None) -> tuple[list[tuple[bool, str, list[str]]], bool]:
+    """``(needs to be read whole, delimiter, files)`` for files of one header; and whether all is UTF-8."""
+    candidates = DELIMITERS if delimiter is None else delimiter
+    value = F.col("value")
     first = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    opens = [F.startswith("value", F.lit('"')) | F.contains("value", F.lit(f'{d}"')) for d in candidates]
     rows = lines.select(
         F.col("_metadata.file_path").alias("file"),
         "value",
         first.alias("at"),
-        (opens & (quotes % 2 == 1)).alias("open"),
         F.is_valid_utf8("value").alias("utf8"),
+        *[_delimiters_in(value, d).alias(f"n{i}") for i, d in enumerate(candidates)],
+        *[(o & (quotes % 2 == 1)).alias(f"open{i}") for i, o in enumerate(opens)],
     )
-    files = rows.groupBy("file").agg(
-        F.min_by("value", "at").alias("header"), F.bool_or("open").alias("open"), F.bool_and("utf8").alias("utf8")
-    )
-    found = files.groupBy("header", "open").agg(F.collect_list("file").alias("files"), F.bool_and("utf8").alias("utf8"))
-    found = sorted(found.collect(), key=lambda r: min(r["files"]))
-    return [(bool(r["open"]), sorted(r["files"])) for r in found], all(r["utf8"] is not False for r in found)
+    aggs = []
+    for i in range(len(candidates)):
+        n = F.col(f"n{i}")
+        aggs += [F.min_by(n, "at").alias(f"head{i}"), F.mode(n, deterministic=True).alias(f"most{i}")]
+        aggs += [F.var_pop(n).alias(f"var{i}"), F.bool_or(f"open{i}").alias(f"open{i}")]
+    files = rows.groupBy("file").agg(F.min_by("value", "at").alias("header"), F.bool_and("utf8").alias("utf8"), *aggs)
+    groups: dict[tuple, list[str]] = {}
+    utf8 = True
+    for r in files.collect():
+        if delimiter is None:
+            own = choose_delimiter({d: (r[f"head{i}"] or 0, r[f"most{i}"], r[f"var{i}"]) for i, d in enumerate(candidates)})
+        else:
+            own = delimiter
+        key = (r["header"], bool(r[f"open{candidates.index(own)}"]), own)
+        groups.setdefault(key, []).append(r["file"])
+        utf8 = utf8 and r["utf8"] is not False
+    found = sorted(groups.items(), key=lambda g: min(g[1]))
+    return [(whole, own, sorted(names)) for (_, whole, own), names in found], utf8
 
 
-def _whole_lines(reader: DataFrameReader, part: DataFrame, files: list[str], name: str) -> DataFrame:
-    """Refuse lines that hold more values than the header, rather than lose them."""
-    beyond = "__beyond"
-    schema = T.StructType([*part.schema.fields, T.StructField(beyond, T.StringType())])
-    long = reader.schema(schema).csv(files).filter(col(beyond).isNotNull()).count()
+def _whole_lines(reader: DataFrameReader, part: DataFrame, files: list[str], separator: str, name: str) -> DataFrame:
+    """Refuse lines that hold more values than the header, rather than lose them.
+
+    Spark hands over the text of every line whose number of values is not that of the header; these
+    few are counted. Without that, it drops what is beyond the header.
+    """
+    line = "__line"
+    schema = T.StructType([*part.schema.fields, T.StructField(line, T.StringType())])
+    odd = reader.option("columnNameOfCorruptRecord", line).option("columnPruning", False).schema(schema).csv(files)
+    values = _delimiters_in(F.rtrim(col(line), F.lit("\r\n")), separator) + 1
+    beyond = F.count_if(col(line).isNotNull() & (values > len(part.columns)))
+    # Spark wants another column to be read beside the text of the line.
+    long, _ = odd.agg(beyond, F.count(col(part.columns[0]))).first()
     if long:
         raise LoadError(f"{name}: {long} line(s) hold more values than the header")
     return part

@@ -9,13 +9,13 @@ from tablewise.operators import checks as V
 from tablewise.operators import metrics as M
 from tablewise.operators import profile as P
 from tablewise.plans.star import design_star, validate_star
-from tests.test_star import SALES, sales_rows
+from tests.test_star import LOANS, loans
 
 
 @pytest.fixture(scope="module")
 def designed(spark):
-    df = spark.createDataFrame([r for r in sales_rows() if r[4]], SALES)
-    star = design_star(df, P.profile_table(df, "sales"))
+    df = spark.createDataFrame(loans(), LOANS)
+    star = design_star(df, P.profile_table(df, "loans"))
     return star, {n: t.cache() for n, t in star.tables.items()}
 
 
@@ -52,7 +52,7 @@ def test_referential_integrity(spark):
 
 def test_clean_star_passes(designed):
     star, tables = designed
-    found = validate_star(star, tables, 89)
+    found = validate_star(star, tables, 120)
     assert failed(found) == set()
     row = V.report(found).first()
     assert row["passed"] and row["not_run"] == 0
@@ -60,49 +60,49 @@ def test_clean_star_passes(designed):
 
 def test_dropped_dimension_row_makes_orphans(designed):
     star, tables = designed
-    broken = tables | {"DimProduct": tables["DimProduct"].filter("ProductID <> 'P0'")}
-    found = validate_star(star, broken, 89)
-    link = "FactSales[ProductID] -> DimProduct[ProductID]"
+    broken = tables | {"DimBook": tables["DimBook"].filter("BookID <> 'B0'")}
+    found = validate_star(star, broken, 120)
+    link = "FactLoans[BookID] -> DimBook[BookID]"
     assert failed(found) == {("no_orphan_keys", link)}
     assert not V.report(found).first()["passed"]
 
 
 def test_duplicate_key(designed):
     star, tables = designed
-    twice = tables["DimProduct"].unionAll(tables["DimProduct"].limit(1))
-    found = failed(validate_star(star, tables | {"DimProduct": twice}, 89))
-    assert ("key_unique_not_null", "DimProduct[ProductID]") in found
-    assert ("cardinality_matches_data", "FactSales[ProductID] -> DimProduct[ProductID]") in found
+    twice = tables["DimBook"].unionAll(tables["DimBook"].limit(1))
+    found = failed(validate_star(star, tables | {"DimBook": twice}, 120))
+    assert ("key_unique_not_null", "DimBook[BookID]") in found
+    assert ("cardinality_matches_data", "FactLoans[BookID] -> DimBook[BookID]") in found
 
 
 def test_calendar_gap_and_coverage(designed):
     star, tables = designed
-    gap = tables["DimDate"].filter("Date <> DATE'2025-06-15'")
-    assert ("date_table_contiguous", "DimDate") in failed(validate_star(star, tables | {"DimDate": gap}, 89))
-    short = tables["DimDate"].filter("Date >= DATE'2025-02-01'")
-    found = failed(validate_star(star, tables | {"DimDate": short}, 89))
-    assert ("date_table_covers_facts", "FactSales[OrderDate] -> DimDate[Date]") in found
+    gap = tables["DimDate"].filter("Date <> DATE'2023-06-15'")
+    assert ("date_table_contiguous", "DimDate") in failed(validate_star(star, tables | {"DimDate": gap}, 120))
+    short = tables["DimDate"].filter("Date >= DATE'2023-12-01'")
+    found = failed(validate_star(star, tables | {"DimDate": short}, 120))
+    assert ("date_table_covers_facts", "FactLoans[Lent] -> DimDate[Date]") in found
     assert ("date_table_contiguous", "DimDate") not in found
     empty = tables["DimDate"].filter("Date IS NULL")
-    assert ("date_table_key", "DimDate") in failed(validate_star(star, tables | {"DimDate": empty}, 89))
+    assert ("date_table_key", "DimDate") in failed(validate_star(star, tables | {"DimDate": empty}, 120))
 
 
 def test_changed_columns_rows_and_missing_tables(designed):
     star, tables = designed
-    odd = tables["FactSales"].withColumn("Revenue", F.col("Revenue").cast("string")).limit(80)
-    found = failed(validate_star(star, tables | {"FactSales": odd}, 89))
-    assert ("columns_match_data", "FactSales") in found
-    assert ("fact_rows_match_source", "FactSales") in found
-    some = {n: t for n, t in tables.items() if n != "DimCustomer"}
-    report = validate_star(star, some, 89)
-    assert ("table_data_present", "DimCustomer") in failed(report)
+    odd = tables["FactLoans"].withColumn("Fee", F.col("Fee").cast("string")).limit(80)
+    found = failed(validate_star(star, tables | {"FactLoans": odd}, 120))
+    assert ("columns_match_data", "FactLoans") in found
+    assert ("fact_rows_match_source", "FactLoans") in found
+    some = {n: t for n, t in tables.items() if n != "DimReader"}
+    report = validate_star(star, some, 120)
+    assert ("table_data_present", "DimReader") in failed(report)
     assert report.filter("status = 'not_run'").count() == 1
 
 
 def test_blank_foreign_keys_only_warn(spark):
-    df = spark.createDataFrame(sales_rows(), SALES)
-    star = design_star(df, P.profile_table(df, "sales"))
-    found = validate_star(star, star.tables, 90)
+    df = spark.createDataFrame([r[:4] + (None,) + r[5:] if i == 9 else r for i, r in enumerate(loans())], LOANS)
+    star = design_star(df, P.profile_table(df, "loans"))
+    found = validate_star(star, star.tables, 120)
     row = V.report(found).first()
     assert row["passed"] and row["failed_warnings"] == 1
 
