@@ -40,12 +40,38 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Folders of intermediate tables that are still there.
+_STORED: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again: lineage ends there."""
+    """``df`` written to the shared folder as Parquet and read again: lineage ends there.
+
+    The folder stays until :func:`dropped` or :func:`release` deletes it.
+    """
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _STORED.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_in = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of :func:`stored` that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "stored_in", None)
+        if path in _STORED:
+            _STORED.remove(path)
+            remove(t.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables of :func:`stored`: for callers whose results so far are written elsewhere."""
+    while _STORED:
+        remove(spark, _STORED.pop())
+    tidy(spark)
 
 
 def remove(spark: SparkSession, path: str) -> None:

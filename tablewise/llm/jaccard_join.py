@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import MIX_A, columns_of, mixed, ngram_hashes, slices, split_words, stored, texts_of, tidy
+from tablewise.llm.common import MIX_A, columns_of, dropped, mixed, ngram_hashes, slices, split_words, stored, texts_of, tidy
 
 SHINGLE, PERCENT = 3, 90
 #: Sets a task joins at once; document pivots of a larger region; counters of the sketch.
@@ -366,6 +366,7 @@ class _Links:
         moved = old.join(new.select(F.col("v").alias("label"), F.col("label").alias("to")), "label", "left")
         moved = moved.select("v", F.coalesce("to", "label").alias("label"))
         self.label = stored(moved.union(new.join(old, "v", "left_anti").select("v", "label")), "labels")
+        dropped(old, new)
 
     def propose(self, groups: DataFrame, per_pair: int) -> DataFrame:
         failed = self.tested.where("NOT linked")
@@ -383,7 +384,9 @@ class _Links:
             if not self.test(pairs.select("a", "b").distinct()):
                 break
             failed = pairs.join(self.tested.where("NOT linked").select("a", "b"), ["a", "b"], "left_semi")
+            former = groups
             groups = stored(groups.join(failed.select("g1", "g2", "g3").distinct(), ["g1", "g2", "g3"], "left_semi"), "groups")
+            dropped(former, pairs)
 
 
 def _far(members: DataFrame, percent: int) -> DataFrame:
@@ -469,7 +472,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).where("u != v")
-        edges = stored(small.union(down.select("u", F.col("m").alias("v"))).distinct(), "links")
+        former, edges = edges, stored(small.union(down.select("u", F.col("m").alias("v"))).distinct(), "links")
+        dropped(former)
         # Done when every end has one link, and to an end that has none itself: stars around the least.
         out = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
         loose = out.where("n > 1").select("u").union(edges.select(F.col("v").alias("u")).join(out.select("u"), "u", "left_semi"))
@@ -487,7 +491,8 @@ def _named(documents: DataFrame, size: int, percent: int) -> DataFrame:
     held = stored(_memberships(docs, _sketch(scanned), size, percent), "regions")
     # Regions of one set are most of them; they leave before anything is joined.
     shared = held.groupBy("pivot").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("pivot")
-    held = stored(held.join(shared, "pivot", "left_semi").select("pivot", "k").distinct(), "shared")
+    former, held = held, stored(held.join(shared, "pivot", "left_semi").select("pivot", "k").distinct(), "shared")
+    dropped(former)
     tidy(docs.sparkSession)
     counts = held.groupBy("pivot").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     # Regions of the same sets are one region; those of few sets may be gathered.
@@ -509,6 +514,7 @@ def _named(documents: DataFrame, size: int, percent: int) -> DataFrame:
     links.settle(groups, first)
     if not many.isEmpty():
         links.settle(stored(_cells(many, sets, links, percent), "tiles"))
+    dropped(held, many, sets, links.texts)
     return rows.join(links.label.withColumnRenamed("v", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
 
 def jaccard_components(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
