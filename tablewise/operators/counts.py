@@ -27,7 +27,9 @@ TOP = 5
 BROADCAST_HASHES = 2_000_000
 QUANTILE_BUCKETS = 2_048
 # A sketch's ranks are off by at most one part in so many; brackets take twice that on both sides.
-SKETCH_PARTS = 10_000
+SKETCH_PARTS = 1_000
+# Values inside brackets that are settled on the driver at most (24 bytes each).
+SETTLED_VALUES = 100_000
 LARGEST = 1.7976931348623157e308
 
 
@@ -256,9 +258,9 @@ def order_statistics(
 
     ``df`` holds the measures as columns, or is ``(name, v, n)``. Two passes over it, whatever
     the values are: sketches bracket every rank (``around``, if a scan before has done that), then one
-    pass counts what lies below each bracket and keeps the counted values inside, a few
-    ten-thousandths of the table. The rest is settled on these. No column is sorted, and a bracket
-    that a sketch got wrong is only wider the next time.
+    pass counts what lies below each bracket and keeps the counted values inside, a few thousandths
+    of the table. The rest is settled on these: on the driver if they are few, else by counting buckets. No
+    column is sorted, and a bracket that a sketch got wrong is only wider the next time.
     """
     found: dict[tuple[str, int], float] = {}
     spans: dict[tuple[str, int], tuple[float, float]] = {}
@@ -315,11 +317,25 @@ def _settled(cells: DataFrame, spans: dict, bounds: Bounds, found: dict) -> dict
     inside = F.when(F.col("v") >= F.col("b.lo"), F.col("v"))
     # What is below a bracket is one record, the values inside are counted.
     held = materialise(rows.groupBy(F.col("b.i").alias("i"), inside.alias("v")).agg(F.sum("n").alias("n")))
-    below = {r["i"]: r["n"] for r in held.filter("v IS NULL").collect()}
-    held = held.filter("v IS NOT NULL")
+    few = held.count() <= SETTLED_VALUES
+    rows = held.collect() if few else held.filter("v IS NULL").collect()
+    below = {r["i"]: r["n"] for r in rows if r["v"] is None}
     open_ = {i: (*spans[key], key[1] - below.get(i, 0)) for i, key in enumerate(keys)}
     missed = {keys[i]: bounds[keys[i][0]][2:4] for i, (*_, rank) in open_.items() if rank < 0}
     open_ = {i: span for i, span in open_.items() if span[2] >= 0}
+    if few:
+        values: dict[int, list[tuple[float, int]]] = {}
+        for r in rows:
+            if r["v"] is not None:
+                values.setdefault(r["i"], []).append((r["v"], r["n"]))
+        for i, (_, _, rank) in open_.items():
+            value = _value_at(sorted(values.get(i, [])), rank)
+            if value is None:
+                missed[keys[i]] = bounds[keys[i][0]][2:4]
+            else:
+                found[keys[i]] = value
+        return missed
+    held = held.filter("v IS NOT NULL")
     while open_:
         counted = _bucket_counts(held, open_)
         for i, (_, _, rank) in list(open_.items()):
@@ -338,6 +354,15 @@ def _settled(cells: DataFrame, spans: dict, bounds: Bounds, found: dict) -> dict
     return missed
 
 
+def _value_at(values: list[tuple[float, int]], rank: int) -> float | None:
+    """The value at a rank of counted values in order; None beyond them."""
+    for value, n in values:
+        if rank < n:
+            return value
+        rank -= n
+    return None
+
+
 def _bucket_counts(held: DataFrame, spans: dict[int, tuple[float, float, int]]) -> dict[int, list]:
     """Per span its filled buckets in order: ``(n, least, greatest)``."""
     last = QUANTILE_BUCKETS - 1
