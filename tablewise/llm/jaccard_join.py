@@ -12,7 +12,8 @@ in every region in which a partner may live; three kinds of pivot are used, coar
    pairs that are linked already, even by way of others, need no test. The rest are joined within
    Voronoi cells: a set belongs to the cell of its nearest pivot, and to another one too if it is
    farther from that pivot by at most twice the radius. By the triangle inequality a linked
-   pair shares a cell. Cells that are still large are joined tile by tile.
+   pair shares a cell. Cells that are still large are regions again, with pivots of their own, as
+   long as they shrink; what no pivot splits is joined tile by tile.
 3. *Parts of the universe as pivots*, for pairs of a region: a set's counts of shingles in n/8
    hash buckets are its distances to the buckets, and the sum of two sets' differences is at
    most the size of their symmetric difference. Pairs beyond the radius are out; this is also
@@ -20,7 +21,10 @@ in every region in which a partner may live; three kinds of pivot are used, coar
 
 What is left are nearly links alone. They are verified on the texts, first a forest that would
 join each region's sets, then more pairs between sets that are still apart (1, 8, 64, all), so
-that a group of copies costs about one test a member. Equal sets are one set from the start.
+that a group of copies costs about one test a member. A cluster of a region goes on to the next
+round only while a pair of its forest is still in two components, and of its sets only those
+with an untested partner; clusters that are alike by then are one. Equal sets are one set from
+the start.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ from tablewise.llm.common import MIX_A, columns_of, dropped, mixed, ngram_hashes
 SHINGLE, PERCENT = 3, 90
 #: Sets a task joins at once; document pivots of a larger region; counters of the sketch.
 TILE, PIVOTS, CELLS = 256, 8, 1 << 20
+#: Levels of cells within cells; a cell is a region again if it holds at most this share of its region.
+LEVELS, SHRINK = 6, 0.75
 SKETCH_ROWS = 64
 
 
@@ -194,11 +200,13 @@ def candidate_pairs(
     side: np.ndarray | None,
     percent: int,
     per_pair: int,
-) -> list[tuple[int, int]]:
+) -> tuple[list[tuple[int, int, int]], dict[int, int]]:
     """Pairs of a group worth a test: near by signature, in different components, not tested before.
 
     Of each two components up to ``per_pair`` pairs, the nearest first, and only as many component
-    pairs as a forest needs, unless ``per_pair`` is 0, which gives all.
+    pairs as a forest needs, unless ``per_pair`` is 0, which gives all. Pairs come with the cluster
+    they hold together (near sets and components in one), and beside them the clusters of all
+    members (by position) that have a pair which was not taken.
     """
     levels = np.array([len(s) for s in sigs])
     found = []
@@ -234,7 +242,7 @@ def candidate_pairs(
                 if k[i] not in failed[y] and k[y] not in failed[i]:
                     found.append((d / (n[i] + n[y]), y, i))
     if not per_pair:
-        return [(k[y], k[x]) for _, y, x in found]
+        return [(k[y], k[x], 0) for _, y, x in found], {}
     found.sort()
     parent = {int(c): int(c) for c in np.unique(label)}
 
@@ -244,7 +252,7 @@ def candidate_pairs(
             c = parent[c]
         return c
 
-    out, used = [], {}
+    out, used, left = [], {}, set()
     for _, y, x in found:
         a, b = int(label[y]), int(label[x])
         pair = (min(a, b), max(a, b))
@@ -252,12 +260,17 @@ def candidate_pairs(
             used[pair] = used.get(pair, 0) + 1
             if used[pair] <= per_pair:
                 parent[root(a)] = root(b)
-                out.append((k[y], k[x]))
-    return out
+                out.append((y, x))
+                continue
+        left.update((y, x))
+    return [(k[y], k[x], root(int(label[y]))) for y, x in out], {i: root(int(label[i])) for i in sorted(left)}
 
 
 def _proposed(groups: DataFrame, sets: DataFrame, label: DataFrame, failed: DataFrame, percent: int, per_pair: int) -> DataFrame:
-    """(g1, g2, g3, a, b): pairs to be tested in groups of a bounded number of sets (g1, g2, g3, k, side)."""
+    """Pairs to be tested (g1, g2, g3, c, a, b) in groups of a bounded number of sets (g1, g2, g3, k, side).
+
+    Rows without ``b`` name the sets ``a`` of cluster ``c``, with their side, that have more pairs than those.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, out = None, [], []
@@ -266,16 +279,19 @@ def _proposed(groups: DataFrame, sets: DataFrame, label: DataFrame, failed: Data
             k, n, sigs, labels, fails, side = zip(*rows, strict=True)
             if len(set(labels)) > 1:
                 sides = np.array(side) if side[0] is not None else None
-                pairs = candidate_pairs(
+                pairs, left = candidate_pairs(
                     list(k), np.array(n, np.int64), list(sigs), np.array(labels, np.int64),
                     [set(f or ()) for f in fails], sides, percent, per_pair,
                 )
-                out.extend((*held, min(p), max(p)) for p in pairs)
+                out.extend((*held, c, min(a, b), max(a, b), None) for a, b, c in pairs)
+                out.extend((*held, c, k[i], None, side[i]) for i, c in left.items())
 
         def done() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) or [[]] * 5
+            cols = list(zip(*out, strict=True)) or [[]] * 7
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["g1", "g2", "g3", "a", "b"])
+            kinds = [pa.int64()] * 6 + [pa.int32()]
+            arrays = [pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, ["g1", "g2", "g3", "c", "a", "b", "side"])
 
         for batch in batches:
             for g1, g2, g3, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -294,7 +310,7 @@ def _proposed(groups: DataFrame, sets: DataFrame, label: DataFrame, failed: Data
     full = full.join(fails, "k", "left").withColumn("label", F.coalesce("label", "k"))
     full = full.select("g1", "g2", "g3", "k", "n", "sig", "label", "fails", "side")
     dealt = full.repartition("g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3")
-    return dealt.mapInArrow(run, "g1 long, g2 long, g3 long, a long, b long")
+    return dealt.mapInArrow(run, "g1 long, g2 long, g3 long, c long, a long, b long, side int")
 
 
 def _tested(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -372,21 +388,38 @@ class _Links:
         failed = self.tested.where("NOT linked")
         return _proposed(groups, self.sets, self.label, failed, self.percent, per_pair)
 
+    def apart(self) -> DataFrame:
+        """(a, b): tested pairs that are in two components, also by way of others."""
+        pairs = self.tested.where("NOT linked").select("a", "b")
+        for end in ("a", "b"):
+            of = self.label.select(F.col("v").alias(end), F.col("label").alias(f"label_{end}"))
+            pairs = pairs.join(of, end, "left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
+        return pairs.where("label_a != label_b").select("a", "b")
+
     def settle(self, groups: DataFrame, first: DataFrame | None = None) -> None:
         """Test pairs of ``groups`` until none between different components is left.
 
-        Where all of a group's pairs are linked, what is near in it is one component: only groups
-        of a failed pair go on.
+        The pairs of a cluster span it: where they all are in one component by now, so is whatever is
+        near in it, and it is done. Of the others go on the sets that have untested pairs, and
+        clusters of the very same sets, which groups share, go on as one.
         """
         for per_pair in (1, 8, 64, 0):
-            pairs = first if first is not None else stored(self.propose(groups, per_pair), "proposed")
+            proposed = first if first is not None else stored(self.propose(groups, per_pair), "proposed")
             first = None
-            if not self.test(pairs.select("a", "b").distinct()):
-                break
-            failed = pairs.join(self.tested.where("NOT linked").select("a", "b"), ["a", "b"], "left_semi")
+            pairs = proposed.where("b IS NOT NULL")
+            if not self.test(pairs.select("a", "b").distinct()) or not per_pair:
+                dropped(groups, proposed)
+                return
+            cluster = ["g1", "g2", "g3", "c"]
+            unsettled = pairs.join(self.apart(), ["a", "b"], "left_semi").select(*cluster).distinct()
+            rest = proposed.where("b IS NULL").join(unsettled, cluster, "left_semi")
+            alike = rest.groupBy(*cluster).agg(F.sort_array(F.collect_list(F.struct("a", "side"))).alias("ks")).select("ks").distinct()
+            named = alike.select(
+                F.xxhash64("ks").alias("g1"), F.hash("ks").cast("long").alias("g2"), F.lit(0).cast("long").alias("g3"), F.explode("ks").alias("s")
+            )
             former = groups
-            groups = stored(groups.join(failed.select("g1", "g2", "g3").distinct(), ["g1", "g2", "g3"], "left_semi"), "groups")
-            dropped(former, pairs)
+            groups = stored(named.select("g1", "g2", "g3", F.col("s.a").alias("k"), F.col("s.side").alias("side")), "groups")
+            dropped(former, proposed)
 
 
 def _far(members: DataFrame, percent: int) -> DataFrame:
@@ -415,12 +448,13 @@ def _far(members: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _cells(members: DataFrame, sets: DataFrame, links: _Links, percent: int) -> DataFrame:
-    """Groups (tiles of Voronoi cells) for regions of more sets than one task joins: (pivot, k)."""
+def _cells(members: DataFrame, sets: DataFrame, links: _Links, percent: int, level: int) -> DataFrame:
+    """(pivot, p, k, asks): Voronoi cells p of regions (pivot, k), and which sets look for partners there."""
     # The first sets by hash; equal regions choose equal pivots, so their pairs are tested once.
+    # Cells of a region take other pivots than the region did.
     # Spark drops all but a task's first few before a region's window.
     rank = Window.partitionBy("pivot").orderBy("order")
-    chosen = members.select("pivot", F.struct(F.xxhash64("k").alias("h"), "k").alias("order"))
+    chosen = members.select("pivot", F.struct(F.xxhash64("k", F.lit(level)).alias("h"), "k").alias("order"))
     chosen = chosen.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= PIVOTS).select("pivot", F.col("order.k").alias("p"))
     of = sets.select(F.col("k").alias("p"), F.col("n").alias("pivot_n"), F.col("sig").alias("pivot_sig"))
     pairs = members.join(sets.select("k", "n", "sig"), "k").join(chosen.join(of, "p"), "pivot")
@@ -436,9 +470,32 @@ def _cells(members: DataFrame, sets: DataFrame, links: _Links, percent: int) ->
     radius = F.col("n") * (1 + 100 / percent) * (100 - percent) / (100 + percent)
     placed = far.join(home, ["pivot", "k"]).join(own, ["pivot", "k"]).join(sets.select("k", "n"), "k")
     placed = placed.where(F.col("apart") <= F.col("home.apart") + 2 * radius + 1e-6)
-    cells = placed.select("pivot", "p", "k", (F.col("loose") & (F.col("p") == F.col("home.p"))).alias("asks"))
-    sizes = cells.groupBy("pivot", "p").agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("asks").cast("long")).alias("asking"))
-    tiles = cells.join(sizes.where("asking > 0"), ["pivot", "p"])
+    cells = stored(placed.select("pivot", "p", "k", (F.col("loose") & (F.col("p") == F.col("home.p"))).alias("asks")), "cells")
+    dropped(far)
+    return cells
+
+
+def _grouped_cells(regions: DataFrame, sets: DataFrame, links: _Links, percent: int) -> list[DataFrame]:
+    """Groups of bounded size for regions (pivot, k) of more sets than one task joins, cells within cells."""
+    groups = []
+    for level in range(LEVELS):
+        cells = _cells(regions, sets, links, percent, level)
+        sizes = cells.groupBy("pivot", "p").agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("asks").cast("long")).alias("asking"))
+        whole = regions.groupBy("pivot").agg(F.count(F.lit(1)).alias("whole"))
+        again = (F.col("all") > TILE) & (F.col("all") <= SHRINK * F.col("whole")) & F.lit(level < LEVELS - 1)
+        sizes = sizes.where("asking > 0").join(whole, "pivot").withColumn("again", again).drop("whole")
+        placed = cells.join(sizes, ["pivot", "p"])
+        groups.append(stored(_tiles(placed.where("NOT again")), "tiles"))
+        former = regions
+        regions = stored(placed.where("again").select(F.xxhash64("pivot", "p").alias("pivot"), "k").distinct(), "regions")
+        dropped(cells, former)
+        if regions.isEmpty():
+            break
+    return groups
+
+
+def _tiles(tiles: DataFrame) -> DataFrame:
+    """(g1, g2, g3, k, side): every asking set of a cell (pivot, p) meets every set of it in one group."""
     tiles = tiles.withColumn("rows", F.ceil(F.col("asking") / TILE)).withColumn("cols", F.ceil(F.col("all") / TILE))
     spot, zero = F.xxhash64("k", F.lit(3)), F.lit(0).cast("long")
     asks = tiles.where("asks").select(
@@ -513,7 +570,8 @@ def _named(documents: DataFrame, size: int, percent: int) -> DataFrame:
     tidy(docs.sparkSession)
     links.settle(groups, first)
     if not many.isEmpty():
-        links.settle(stored(_cells(many, sets, links, percent), "tiles"))
+        for tiles in _grouped_cells(many, sets, links, percent):
+            links.settle(tiles)
     dropped(held, many, sets, links.texts)
     return rows.join(links.label.withColumnRenamed("v", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
 

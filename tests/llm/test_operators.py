@@ -383,6 +383,22 @@ def test_components_against_brute_force(spark, texts, monkeypatch, tile):
     assert got == brute_components(rows, 3, 90)
 
 
+def test_only_clusters_with_pairs_left_go_on():
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(1, 1 << 62, 200).astype(np.uint64))
+    other = np.unique(rng.integers(1, 1 << 62, 200).astype(np.uint64))
+    sets = [np.append(base[2:], np.uint64(i)) for i in range(6)] + [other, other[1:]]
+    n = np.array([len(s) for s in sets])
+    sigs = [jaccard_join.signature(s) for s in sets]
+    args = (list(range(8)), n, sigs, np.arange(8), [set() for _ in sets], None, 90)
+    pairs, left = jaccard_join.candidate_pairs(*args, 1)
+    # Six near copies need five tests, two need one and leave nothing untested.
+    assert len(pairs) == 6 and len({c for *_, c in pairs}) == 2
+    assert set(left) == set(range(6)) and len(set(left.values())) == 1
+    assert jaccard_join.candidate_pairs(*args, 0)[1] == {}
+    assert len(jaccard_join.candidate_pairs(*args, 0)[0]) == 16
+
+
 def test_contexts_discover_what_the_patterns_miss(spark):
     rng = random.Random(4)
 
