@@ -720,6 +720,10 @@ ORACLES["hierarchy_rollup_calendar"] = f"""{DIRTY_WITH}, t AS (SELECT year(Order
   'Q' || quarter(OrderDate) AS Quarter, {_month.replace("Date", "OrderDate")} AS Month, Revenue FROM dirty)
 SELECT Year, Quarter, Month, GROUPING(Year, Quarter, Month) AS level, round(sum(Revenue), 2) AS revenue,
   count(*) AS lines FROM t GROUP BY ROLLUP (Year, Quarter, Month)"""
+ORACLES["hierarchy_rollup_distinct"] = f"""{DIRTY_WITH}, t AS (SELECT year(OrderDate) AS Year,
+  'Q' || quarter(OrderDate) AS Quarter, {_month.replace("Date", "OrderDate")} AS Month, * FROM dirty)
+SELECT Year, Quarter, Month, GROUPING(Year, Quarter, Month) AS level, count(*) AS lines, count(DISTINCT OrderID) AS orders,
+  count(DISTINCT CustomerID) AS customers, count(DISTINCT ProductID) AS products FROM t GROUP BY ROLLUP (Year, Quarter, Month)"""
 ORACLES["visual"] = f"""{DIRTY_WITH}, {STAR}
 SELECT strftime(OrderDate, '%Y-%m') AS YearMonth, ProductType, round(sum(Revenue), 2) AS revenue,
   count(DISTINCT OrderID) AS orders FROM f WHERE Region = 'EUROPE' AND ReturnFlag IN ('A', 'N')

@@ -712,6 +712,13 @@ def hierarchy_rollup_calendar(spark: SparkSession, d: str) -> DataFrame:
     return found.select(*levels, "level", _round("revenue"), "lines")
 
 
+@query
+def hierarchy_rollup_distinct(spark: SparkSession, d: str) -> DataFrame:
+    levels = ["Year", "Quarter", "Month"]
+    buyers, goods = Measure("customers", "distinct_count", "CustomerID"), Measure("products", "distinct_count", "ProductID")
+    return hierarchy_rollup(_star(spark, d), [LINES, ORDERS, buyers, goods], "DimDate", levels)
+
+
 @query
 def visual(spark: SparkSession, d: str) -> DataFrame:
     found = visual_query(

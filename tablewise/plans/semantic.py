@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.functions.columns import col
+from tablewise.operators.distinct import distinct_rollup
 from tablewise.plans.star import Relationship, StarDesign
+from tablewise.sources.dataset import materialise
 
 #: A dimension's needed columns are broadcast if they are at most so many bytes, counted before.
 BROADCAST_BYTES = 32 << 20
@@ -34,8 +36,9 @@ class Measure:
             raise ValueError(f"unknown aggregate {self.aggregate!r}")
 
 
-def _partial(m: Measure) -> dict[str, Column]:
+def _partial(m: Measure, rows: Column | None = None) -> dict[str, Column]:
     value = col(m.column).cast("double") if m.column else F.lit(1)
+    value = F.when(rows, value) if rows is not None else value
     forms = {
         "sum": {"sum": F.sum(value)},
         "count": {"count": F.count(value)},
@@ -83,6 +86,8 @@ def measure_by(
     what moves is one row per combination of attributes and task. Foreign keys of the larger ones are grouped
     first and joined then, so a key holding a third of the fact is one row per task. Distinct counts
     come from the same grouping, which keeps the counted value as well, so the fact is read once.
+    Roll-ups count distinct values of any number of columns in that one reading: bitmaps of values are made
+    for the most detailed groups and merged from level to level.
     """
     filters = dict(filters or {})
     fields = [_split(f) for f in by]
@@ -104,9 +109,15 @@ def measure_by(
     group = list(dict.fromkeys([*(r.from_column for r in large.values()), *kept]))
     plain = [m for m in measures if m.aggregate not in ("distinct_count", "difference", "ratio")]
     counted = [m for m in measures if m.aggregate == "distinct_count"]
+    labels = _labels(fields)
 
     results = []
-    for i, m in enumerate(counted or [None]):
+    if rollup and counted:
+        rows = _grouped_with_values(fact, group, plain, counted)
+        for t, r in large.items():
+            rows = _joined(rows, dims[t], t, r, t in limited)
+        results = _rolled_up(star, materialise(rows), fields, plain, counted)
+    for i, m in enumerate([] if results else counted or [None]):
         own = plain if i == 0 else []
         aggs = [v.alias(f"{p.name}:{k}") for p in own for k, v in _partial(p).items()]
         finals = [_final(p).alias(p.name) for p in own]
@@ -119,7 +130,6 @@ def measure_by(
         for t, r in large.items():
             rows = _joined(rows, dims[t], t, r, t in limited)
         results.append(_by(star, rows, fields, finals, rollup))
-    labels = _labels(fields)
     result = results[0]
     for other in results[1:]:
         # Both sides hold one row per output group, joined NULL-safely.
@@ -128,7 +138,10 @@ def measure_by(
         for label in on:
             match = match & result[label].eqNullSafe(other[label])
         keep = [result[c] for c in result.columns]
-        result = result.join(other, match).select(*keep, *[other[c] for c in other.columns if c not in on])
+        added = [other[c] for c in other.columns if c not in on]
+        if rollup:  # groups without any value have no bitmap
+            added = [F.coalesce(c, F.lit(0)).alias(n) for c, n in zip(added, other.columns[len(on) :], strict=True)]
+        result = result.join(other, match, "left" if rollup else "inner").select(*keep, *added)
     for m in measures:
         if m.aggregate == "difference":
             result = result.withColumn(m.name, col(m.of[0]) - col(m.of[1]))
@@ -148,6 +161,30 @@ def _aggregate(grouped, aggs: list[Column]) -> DataFrame:  # noqa: ANN001
     return grouped.agg(*aggs) if aggs else grouped.agg(F.count("*").alias("__rows"))
 
 
+def _grouped_with_values(fact: DataFrame, group: list[str], plain: list[Measure], counted: list[Measure]) -> DataFrame:
+    """The fact grouped once, with a row per counted column and value; plain parts are in those of the first column."""
+    values = [
+        F.struct(F.lit(i).alias("i"), *[(col(m.column) if i == j else F.lit(None)).alias(f"v{j}") for j, m in enumerate(counted)])
+        for i in range(len(counted))
+    ]
+    rows = fact.withColumn("__value", F.explode(F.array(*values)))
+    first = F.col("__value.i") == 0
+    parts = [v.alias(f"{p.name}:{k}") for p in plain for k, v in _partial(p, first).items()]
+    return _aggregate(rows.groupBy(*[col(g) for g in group], F.col("__value").alias("__value")), parts)
+
+
+def _rolled_up(star: StarDesign, rows: DataFrame, fields: list, plain: list[Measure], counted: list[Measure]) -> list[DataFrame]:
+    """Plain measures of all levels, then a table of distinct counts per column."""
+    finals = [_final(p).alias(p.name) for p in plain]
+    results = [_by(star, rows.where("__value.i = 0"), fields, finals, True)]
+    names = _labels(fields)
+    shown = [col(c if t == star.fact else f"{t}.{c}").alias(n) for (t, c), n in zip(fields, names, strict=True)]
+    for i, m in enumerate(counted):
+        values = rows.where(F.col("__value.i") == i).select(*shown, F.col(f"__value.v{i}").alias("__v"))
+        results.append(distinct_rollup(values, names, "__v", m.name))
+    return results
+
+
 def _relation(star: StarDesign, table: str, use: list[Relationship]) -> Relationship:
     chosen = next((r for r in use if r.to_table == table), None) or star.active(table)
     if chosen is None:

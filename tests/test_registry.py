@@ -29,6 +29,7 @@ COMPARED = [
     "key_pair",
     "star_measures",
     "hierarchy_rollup_geo",
+    "hierarchy_rollup_distinct",
     "visual",
     "redact_documents",
     "escaped_text",
