@@ -4,7 +4,8 @@ Base spans come from one regular expression a kind. From them, contexts are lear
 identifiers that the expressions miss (a card number with a wrong check digit, a phone number
 without its plus sign):
 
-1. *Instances*: base spans (trusted), and other words of four digits or more (unknown).
+1. *Instances*: base spans (trusted), and other numbers of four digits or more (unknown): whole runs of
+   digit groups, joined by spaces, hyphens, dots, strokes or brackets, or else words that hold digits.
 2. *Patterns*: the two words in front of an instance. Patterns and instances form a graph;
    patterns of fewer than three distinct instances are left out.
 3. *Scores*, in rounds: a pattern's confidence for a kind is the share of its instances that is
@@ -37,21 +38,26 @@ KINDS = {
 }
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 SPACE = r"\x20\x09-\x0D"
-WORD = rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"
+#: A run of digit groups up to the end of a word, or a word with a digit. Both start with a word, and only
+#: classes of characters repeat, so that time is linear and no depth is used however long a run is.
+RUN = rf"[(+]{{0,2}}[0-9][0-9().+/\x20-]*(?<=[0-9)])(?![^{SPACE},;:!?\]\x22'.])"
+WORD = rf"(?<![^{SPACE}])(?:{RUN}|[^{SPACE}0-9]*+[0-9][^{SPACE}]*+)"
+#: The last two words of a text that ends with a space, whole.
+LAST_TWO = rf"(?<![^{SPACE}])[^{SPACE}]++[{SPACE}]++[^{SPACE}]++[{SPACE}]++$"
 MIN_DISTINCT, CONFIDENCE, ROUNDS, MIN_DIGITS = 3, 0.3, 3, 4
 OPEN, SHUT, OTHER = "\x01", "\x02", "\x03"
 _SPAN = "array<struct<start:int,end:int,text:string,left:string>>"
 
 
 def found_spans(text: Column, expression: str) -> Column:
-    """Matches from left to right, with code point positions and the 64 characters before."""
+    """Matches from left to right, with code point positions and the two words before, if nothing else is between."""
     marked = F.regexp_replace(text, expression, f"{OPEN}$0{SHUT}")
     parts = F.split(marked, f"[{OPEN}{SHUT}]", -1)
 
     def step(acc: Column, part: Column) -> Column:
         end = acc["at"] + F.length(part)
         span = F.struct(
-            acc["at"].alias("start"), end.alias("end"), part.alias("text"), F.substring(acc["before"], -64, 64).alias("left")
+            acc["at"].alias("start"), end.alias("end"), part.alias("text"), F.regexp_extract(acc["before"], LAST_TWO, 0).alias("left")
         )
         return F.struct(
             end.alias("at"),
@@ -148,8 +154,7 @@ def _instances(searched: DataFrame) -> DataFrame:
     """One row per instance with a context: kind (NULL if unknown), text, ctx, place."""
     parts = [_of_kind(k, k) for k in KINDS] + [_of_kind(None, "unknown")]
     rows = searched.select("doc_id", "t1", "t2", F.explode(F.concat(*parts)).alias("i"))
-    pair = F.regexp_extract("i.s.left", rf"([^{SPACE}]++)[{SPACE}]++([^{SPACE}]++)[{SPACE}]++$", 0)
-    ctx = F.lower(F.array_join(F.filter(F.split(pair, rf"[{SPACE}]+"), lambda w: w != ""), " "))
+    ctx = F.lower(F.array_join(F.filter(F.split("i.s.left", rf"[{SPACE}]+"), lambda w: w != ""), " "))
     rows = rows.select(
         "doc_id", "t1", "t2", "i.kind", F.lower("i.s.text").alias("inst"), "i.s.start", "i.s.end", ctx.alias("ctx")
     )

@@ -415,6 +415,35 @@ def test_contexts_discover_what_the_patterns_miss(spark):
     assert got[101].spans == "" and all(got[i].n_phone == 1 for i in range(12))
 
 
+def test_numbers_in_groups_are_found_whole(spark):
+    def luhn(body):
+        return next(body + str(c) for c in range(10) if is_valid("card", body + str(c)))
+
+    long_word = "k" * 300
+    rows = []
+    for i in range(60):
+        card = luhn(f"411111111111{i:03d}")
+        rows.append((i, f"as you asked my card number {card} is new"))
+        rows.append((100 + i, f"so please call +1 555 123 {4000 + i} before noon"))
+        rows.append((200 + i, f"the {long_word} hotline +1 555 987 {4000 + i} is open"))
+    asked = {
+        900: ("my card number 4111 1111 1111 1112", "card", "4111 1111 1111 1112"),
+        901: ("so please call 555 123 4567", "phone", "555 123 4567"),
+        902: ("please call (555) 123-4567, thanks", "phone", "555) 123-4567"),
+        903: (f"the {long_word} hotline 555/987/1234!", "phone", "555/987/1234"),
+        904: ("please call 5551 12th", "phone", "5551"),
+        905: ("we please call\n555.123.4567.", "phone", "555.123.4567"),
+    }
+    rows += [(i, t) for i, (t, _, _) in asked.items()]
+    rows += [(990, "1 " * 20_000 + "x"), (991, "please call " + "1-" * 20_000 + "x"), (992, "one two 12 34 56"), (993, "9" * 20_000 + "x")]
+    got = {r.doc_id: r for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (text, kind, found) in asked.items():
+        start = text.index(found)
+        assert (got[i].spans, got[i].n_found) == (f"{kind}:{start}:{start + len(found)}", 1), text[:60]
+    assert got[990].n_found == got[992].n_found == got[993].n_found == 0
+    assert all(r.n_found == 0 for i, r in got.items() if i < 900)
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
