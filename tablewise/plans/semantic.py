@@ -7,14 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.functions.columns import col
+from tablewise.functions.columns import BROADCAST_BYTES, byte_size, col
 from tablewise.operators.distinct import distinct_rollup
 from tablewise.plans.star import Relationship, StarDesign
 from tablewise.sources.dataset import materialise
 
-#: A dimension's needed columns are broadcast if they are at most so many bytes, counted before.
-BROADCAST_BYTES = 32 << 20
-
 AGGREGATES = ("sum", "count", "min", "max", "average", "distinct_count", "difference", "ratio")
 
 
@@ -100,7 +97,7 @@ def measure_by(
             fact = fact.filter(col(column).isin(list(allowed)))
     dims = {t: _needed(star, t, r, fields, filters) for t, r in joins.items()}
     limited = {_split(f)[0] for f in filters}
-    small = [t for t, dim in dims.items() if _bytes(dim) <= BROADCAST_BYTES]
+    small = [t for t, dim in dims.items() if byte_size(dim) <= BROADCAST_BYTES]
     # Filtered dimensions first: every later join meets fewer rows.
     for t in sorted(small, key=lambda t: t not in limited):
         fact = _joined(fact, F.broadcast(dims[t]), t, joins[t], t in limited)
@@ -205,12 +202,6 @@ def _needed(star: StarDesign, table: str, relation: Relationship, fields: list,
     )
 
 
-def _bytes(dim: DataFrame) -> int:
-    """Size of a dimension's values as text, with a little for each row."""
-    width = sum((F.coalesce(F.octet_length(col(c).cast("string")), F.lit(0)) for c in dim.columns), F.lit(16))
-    return int(dim.agg(F.coalesce(F.sum(width.cast("bigint")), F.lit(0))).first()[0])
-
-
 def _joined(rows: DataFrame, dim: DataFrame, table: str, relation: Relationship, limited: bool) -> DataFrame:
     # A filtered dimension also filters the fact; otherwise unmatched rows show as blank.
     match = rows[_q(relation.from_column)] == dim[_q(f"__key:{table}")]
