@@ -6,6 +6,7 @@ from datetime import datetime
 
 import pytest
 
+from registry import queries as Q
 from registry import tables
 
 ROWS = {
@@ -67,3 +68,8 @@ def test_lines_move_without_the_columns_of_customers(spark, folder, monkeypatch,
         (1, 1, "c1", "bolt", "ASIA"), (1, 2, "c1", "", "ASIA"),
         (2, 3, "c2", "", "EUROPE"), (2, 3, "c2 again", "", "EUROPE"),
     ]
+
+
+def test_a_question_reads_the_stored_fact_and_joins_no_order(spark, folder):
+    text = plan(Q._star(spark, folder).tables["FactSales"])
+    assert "Join" not in text and "tablewise-" in text
