@@ -122,7 +122,8 @@ def measure_by(
         if m is not None:
             # Distinct values do not add up: there is a row for each of them.
             keys.append(col(m.column).alias("__v"))
-            finals.append(F.count_distinct("__v").alias(m.name))
+            # Without a join to follow, the groups are those of the result and hold each value once.
+            finals.append((F.count_distinct("__v") if large else F.count("__v")).alias(m.name))
         rows = _aggregate(fact.groupBy(*keys), aggs)
         for t, r in large.items():
             rows = _joined(rows, dims[t], t, r, t in limited)

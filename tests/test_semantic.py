@@ -115,3 +115,9 @@ def test_unknown_tables_and_aggregates(star):
         Measure("x", "median", "Fare")
     with pytest.raises(ValueError, match="expected Table"):
         measure_by(star, [TRIPS], ["Shift"])
+
+
+def test_values_are_told_apart_once(star):
+    text = measure_by(star, [FARE, TRIPS, DRIVERS], ["DimStop[Line]"])._jdf.queryExecution().optimizedPlan().toString()
+    # Groups by joined attributes hold each value once; those by keys that are joined later may share values.
+    assert ("distinct" in text) == (S.BROADCAST_BYTES == 0)
