@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import columns_of, mixed, ngram_hashes, slices, split_words, stored, texts_of
+from tablewise.llm.common import columns_of, distinct, mixed, ngram_hashes, slices, split_words, stored, texts_of
 
 CELLS, PREFIX, ALIKE, APART = 1 << 18, 6, 10.0, 0.3
 #: Languages with a background of their own, the most frequent; all others share one.
@@ -80,7 +80,7 @@ def features(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         (stutter, np.arange(len(count))),
     ]
     low = np.uint64(CELLS - 1)
-    packed = np.unique(np.concatenate([(r.astype(np.uint64) << np.uint64(18)) | (c & low) for c, r in kinds]))
+    packed = distinct(np.concatenate([(r.astype(np.uint64) << np.uint64(18)) | (c & low) for c, r in kinds]))
     found = (packed >> np.uint64(18)).astype(np.int64)
     return (packed & np.uint64(CELLS - 1)).astype(np.int64), np.searchsorted(found, np.arange(len(count) + 1))
 

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -15,6 +16,7 @@ import pyarrow as pa
 import pytest
 
 from tablewise.llm import attention, jaccard_join, resampling
+from tablewise.llm.common import distinct, split_words
 from tablewise.llm.decontaminate import contamination
 from tablewise.llm.mixing import mixed_sources
 from tablewise.llm.personal import personal_data
@@ -36,6 +38,31 @@ def rows_of(df):
     return {r.doc_id: r for r in df.collect()}
 
 
+def test_features_cost_little_more_than_their_words():
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abcdefghij", k=draw.randint(3, 9))) for _ in range(50_000)]
+    texts = pa.array([" ".join(draw.choices(words, k=400)) for _ in range(1_000)])
+
+    def cpu(run):
+        took = []
+        for _ in range(3):
+            start = time.process_time()
+            run()
+            took.append(time.process_time() - start)
+        return min(took)
+
+    cells, bounds = resampling.features(texts)
+    assert all((np.diff(cells[a:b]) > 0).all() for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+    # Telling features apart by hashing took longer than all the rest.
+    assert cpu(lambda: resampling.features(texts)) < 3 * cpu(lambda: split_words(texts).hashes())
+
+
+def test_distinct_values_are_sorted_and_single():
+    values = np.array([7, 2, 7, 1 << 63, 2, 0], np.uint64)
+    assert distinct(values).tolist() == [0, 2, 7, 1 << 63]
+    assert distinct(values[:0]).tolist() == []
+
+
 @pytest.mark.parametrize("name", ORACLES)
 def test_query_matches_its_twin(spark, sf, name):
     df = QUERIES[name](spark, sf)
