@@ -70,6 +70,33 @@ def test_lines_move_without_the_columns_of_customers(spark, folder, monkeypatch,
     ]
 
 
+def test_lines_that_outnumber_products_move_for_their_order_alone(spark, folder, tmp_path):
+    many = str(tmp_path)
+    for name in ROWS:
+        rows = spark.read.parquet(f"{folder}/{name}.parquet")
+        times = 100 if name == "lineitem" else 1
+        rows.crossJoin(spark.range(times).withColumnRenamed("id", "again")).drop("again").coalesce(1).write.parquet(f"{many}/{name}.parquet")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        flat = tables.flat_sales(spark, many)
+        text, found = plan(flat), flat.groupBy("OrderID", "OrderLine", "CustomerName", "ProductName").count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "hashpartitioning(l_orderkey" in text and "hashpartitioning(l_partkey" not in text
+    assert sorted((r[0], r[1], r[2], r[3] or "", r[4]) for r in found) == [
+        (1, 1, "c1", "bolt", 100), (1, 2, "c1", "", 100), (2, 3, "c2", "", 100), (2, 3, "c2 again", "", 100),
+    ]
+
+
+def test_fd_agreement_stores_no_column_that_it_does_not_compare(spark, folder, monkeypatch):
+    seen = []
+    store = Q.materialise
+    monkeypatch.setattr(Q, "materialise", lambda df: seen.append(df.columns) or store(df))
+    assert Q.fd_agreement(spark, folder).count()
+    assert seen == [[*Q.KEYS, *Q.ATTRIBUTES]]
+
+
 def test_a_question_reads_the_stored_fact_and_joins_no_order(spark, folder):
     text = plan(Q._star(spark, folder).tables["FactSales"])
     assert "Join" not in text and "tablewise-" in text

@@ -77,3 +77,10 @@ def test_amounts_and_shares(spark):
     assert X.share_text(1, 3) == "33.3%" and X.share_text(1, 0) == "0%"
     row = spark.range(1).select(X.format_share(F.lit(1), F.lit(3)), X.format_share(F.lit(1), F.lit(0))).first()
     assert tuple(row) == ("33.3%", "0%")
+
+
+def test_trimming_treats_plain_and_other_edges_alike(spark):
+    values = ["a", " a", "a ", "\u00a0é b\u3000", "é", "", " ", "a\n", "~x!", "x\u2003", None, "0 \t"]
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+    found = [r["t"] for r in rows.select(X.trim_u(F.col("v")).alias("t")).collect()]
+    assert found == ["a", "a", "a", "é b", "é", "", "", "a", "~x!", "x", None, "0"]
