@@ -30,6 +30,7 @@ the start.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -37,7 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import MIX_A, columns_of, dropped, mixed, ngram_hashes, slices, split_words, stored, texts_of, tidy
+from tablewise.llm import common
+from tablewise.llm.common import MIX_A, columns_of, dropped, mixed, ngram_hashes, slices, split_words, texts_of, tidy
+
+#: Cells and groups repeat their keys so often that their files say little of their size.
+stored = partial(common.stored, measured=True)
 
 SHINGLE, PERCENT = 3, 90
 #: Sets a task joins at once; document pivots of a larger region; counters of the sketch.
@@ -305,7 +310,7 @@ def _proposed(groups: DataFrame, sets: DataFrame, label: DataFrame, failed: Data
             finish()
             yield done()
 
-    fails = failed.select("a", "b").union(failed.select("b", "a")).toDF("k", "f").groupBy("k").agg(F.collect_set("f").alias("fails"))
+    fails = failed.select("a", "b").union(failed.select("b", "a")).toDF("k", "f").groupBy("k").agg(F.collect_set("f").alias("fails")).hint("merge")
     full = groups.join(sets.select("k", "n", "sig"), "k").join(label.withColumnRenamed("v", "k"), "k", "left")
     full = full.join(fails, "k", "left").withColumn("label", F.coalesce("label", "k"))
     full = full.select("g1", "g2", "g3", "k", "n", "sig", "label", "fails", "side")
@@ -366,7 +371,8 @@ class _Links:
         n = pairs.count()
         if n:
             found = stored(_tested(pairs, self.texts, self.size, self.percent).distinct(), "tested")
-            self.tested = self.tested.unionByName(found)
+            # A hint on a table does not reach the joins of a union.
+            self.tested = self.tested.unionByName(found).hint("merge")
             self._merge(found.where("linked").select("a", "b"))
         return n
 
